@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import op3_chat, op7_decontaminate, op9_quality
+from . import op3_chat, op4_bpe, op5_jaccard, op6_secrets, op7_decontaminate, op9_quality
 
 
 def queries() -> dict:
     return {
         "op3_chat_formatting": op3_chat.op3_chat_formatting,
+        "op4_bpe_round_trip": op4_bpe.op4_bpe_round_trip,
+        "op5_jaccard_join": op5_jaccard.op5_jaccard_join,
+        "op6_secret_scan": op6_secrets.op6_secret_scan,
         "op7_decontamination": op7_decontaminate.op7_decontamination,
         "op9_quality_rules": op9_quality.op9_quality_rules,
     }
