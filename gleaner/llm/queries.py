@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from . import op3_chat, op4_bpe, op5_jaccard, op6_secrets, op7_decontaminate, op9_quality
+from . import op1_warc, op3_chat, op4_bpe, op5_jaccard, op6_secrets, op7_decontaminate, op9_quality, op10_html
 
 
 def queries() -> dict:
     return {
+        "op1_warc_round_trip": op1_warc.op1_warc_round_trip,
         "op3_chat_formatting": op3_chat.op3_chat_formatting,
         "op4_bpe_round_trip": op4_bpe.op4_bpe_round_trip,
         "op5_jaccard_join": op5_jaccard.op5_jaccard_join,
         "op6_secret_scan": op6_secrets.op6_secret_scan,
         "op7_decontamination": op7_decontaminate.op7_decontamination,
         "op9_quality_rules": op9_quality.op9_quality_rules,
+        "op10_html_extraction": op10_html.op10_html_extraction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": op3_chat.ORACLE, "op9_quality_rules": op9_quality.ORACLE}
+    return {"op1_warc_round_trip": op1_warc.ORACLE, "op3_chat_formatting": op3_chat.ORACLE, "op9_quality_rules": op9_quality.ORACLE}
