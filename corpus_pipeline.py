@@ -1,5 +1,72 @@
-"""Corpus pipeline: quality rules, near-duplicate join, decontamination, secret scan, tokens."""
-STAGES = []
+"""Corpus pipeline: quality rules, near-duplicate join, decontamination, secret scan, tokens.
+
+``STAGES`` are functions of (spark, docs, sf_dir); each works on all rows that its
+predecessor kept, and is written as Parquet before the next one reads it.  All but the
+last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.llm import op4_bpe, op5_jaccard, op6_secrets, op7_decontaminate, op9_quality, store
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return op9_quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the join: that whose doc_id is the component.
+
+    Rows with a null doc_id link with nothing and stay; of rows that repeat one doc_id,
+    one stays.
+    """
+    found = op5_jaccard.links(docs.select("doc_id", "text"))
+    first = found.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").select(*docs.columns)
+    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    once = named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once).unionByName(docs.filter("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    bench = store.read(spark, sf_dir, "benchmark")
+    return op7_decontaminate.clean(docs, bench)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark."""
+    return op6_secrets.redact(docs, op6_secrets.train(op6_secrets.labelled_sample(spark)))
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids and n_tokens of every document."""
+    return op4_bpe.encode(docs, keep=["doc_id", "lang", "source"]).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("bpe_tokens", bpe_tokens),
+]
+
+#: Components, added secret spans and token ids have no SQL form.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = store.read(spark, sf_dir, "documents")
+    before = None
+    for name, stage in STAGES:
+        docs = store.table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            store.drop(before)
+        before = docs
+    return docs

@@ -37,6 +37,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import store
 
@@ -297,7 +298,7 @@ def encode(docs: DataFrame, *, path: str | None = None, lexicon: str | None = No
     lexicon = lexicon or build(docs, path)
     codec = _codecs(docs, path, lexicon)
     rows = docs.select(*[f"`{k}`" for k in keep], F.col("text").alias("__text"))
-    schema = docs.select(*[f"`{k}`" for k in keep]).schema.add("ids", "array<int>")
+    schema = docs.select(*[f"`{k}`" for k in keep]).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         c = codec()

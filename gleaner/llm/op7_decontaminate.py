@@ -207,6 +207,31 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, bl
     return report(search(docs, bench, window=window, block_words=block_words, keep=keep))
 
 
+def clean(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs, with their columns.
+
+    Every block of items is one pass over what the blocks before it have left.
+    """
+    names = docs.columns
+    schema = docs.schema
+    text = names.index("text")
+
+    def one(left, block):
+        tables = left.sparkSession.sparkContext.broadcast(block)  # at most block_words words of item text
+
+        def run(batches):
+            found = build(tables.value, window)
+            for batch in batches:
+                keep = [next((False for t in found for _ in t.search(ws)), True) if (ws := words_of(x)) else True for x in batch.column(text).to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return left.mapInArrow(run, schema)
+
+    for block in _blocks(bench.select("item_id", "text"), block_words):
+        docs = one(docs, block)
+    return docs
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(store.read(spark, sf_dir, "documents"), store.read(spark, sf_dir, "benchmark"))
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import op1_warc, op3_chat, op4_bpe, op5_jaccard, op6_secrets, op7_decontaminate, op9_quality, op10_html
+from . import op1_warc, op2_toxicity, op3_chat, op4_bpe, op5_jaccard, op6_secrets, op7_decontaminate, op8_language, op9_quality, op10_html
 
 
 def queries() -> dict:
     return {
         "op1_warc_round_trip": op1_warc.op1_warc_round_trip,
+        "op2_toxic_segments": op2_toxicity.op2_toxic_segments,
         "op3_chat_formatting": op3_chat.op3_chat_formatting,
         "op4_bpe_round_trip": op4_bpe.op4_bpe_round_trip,
         "op5_jaccard_join": op5_jaccard.op5_jaccard_join,
         "op6_secret_scan": op6_secrets.op6_secret_scan,
         "op7_decontamination": op7_decontaminate.op7_decontamination,
+        "op8_language_id": op8_language.op8_language_id,
         "op9_quality_rules": op9_quality.op9_quality_rules,
         "op10_html_extraction": op10_html.op10_html_extraction,
     }
