@@ -1 +1,13 @@
-"""See the package README section on layout."""
+"""Registered queries by family, each module with its QUERIES and their DuckDB ORACLES."""
+
+from . import outcomes, retrieval
+
+FAMILIES = (retrieval, outcomes)
+
+
+def queries() -> dict:
+    return {k: f for m in FAMILIES for k, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in FAMILIES for k, s in m.ORACLES.items()}
