@@ -20,7 +20,14 @@ key's bucket, members are compared with the bucket's least member; classes joine
 these links are components.  Buckets that then still hold several components have all
 their pairs across components compared, and the links found join the components
 finally.  So every pair that could join two components has been compared exactly, and
-pairs inside a component need not be.
+pairs inside a component need not be.  Before two texts are fetched, parity sketches are
+compared: bit h(t) mod B of a sketch is the parity of the set's shingles t that fall on
+it, so the number of bits in which two sketches differ is never more than the number of
+shingles in which the sets differ, and a pair beyond H is dismissed rightly.
+
+Large buckets.  Across components, members meet in cells of at most two blocks of
+``BLOCK`` members, so no task holds a bucket, whatever its size; dismissed pairs are never
+rows.
 
 Defined results.  Null, empty or blank text: an empty set, linked with nothing,
 component_id its own doc_id.  Rows with one doc_id are one node: their links are
@@ -117,9 +124,32 @@ def _print(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+BLOCK = 4096
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(k) for k in parts], dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set: as many bits as the next power of two from the set's size on, 128 at least."""
+    bits = 1 << max(7, int(len(s) - 1).bit_length())
+    at = (shingles.mix(s ^ U(0x3C6EF372FE94F82B)) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows) of the given number of words: the halves of a sketch, put together, are one of half its bits."""
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
 def signed(docs: DataFrame, plan: Plan, width: int = WIDTH) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint) and keys of every row."""
-    out = store.schema("n long, f1 long, f2 long, keys array<long>")
+    """doc_id, n, f1, f2 (fingerprint), keys and sketch of every row."""
+    out = store.schema("n long, f1 long, f2 long, keys array<long>, sketch array<long>")
     schema = docs.select("doc_id").schema
     for f in out:
         schema = schema.add(f.name, f.dataType)
@@ -127,7 +157,7 @@ def signed(docs: DataFrame, plan: Plan, width: int = WIDTH) -> DataFrame:
     def run(batches):
         known: dict = {}
         for batch in batches:
-            n, f1, f2, ks = [], [], [], []
+            n, f1, f2, ks, sk = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for s in shingles.shingle_sets(batch.column("text"), width):
                     a, b = _print(s)
@@ -135,9 +165,8 @@ def signed(docs: DataFrame, plan: Plan, width: int = WIDTH) -> DataFrame:
                     f1.append(a)
                     f2.append(b)
                     ks.append(keys(s, plan, known).view(np.int64))
-            lengths = np.concatenate(([0], np.cumsum([len(k) for k in ks], dtype=np.int64))).astype(np.int32)
-            flat = pa.array(np.concatenate(ks) if ks else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), flat)], names=schema.names)
+                    sk.append(parity(s))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _lists(ks), _lists(sk)], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -169,22 +198,105 @@ def stars(classes: DataFrame) -> DataFrame:
             both = np.concatenate((d[head], hub[other]))
             b = np.concatenate((np.zeros(head.sum(), np.int64), d[other]))
             done = np.concatenate((np.zeros(head.sum(), bool), np.ones(other.sum(), bool)))
-            key = np.concatenate((k[head], k[other]))
+            key = np.concatenate((np.zeros(head.sum(), np.int64), k[other]))  # of the others it is their place
             for at in range(0, len(key), 200_000):
                 to = at + 200_000
                 yield pa.RecordBatch.from_arrays([pa.array(x[at:to]) for x in (place, key, both, b, done)], names=["place", "key", "a", "b", "done"])
 
     local = classes.select("doc_id", "keys").mapInArrow(run, "place long, key long, a long, b long, done boolean")
     hub = F.when(F.col("done"), F.col("a")).otherwise(F.min(F.when(~F.col("done"), F.col("a"))).over(Window.partitionBy("place", "done")))
-    met = local.select("key", hub.alias("hub"), F.when(F.col("done"), F.col("b")).otherwise(F.col("a")).alias("x"))
+    met = local.select(F.when(F.col("done"), F.col("key")).otherwise(F.col("place")).alias("key"), hub.alias("hub"), F.when(F.col("done"), F.col("b")).otherwise(F.col("a")).alias("x"))
     return met.filter("hub < x").select("key", F.col("hub").alias("a"), F.col("x").alias("b"))
 
 
+def possible(pairs: DataFrame, known: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) that their sizes and sketches do not dismiss; ``known`` has doc_id, n, sketch."""
+    one = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    two = one.join(known.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    num, den = plan.num, plan.den
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("na", "nb"))
+            fit = (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (np.minimum(na, nb) > 0)
+            most = (na + nb) * (den - num) // (den + num)
+            parts = []
+            for name in ("sa", "sb"):
+                col = batch.column(name)
+                ends = np.concatenate(([0], np.cumsum(np.diff(np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]))))
+                parts.append((col.flatten().to_numpy(zero_copy_only=False), ends))
+            (x, xe), (y, ye) = [(v.view(U), e) for v, e in parts]  # bits of signed numbers are counted without their sign
+            for i in np.flatnonzero(fit).tolist():
+                s, t = x[xe[i] : xe[i + 1]], y[ye[i] : ye[i + 1]]
+                words = min(len(s), len(t))
+                fit[i] = np.bitwise_count(fold(s, words) ^ fold(t, words)).sum() <= most[i]
+            yield batch.select(["a", "b"]).filter(pa.array(fit))
+
+    return two.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+
+
+def across(members: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) of members of one bucket and of different components that sizes and sketches do not dismiss.
+
+    ``members`` has key, x, c (component), n, sketch.  A bucket's members are dealt into
+    blocks; a cell holds a pair of blocks.
+    """
+    size = members.groupBy("key").agg(F.count("*").alias("g")).filter(F.col("g") > BLOCK).select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(size, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))
+    dealt = dealt.select("key", "x", "c", "n", "sketch", "i", F.explode(cells).alias("cell")).select(F.xxhash64("key", "cell.lo", "cell.hi").alias("cell"), "key", (F.col("cell.lo") == F.col("cell.hi")).alias("own"), "i", "x", "c", "n", "sketch")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    num, den = plan.num, plan.den
+
+    def pairs(rows):
+        """Index pairs of one cell's rows [own, i, x, c, n, sketch]."""
+        words = min(len(r[5]) for r in rows)
+        sk = np.stack([fold(r[5], words) for r in rows])
+        own, blk, x, c, n = rows[0][0], *(np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
+        for i in range(len(rows) - 1):
+            m = n[i + 1 :]
+            ok = (c[i + 1 :] != c[i]) & (np.minimum(m, n[i]) * den >= np.maximum(m, n[i]) * num)
+            if not own:
+                ok &= blk[i + 1 :] != blk[i]
+            at = np.flatnonzero(ok) + i + 1
+            if len(at):
+                near = at[np.bitwise_count(sk[at] ^ sk[i]).sum(axis=1) <= (n[at] + n[i]) * (den - num) // (den + num)]
+                for j in near.tolist():
+                    yield (int(x[i]), int(x[j])) if x[i] < x[j] else (int(x[j]), int(x[i]))
+
+    def run(batches):
+        cell, rows, out = None, [], set()
+
+        def flush():
+            got = list(out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in got], pa.int64()), pa.array([p[1] for p in got], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            col = batch.column("sketch")
+            ends = np.concatenate(([0], np.cumsum(np.diff(np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1])))).tolist()
+            flat = col.flatten().to_numpy(zero_copy_only=False).view(U)  # bits of signed numbers are counted without their sign
+            columns = [batch.column(k).to_pylist() for k in ("cell", "key", "own", "i", "x", "c", "n")]
+            for at, (h, k, *rest) in enumerate(zip(*columns, strict=True)):
+                if (h, k) != cell:
+                    if len(rows) > 1:
+                        out.update(pairs(rows))
+                    if len(out) > 50_000:
+                        yield flush()
+                    cell, rows = (h, k), []
+                rows.append((*rest, flat[ends[at] : ends[at + 1]]))
+        if len(rows) > 1:
+            out.update(pairs(rows))
+        yield flush()
+
+    return dealt.repartition(parts, "cell").sortWithinPartitions("cell", "key").mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, plan: Plan, width: int = WIDTH) -> DataFrame:
     """The pairs (a, b) whose sets link, compared on the documents' texts."""
-    texts = docs.select("doc_id", "text").filter("doc_id is not null")
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = store.table(texts.join(need, "doc_id", "left_semi"), "op5-texts")
+    texts = store.table(docs.select("doc_id", "text").filter("doc_id is not null").join(need, "doc_id", "left_semi"), "op5-texts")
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     num, den = plan.num, plan.den
@@ -207,7 +319,9 @@ def verified(pairs: DataFrame, docs: DataFrame, plan: Plan, width: int = WIDTH)
                         keep.append(both * den >= num * (len(s) + len(t) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    out = store.table(two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct(), "op5-links")
+    store.drop(texts)
+    return out
 
 
 def links(docs: DataFrame, *, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -216,26 +330,24 @@ def links(docs: DataFrame, *, width: int = WIDTH, num: int = NUM, den: int = DEN
     rows = store.table(signed(docs, plan, width), "op5-rows")
     full = rows.filter("doc_id is not null and n > 0")
     # equal sets are one class; its least doc_id stands for it
-    classes = full.groupBy("f1", "f2").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("doc_id"))
-    met = store.table(stars(classes), "op5-stars")
-    first = store.table(met.select("a", "b").distinct(), "op5-pairs")
-    same = store.table(verified(first, docs, plan, width), "op5-links")
+    met = store.table(stars(full.groupBy("f1", "f2").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("doc_id"))), "op5-stars")
+    classes = store.table(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.min_by("n", "doc_id").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")), "op5-classes")
+    known = classes.select("doc_id", "n", "sketch")
+    same = verified(store.table(possible(met.select("a", "b").distinct(), known, plan), "op5-pairs"), docs, plan, width)
     comp = store.table(components(same), "op5-components")
 
     def component(df, node, name):
         c = comp.select(F.col("node").alias(f"__{name}"), F.col("component").alias(f"__c{name}"))
         return df.join(c, F.col(node) == F.col(f"__{name}"), "left").withColumn(name, F.coalesce(f"__c{name}", node)).drop(f"__{name}", f"__c{name}")
 
-    # buckets that still hold several components: compare all members across them
-    told = component(component(met, "a", "ca"), "b", "cb")
+    # buckets that still hold several components: all members across them are compared
+    told = store.table(component(component(met, "a", "ca"), "b", "cb"), "op5-told")
+    store.drop(met)
     open_keys = told.filter("ca <> cb").select("key").distinct()
     members = told.join(open_keys, "key", "left_semi")
     members = members.select("key", F.col("a").alias("x"), F.col("ca").alias("c")).union(members.select("key", F.col("b").alias("x"), F.col("cb").alias("c"))).distinct()
-    members = store.table(members, "op5-open")
-    other = members.select("key", F.col("x").alias("y"), F.col("c").alias("d"))
-    more = members.join(other, "key").filter("x < y and c <> d").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    more = store.table(more.join(first, ["a", "b"], "left_anti"), "op5-more")
-    late = verified(more, docs, plan, width)
+    pairs = store.table(across(members.join(known, F.col("x") == F.col("doc_id")).drop("doc_id"), plan), "op5-across")
+    late = verified(pairs, docs, plan, width)
     if not late.isEmpty():
         comp = store.table(components(same.unionByName(late)), "op5-components")
 
