@@ -1,8 +1,8 @@
 """Registered queries by family, each module with its QUERIES and their DuckDB ORACLES."""
 
-from . import outcomes, retrieval
+from . import outcomes, records, retrieval
 
-FAMILIES = (retrieval, outcomes)
+FAMILIES = (retrieval, outcomes, records)
 
 
 def queries() -> dict:
