@@ -117,7 +117,7 @@ def enumeration_counts(query: str | None) -> list[tuple[int, str]]:
     """(count, span) of noun lists of two to five items: "phones and laptops" is 2."""
     out = []
     for m in _NOUNS.finditer(query or ""):
-        items = [clean(x) for x in re.split(r"\s*,\s*|\s+and\s+", m[0])]
+        items = [clean(x.split()[-1]) for x in re.split(r"\s*,\s*|\s+and\s+", m[0]) if x.strip()]
         n = sum(1 for x in items if len(x) > 1 and x.replace("-", "").isalpha() and x not in _NOT_ITEMS and x not in WORD_NUMBERS and x not in FRACTIONS)
         if 2 <= n <= 5:
             out.append((n, m[0]))
