@@ -35,7 +35,7 @@ from . import store
 #: Layout name -> (the field paths that name it, mapping). A mapping is ("rows", id, order, role, text),
 #: ("list", path of the array, role field, text field) or ("fields", [(role, [text fields joined by a blank line])]).
 LAYOUTS: dict[str, tuple[tuple[str, ...], tuple]] = {
-    "turn_rows": (("conv_id", "role", "text", "turn"), ("rows", "conv_id", "turn", "role", "text")),
+    "turn_rows": (("role", "text", "turn"), ("rows", "conv_id", "turn", "role", "text")),
     "messages": (("messages[].content", "messages[].role"), ("list", "messages", "role", "content")),
     "from_value": (("conversations[].from", "conversations[].value"), ("list", "conversations", "from", "value")),
     "alpaca": (("input", "instruction", "output"), ("fields", [("user", ["instruction", "input"]), ("assistant", ["output"])])),
@@ -59,6 +59,8 @@ def _hash(paths) -> str:
 
 
 FINGERPRINTS = {_hash(paths): name for name, (paths, _) in LAYOUTS.items()}
+#: Layouts with more paths come first, so fields that lie beside a layout's own do not hide it.
+BY_SIZE = sorted(LAYOUTS, key=lambda name: -len(LAYOUTS[name][0]))
 
 
 def field_paths(schema: T.DataType, at: str = "") -> list[str]:
@@ -71,8 +73,9 @@ def field_paths(schema: T.DataType, at: str = "") -> list[str]:
 
 
 def fingerprint(schema: T.StructType) -> str:
-    """Hash of the schema's paths that known layouts use."""
-    return _hash(set(field_paths(schema)) & set(KNOWN_PATHS))
+    """Hash of the paths of the largest known layout in the schema; of all its known paths where there is none."""
+    found = set(field_paths(schema)) & set(KNOWN_PATHS)
+    return _hash(next((LAYOUTS[n][0] for n in BY_SIZE if set(LAYOUTS[n][0]) <= found), found))
 
 
 def _turns_of(layout: str, record) -> Column:
@@ -109,22 +112,31 @@ def canonical_turns(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
 
 
 def variant_paths(schema_text: Column) -> Column:
-    """Known paths present in a ``schema_of_variant`` text, sorted and joined by new lines."""
+    """Known paths present in a ``schema_of_variant`` text, sorted."""
     found = []
     for p in KNOWN_PATHS:
         if "[]." in p:
             top, leaf = p.split("[].")
             here = schema_text.rlike(rf"(?:^OBJECT<|, )`?{top}`?: ARRAY<OBJECT<(?:[^<>]*, )?`?{leaf}`?: ")
         else:
-            here = F.regexp_replace(schema_text, r"ARRAY<OBJECT<[^<>]*>>", "ARRAY").rlike(rf"(?:^OBJECT<|, )`?{p}`?: ")
+            here = F.regexp_replace(F.regexp_replace(schema_text, r"ARRAY<OBJECT<[^<>]*>>", "ARRAY"), r"(?<=: )OBJECT<[^<>]*>", "OBJECT").rlike(rf"(?:^OBJECT<|, )`?{p}`?: ")
         found.append(F.when(here, F.lit(p)))
-    return F.array_join(F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull())), "\n")
+    return F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull()))
+
+
+def variant_fingerprint(paths: Column) -> Column:
+    """As :func:`fingerprint`, of the known paths of one record."""
+    out = F.sha2(F.array_join(paths, "\n"), 256)
+    for n in reversed(BY_SIZE):
+        own = F.array(*[F.lit(p) for p in LAYOUTS[n][0]])
+        out = F.when(F.size(F.array_except(own, paths)) == 0, F.lit(_hash(LAYOUTS[n][0]))).otherwise(out)
+    return out
 
 
 def canonical_json(df: DataFrame, json_column: str = "record", id_column: str = "conv_id") -> DataFrame:
     """conv_id, fingerprint and turns of JSON records whose layouts differ from row to row."""
     v = F.try_parse_json(json_column)
-    base = df.select(F.col(id_column).alias("conv_id"), v.alias("v")).withColumn("fingerprint", F.sha2(variant_paths(F.schema_of_variant("v")), 256))
+    base = df.select(F.col(id_column).alias("conv_id"), v.alias("v")).withColumn("paths", variant_paths(F.schema_of_variant("v"))).withColumn("fingerprint", variant_fingerprint(F.col("paths")))
     pick = F.lit(None).cast("array<struct<role:string,text:string>>")
     for name, (paths, mapping) in LAYOUTS.items():
         if mapping[0] == "rows":

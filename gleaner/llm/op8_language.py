@@ -107,7 +107,7 @@ def evidence(pages: DataFrame, langs: list[str], like: dict[int, list[float]]) -
             for at in range(0, len(batch), 200):
                 for page in batch.column("html").slice(at, 200).to_pylist():
                     g, n = trigrams(_TAG.sub(" ", _RAW.sub(" ", page)))
-                    if not len(g):
+                    if not len(g) or not k:
                         out.append([0.0] * k)
                         continue
                     i = np.minimum(np.searchsorted(codes, g), len(codes) - 1)
