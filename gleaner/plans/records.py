@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import assign as G
 from ..operators import catalog as C
 from ..operators import compare
+from ..operators import linking as L
 from ..sources import parsers
 from ..session import table
 from ..streaming import logs
@@ -152,14 +153,56 @@ def mps_parse(spark, d):
     return parsers.parsed(f.select(F.col("l_orderkey").cast("string").alias("path"), text.alias("text")), parsers.mps, parsers.MPS)
 
 
+def _links(spark, d, mode):
+    """Orders as queries: price and quantity of the first lines as mentions, three columns as slots."""
+    li = table(spark, d, "lineitem").filter("l_linenumber <= 2")
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    kinds = F.array(
+        F.struct(F.lit("p").alias("m"), F.col("l_extendedprice").alias("value"), F.lit("currency").alias("kind"), words("unit", "price", "total", "maximum").alias("context")),
+        F.struct(F.lit("q").alias("m"), F.col("l_quantity").alias("value"), F.lit("int").alias("kind"), words("number", "items", "least").alias("context")),
+        F.struct(F.lit("d").alias("m"), F.col("l_discount").alias("value"), F.lit("percent").alias("kind"), words("discount", "rate").alias("context")),
+    )
+    m = li.select(F.col("l_orderkey").alias("query_id"), F.explode(kinds).alias("k")).select("query_id", F.col("k.m").alias("mention_id"), "k.value", "k.kind", "k.context")
+    names = F.array(*[F.lit(n) for n in ("MaxUnitPrice", "NumberOfItems", "DiscountRate", "MinDemand")])
+    slots = m.select("query_id").distinct().select("query_id", F.explode(names).alias("slot_name"))
+    return L.links(m, slots, mode=mode)
+
+
+def link_scores(spark, d):
+    out = None
+    for mode in L.WEIGHTS:
+        g = _links(spark, d, mode).groupBy("slot_name", "mention_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") < -1e8).alias("n_excluded"), F.round(F.avg(F.when(F.col("score") > -1e8, F.col("score"))), 6).alias("score")).withColumn("mode", F.lit(mode))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def slot_ambiguity(spark, d):
+    a = L.ambiguity(_links(spark, d, "basic"), ["query_id", "slot_name"])
+    return a.groupBy("slot_name", "ambiguous").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         merge_catalog, extended_catalog, summary_upsert, resume_remaining, catalog_audit, pair_systems, ambiguous_runs, failure_taxonomy, margin_over_others, value_join, top_queries,
-        event_windows, mention_relations, previous_mention, untyped_greedy, typed_greedy, grounding_modes, word_numbers, mps_parse,
+        event_windows, mention_relations, previous_mention, untyped_greedy, typed_greedy, grounding_modes, word_numbers, mps_parse, link_scores, slot_ambiguity,
     )
 }
 
+def _link_sql() -> str:
+    """Scores per pair by the weights, written out."""
+    parts = []
+    for mode, w in L.WEIGHTS.items():
+        parts.append(f"""SELECT '{mode}' AS mode, slot_name, mention_id, raw_type, CASE WHEN ex THEN NULL ELSE raw + CASE WHEN raw <= 0 THEN {w["weak"]} ELSE 0 END END AS score FROM (SELECT *,
+ CASE WHEN full_fit THEN {w["type"]} WHEN loose THEN {w["loose"]} ELSE 0 END + {w["context"]} * shared + {w["cue"]} * cues + {w["operator"]} * ops + CASE WHEN kind IN ('percent', 'currency') THEN {w["unit"]} ELSE 0 END
+ + CASE WHEN cnt AND kind = 'int' AND value BETWEEN 1 AND 10 THEN {w["small_count"]} WHEN cnt AND kind = 'int' AND value > 50 THEN {w["large_count"]} ELSE 0 END AS raw FROM f)""")
+    return """WITH m AS (SELECT l_orderkey AS query_id, unnest(['p', 'q', 'd']) AS mention_id, unnest([l_extendedprice, l_quantity, l_discount]) AS value, unnest(['currency', 'int', 'percent']) AS kind FROM lineitem WHERE l_linenumber <= 2),
+f AS (SELECT slot_name, mention_id, value, kind, st AS raw_type, cnt, (st = kind OR (st = 'currency' AND kind = 'int') OR (st = 'float' AND kind = 'int')) AS full_fit, ((st = 'int' AND kind = 'currency') OR (st = 'float' AND kind = 'currency')) AS loose,
+ ((st = 'percent') <> (kind = 'percent')) AS ex, CASE slot_name || mention_id WHEN 'MaxUnitPricep' THEN 2 WHEN 'NumberOfItemsq' THEN 2 WHEN 'DiscountRated' THEN 2 ELSE 0 END AS shared, (slot_name || mention_id = 'DiscountRated')::INT AS cues,
+ (slot_name || mention_id IN ('MaxUnitPricep', 'MinDemandq'))::INT AS ops FROM m CROSS JOIN (VALUES ('MaxUnitPrice', 'currency', false), ('NumberOfItems', 'int', true), ('DiscountRate', 'percent', false), ('MinDemand', 'float', false)) s(slot_name, st, cnt)),
+u AS (""" + " UNION ALL ".join(parts) + """) SELECT mode, slot_name, mention_id, count(*) AS n, count(*) - count(score) AS n_excluded, round(avg(score), 6) AS score FROM u GROUP BY ALL"""
+
+
 _SUM = "SELECT o_orderstatus AS variant, o_orderpriority AS baseline, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders WHERE o_orderkey >= 0 AND o_orderkey < {} GROUP BY ALL"
 _BOTH = "s AS (SELECT s_suppkey AS id, s_name AS name FROM supplier), c AS (SELECT c_custkey AS id, c_name AS name FROM customer)"
 _AUDIT = "e AS (SELECT p_partkey AS id, p_retailprice > 0 AND p_size > 5 AS ok FROM part), b AS (SELECT count(*) AS n FROM e WHERE id > 0), x AS (SELECT count(*) AS n, count(*) FILTER (WHERE NOT ok) AS bad FROM e WHERE id % 10 <> 0)"
@@ -180,4 +223,5 @@ ORACLES = {
     "previous_mention": "WITH e AS (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) SELECT prev, event_type, count(*) AS n FROM e GROUP BY ALL",
     "untyped_greedy": """WITH m AS (SELECT l_orderkey AS query_id, l_linenumber AS l, l_partkey AS pk, l_extendedprice AS ep, unnest([l_extendedprice, l_quantity, l_discount]) AS value, unnest([1, 2, 3]) AS k FROM lineitem WHERE l_linenumber <= 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY l, pk, ep, k) AS r FROM m) SELECT query_id, ['UnitPrice', 'NumberOfItems', 'DiscountRate', 'TotalWeight'][r] AS slot_name, value FROM r WHERE r <= 4""",
+    "link_scores": _link_sql(),
 }
