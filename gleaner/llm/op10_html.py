@@ -236,7 +236,10 @@ def extract(page: str | None, weights: Weights) -> str:
 def fitted(pages: DataFrame, most: int = TRAIN_PAGES) -> Weights:
     """Weights from a bounded sample of the pages that mark their article."""
     marked = pages.select("page_id", "html").filter((F.contains("html", F.lit("<article")) | F.contains("html", F.lit("<main"))) & (F.length("html") <= TRAIN_CHARS))
-    return train([r["html"] for r in marked.orderBy(F.xxhash64("page_id"), "page_id").limit(most).collect()])
+    ids = marked.select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(most).select("page_id").distinct()
+    # ids are chosen without their pages, so no task sends more than its share of the sample
+    rows = marked.join(F.broadcast(ids), "page_id")  # at most `most` ids
+    return train([r["html"] for r in rows.select("page_id", "html").limit(most).collect()])
 
 
 def main_text(pages: DataFrame, weights: Weights | None = None) -> DataFrame:

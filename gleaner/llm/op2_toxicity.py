@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import store
 
-TRAIN_ROWS, FEATURES = 20_000, 400_000
+TRAIN_ROWS, FEATURES = 20_000, 150_000
 PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 PRIOR, DRIFT, CLIP = 2.0, 0.7, (-1.0, 6.0)
 EVIDENCE = 4.5
@@ -221,8 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_ROWS) -> Model:
     m = {r["toxic"]: r["n"] for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not m.get(0) or not m.get(1):
         learn, m = rows, n
-    # a feature of one document says nothing beyond its prior; ties by name
-    top = counted(learn).filter("n0 + n1 > 1").orderBy(F.desc("n1"), F.desc("n0"), "feature").limit(FEATURES)
+    # a feature of a document or two says nothing beyond its prior; ties by name
+    top = counted(learn).filter("n0 + n1 > 2").orderBy(F.desc("n1"), F.desc("n0"), "feature").limit(FEATURES)
     counts = {r["feature"]: (r["n0"], r["n1"]) for r in top.collect()}
     model = Model(weigh(counts, m[0], m[1]))
 

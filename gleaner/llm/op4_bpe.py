@@ -50,6 +50,7 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed by the vocabulary file's pre-tokenizer.
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 END = "</w>"
+_NOT_SPACE = regex.compile("[\x1c-\x1f]")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -225,20 +226,27 @@ class Codec:
         self.v, self.lexicon, self.cache = vocabulary, lexicon, {}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
-    def word(self, w: str) -> bytes:
+    def word(self, w: str) -> list[int]:
+        """Ids of one pre-token."""
         raw = w.encode("utf-8", "surrogatepass")
         ids = self.lexicon.get(raw) if self.lexicon and len(raw) <= LEXICON_BYTES else None
-        packed = array("I", merged(raw, self.v) if ids is None else ids).tobytes()
+        return merged(raw, self.v) if ids is None else ids
+
+    def chunk(self, text: str) -> bytes:
+        """Packed ids of a stretch of text: no pre-token and no normalization reaches across white space."""
+        packed = array("I", [i for w in pretokens(text) for i in self.word(w)]).tobytes()
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
-        if len(w) <= LEXICON_BYTES:
-            self.cache[w] = packed
+        if len(text) <= LEXICON_BYTES:
+            self.cache[text] = packed
         return packed
 
     def _plain(self, text: str, out: list[bytes]) -> None:
+        if _NOT_SPACE.search(text):  # str.split takes these for white space, the vocabulary does not
+            out.append(self.chunk(text))
+            return
         cache = self.cache
-        for w in pretokens(text):
-            out.append(cache.get(w) or self.word(w))
+        out += [cache[w] if w in cache else self.chunk(w) for w in text.split()]
 
     def encode(self, text: str | None) -> array:
         """Token ids."""
@@ -260,19 +268,34 @@ class Codec:
 
 
 def frequent(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent pre-tokens of all documents; ties by the word."""
+    """The most frequent pre-tokens of all documents: all above the least count that leaves at most ``most``.
+
+    The threshold comes from a histogram of counts, so no task and no step sends the driver more than the words chosen.
+    """
 
     def run(batches):
         for batch in batches:
             seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(pretokens(text))
-            words = [w for w in seen if len(w) <= LEXICON_BYTES // 4]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], names=["w", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r["w"] for r in counts.filter("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()]
+                    seen.update(text.split())
+            words: Counter = Counter()
+            for chunk, n in seen.items():
+                for w in pretokens(chunk):
+                    if len(w) <= LEXICON_BYTES // 4:
+                        words[w] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["w", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = store.table(counts.withColumn("level", F.floor(F.log2("n") * 64).cast("int")), "op4-counts")
+    room, least = most, None
+    for r in counts.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():  # 64 levels for each doubling
+        if r["k"] > room:
+            break
+        room, least = room - r["k"], r["level"]
+    if least is None:
+        return []
+    return [r["w"] for r in counts.filter(F.col("level") >= least).select("w").collect()]
 
 
 def build(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
