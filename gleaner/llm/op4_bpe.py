@@ -33,6 +33,7 @@ import unicodedata
 from array import array
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +44,7 @@ from . import store
 
 LEXICON_WORDS = 60_000
 LEXICON_BYTES = 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 #: White space as Unicode's White_Space property has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -328,8 +329,12 @@ def encode(docs: DataFrame, *, path: str | None = None, lexicon: str | None = No
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                ids = pa.array([c.encode(t).tolist() for t in part.column("__text").to_pylist()], pa.list_(pa.int32()))
+                coded = [c.encode(t) for t in part.column("__text").to_pylist()]
+                ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(x.tobytes() for x in coded), np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=schema.names)
+        del c
+        store.trim()
 
     return rows.mapInArrow(run, schema)
 
@@ -369,6 +374,8 @@ def round_trip(docs: DataFrame, *, path: str | None = None, lexicon: str | None
                     ids.byteswap()
                 b.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=schema.names)
+        del c
+        store.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

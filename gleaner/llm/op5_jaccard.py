@@ -167,6 +167,7 @@ def signed(docs: DataFrame, plan: Plan, width: int = WIDTH) -> DataFrame:
                     ks.append(keys(s, plan, known).view(np.int64))
                     sk.append(parity(s))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _lists(ks), _lists(sk)], names=schema.names)
+        store.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -178,8 +179,19 @@ def stars(classes: DataFrame) -> DataFrame:
     to the shuffle, so a bucket's rows in the shuffle are bounded by the number of batches.
     """
 
-    def run(batches):
+    def gathered(batches):
+        held: list = []
         for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= 5_000 or sum(b.nbytes for b in held) > 8 << 20:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+        if held:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield from whole[:1]
+
+    def run(batches):
+        for batch in gathered(batches):
             col = batch.column("keys")
             counts = np.diff(np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1])
             k = col.flatten().to_numpy(zero_copy_only=False)

@@ -52,7 +52,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0], _POW[1]
 
 
-def pieces(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bytes, offsets) of runs of rows of at most ``most`` bytes, or one longer row; null is empty."""
     col = pc.fill_null(column, "").cast(pa.large_string())
     offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]

@@ -58,10 +58,23 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = "1000"
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared store and read it back: lineage ends here."""
+    """Write ``df`` as Parquet in the shared store and read it back: lineage ends here.
+
+    While it is written, Arrow batches are small, since rows may hold whole texts.
+    """
     path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH, None)
+    conf.set(BATCH, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(BATCH) if before is None else conf.set(BATCH, before)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._gleaner_path = path
     return back
@@ -88,6 +101,19 @@ def schema(text: str) -> T.StructType:
     return T.StructType.fromDDL(text) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(text)
 
 
+def trim() -> None:
+    """Give a worker's free memory back: workers outlive a stage and share an executor's memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
 def open_fs(uri: str):
     """(filesystem, path) of a URI for use inside a task: local, HDFS, S3 or GCS through Arrow."""
     from pyarrow import fs
