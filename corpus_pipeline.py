@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from gleaner.llm import op4_bpe, op5_jaccard, op6_secrets, op7_decontaminate, op9_quality, store
 
 
+NEAR = {"width": 5, "num": 4, "den": 5}
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return op9_quality.keep_good(docs)
@@ -21,10 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the join: that whose doc_id is the component.
 
-    Rows with a null doc_id link with nothing and stay; of rows that repeat one doc_id,
+    Documents link from a Jaccard similarity of 4/5 over five-word shingles on; op5's own
+    query has other values.  Rows with a null doc_id link with nothing and stay; of rows that repeat one doc_id,
     one stays.
     """
-    found = op5_jaccard.links(docs.select("doc_id", "text"))
+    found = op5_jaccard.links(docs.select("doc_id", "text"), **NEAR)
     first = found.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").select(*docs.columns)
     repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")

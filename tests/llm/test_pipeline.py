@@ -42,6 +42,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(out) == clean
 
 
+def test_near_duplicates_take_five_words_and_four_fifths(spark):
+    base = {i: _words(1000 + 100 * i, 60) for i in range(6)}
+    rows = list(base.items())
+    rows.append((10, f"{base[0]} {_words(7, 6)}"))  # 3 words 58/64, 5 words 56/62: linked by both
+    rows.append((11, f"{base[1]} {_words(8, 10)}"))  # 58/68 and 56/66: between the thresholds
+    rows.append((12, f"{base[2]} {_words(9, 20)}"))  # 58/78 and 56/76: linked by neither
+    rows += [(13, "one two three"), (14, "one two three"), (15, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == {c for _, _, c in op5_jaccard.brute_force(rows, 5, 4, 5)} == {0, 1, 2, 3, 4, 5, 12, 13, 15}
+    assert 11 in {c for _, _, c in op5_jaccard.brute_force(rows)}
+
+
+def test_near_links_at_four_fifths_equal_all_pairs(spark):
+    rng = random.Random(11)
+    rows = []
+    for n in (4, 5, 6, 9, 15, 30, 60, 120, 200):
+        for _ in range(4):
+            t = [f"v{rng.randrange(300)}" for _ in range(n)]
+            for _ in range(4):
+                rows.append((len(rows), " ".join(t)))
+                for _ in range(rng.choice((0, 1, 2))):
+                    t[rng.randrange(n)] = f"v{rng.randrange(300)}"
+    got = sorted(map(tuple, op5_jaccard.links(spark.createDataFrame(rows, "doc_id long, text string"), **corpus_pipeline.NEAR).collect()))
+    assert got == sorted(op5_jaccard.brute_force(rows, 5, 4, 5))
+
+
 def test_registry():
     q = queries.queries()
     for n in range(1, 11):
