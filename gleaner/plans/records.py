@@ -114,7 +114,7 @@ def _groups(spark, d):
         F.struct(F.col("l_quantity").cast("string").alias("raw"), F.col("l_quantity").alias("value"), F.lit("int").alias("kind")),
         F.struct(F.col("l_discount").cast("string").alias("raw"), F.col("l_discount").alias("value"), F.lit("percent").alias("kind")),
     )
-    li = table(spark, d, "lineitem").filter("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", kinds.alias("m"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", kinds.alias("m"))
     g = li.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "m"))).alias("x"))
     names = ["UnitPrice", "NumberOfItems", "DiscountRate", "TotalWeight"]
     slots = F.array(*[F.struct(F.lit(n).alias("slot_name"), T.slot_type(F.lit(n)).alias("slot_type"), T.identifier_words(F.lit(n)).alias("words")) for n in names])
@@ -154,8 +154,8 @@ def mps_parse(spark, d):
 
 
 def _links(spark, d, mode):
-    """Orders as queries: price and quantity of the first lines as mentions, three columns as slots."""
-    li = table(spark, d, "lineitem").filter("l_linenumber <= 2")
+    """Orders as queries: price, quantity and discount of all lines as mentions, three columns as slots."""
+    li = table(spark, d, "lineitem")
     words = lambda *w: F.array(*[F.lit(x) for x in w])
     kinds = F.array(
         F.struct(F.lit("p").alias("m"), F.col("l_extendedprice").alias("value"), F.lit("currency").alias("kind"), words("unit", "price", "total", "maximum").alias("context")),
