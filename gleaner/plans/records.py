@@ -145,8 +145,8 @@ def word_numbers(spark, d):
 
 
 def mps_parse(spark, d):
-    """MPS files made from orders: a row per order, a column per line item."""
-    li = table(spark, d, "lineitem").filter("l_orderkey <= 50")
+    """MPS files made from all orders with line items: a file per order, a column per line item."""
+    li = table(spark, d, "lineitem")
     col = F.concat(F.lit("    x"), F.col("l_linenumber").cast("string"), F.lit("  c1  "), F.col("l_quantity").cast("string"))
     f = li.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(col)), "\n").alias("cols"), F.max("l_linenumber").alias("n"))
     text = F.concat(F.lit("NAME  m\nROWS\n N  obj\n L  c1\nCOLUMNS\n"), F.col("cols"), F.lit("\nRHS\n    rhs  c1  10\nBOUNDS\n BV bnd  x1\nENDATA\n"))

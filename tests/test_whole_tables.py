@@ -71,3 +71,11 @@ def test_pairs_see_all_lines(spark, folder):
     assert (r.n_rows, r.n_positive, r.n_groups, r.groups_without, r.groups_with_several, r.n_duplicates) == (9 * len(LINES), 9, 9, 3, 3, 9)
     by = {r.feature: r for r in run(spark, folder, "feature_separation")}
     assert by["feat_type_match"].mean_pos == 1.0 and math.isfinite(by["feat_type_match"].mean_neg)
+
+
+def test_every_order_is_an_mps_file(spark, tmp_path):
+    rows = [(k, n, 1, 1.0, float(k % 50 + n), 0.0) for k in (1, 50, 51, 400, 123456) for n in (1, 2, 3)]
+    spark.createDataFrame(rows, LINE).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = run(spark, str(tmp_path), "mps_parse")
+    assert sorted(int(r.path) for r in got) == [1, 50, 51, 400, 123456]
+    assert {r.n_variables for r in got} == {3}
