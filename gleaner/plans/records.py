@@ -29,34 +29,36 @@ def extended_catalog(spark, d):
     return C.merge([a, b], last_wins=True)
 
 
-def _summary(spark, d, low, high):
-    o = table(spark, d, "orders").filter((F.col("o_orderkey") >= low) & (F.col("o_orderkey") < high))
-    return o.groupBy(F.col("o_orderstatus").alias("variant"), F.col("o_orderpriority").alias("baseline")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+def _summary(rows, variant, value):
+    return rows.groupBy(F.col(variant).alias("variant"), F.col("o_orderpriority").alias("baseline")).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"))
 
 
 def summary_upsert(spark, d):
-    return C.upsert(_summary(spark, d, 0, 5000), _summary(spark, d, 0, 400), ["variant", "baseline"])
+    """Orders by status and priority; summaries of their line items by line status replace those of one key."""
+    o = table(spark, d, "orders")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linestatus", "l_extendedprice")
+    new = _summary(li.join(o.select("o_orderkey", "o_orderpriority"), "o_orderkey"), "l_linestatus", "l_extendedprice")
+    return C.upsert(_summary(o, "o_orderstatus", "o_totalprice"), new, ["variant", "baseline"])
 
 
 def resume_remaining(spark, d):
-    """Customers without one of the first orders."""
-    done = table(spark, d, "orders").filter("o_orderkey < 1000").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without a finished order."""
+    done = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return C.resume(table(spark, d, "customer").select("c_custkey", "c_name"), done, "c_custkey")
 
 
 def catalog_audit(spark, d):
-    """Parts as problems: the name's words are variables, the size a constraint."""
+    """Parts as problems: the name's words are variables, the size a constraint.  Parts without a null or zero field are the extended catalog."""
     p = table(spark, d, "part")
     f = F.struct(F.split("p_name", " ").alias("variables"), F.when(F.col("p_retailprice") > 0, F.struct(F.lit("minimize").alias("sense"))).alias("objective"), F.when(F.col("p_size") > 5, F.array(F.col("p_size"))).alias("constraints"))
-    ext = p.select(F.col("p_partkey").alias("id"), f.alias("formulation"))
-    return C.audit(ext.filter("id > 0"), ext.filter("id % 10 <> 0"))
+    ext = p.select(F.col("p_partkey").alias("id"), f.alias("formulation"), (F.col("p_name").isNotNull() & (F.col("p_retailprice") != 0) & (F.col("p_size") != 0)).alias("filled"))
+    return C.audit(ext, ext.filter("filled"))
 
 
 def pair_systems(spark, d):
-    """Two systems by document: labelled quality and benchmark containment are stood in by parity of ids."""
-    lab = table(spark, d, "labels")
-    a = lab.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("key"), F.col("quality").alias("v"))
-    b = lab.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("key"), F.col("toxic").alias("v"))
+    """Two systems by document: whether it is English, of all documents, and the labelled quality, of the labelled ones."""
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("key"), (F.col("lang") == "en").cast("int").alias("v"))
+    b = table(spark, d, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("v"))
     return compare.pair(a, b, "key", "v").groupBy("side").agg(F.count("*").alias("n"), F.sum("a").cast("bigint").alias("sum_a"), F.sum("b").cast("bigint").alias("sum_b"))
 
 

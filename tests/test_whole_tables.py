@@ -79,3 +79,21 @@ def test_every_order_is_an_mps_file(spark, tmp_path):
     got = run(spark, str(tmp_path), "mps_parse")
     assert sorted(int(r.path) for r in got) == [1, 50, 51, 400, 123456]
     assert {r.n_variables for r in got} == {3}
+
+
+def test_catalog_and_comparison_see_all_rows(spark, tmp_path):
+    """Ids beyond every former bound, and multiples of 3, 5 and 10, count."""
+    d = str(tmp_path)
+    order = [(k, c, s, p, t) for k, c, s, p, t in ((1, 1, "F", "1-URGENT", 10.0), (6000, 2, "F", "1-URGENT", 30.0), (7000, 3, "P", "5-LOW", 8.0), (990000, 4, "O", "5-LOW", 4.0))]
+    spark.createDataFrame(order, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_totalprice double").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(1, "F", 2.0), (6000, "F", 4.0), (6000, "O", 7.0)], "l_orderkey long, l_linestatus string, l_extendedprice double").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(c, f"c{c}") for c in (1, 2, 3, 4, 5)], "c_custkey long, c_name string").write.parquet(f"{d}/customer.parquet")
+    part = [(0, "a b", 1.0, 9), (10, "c", 1.0, 9), (20, "d", 1.0, 3), (21, "e", 0.0, 9), (22, None, 1.0, 9), (23, "f", None, 9), (24, "g", 1.0, None)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_retailprice double, p_size int").write.parquet(f"{d}/part.parquet")
+    spark.createDataFrame([(i, lang) for i, lang in ((0, "en"), (3, "en"), (5, "de"), (7, None))], "doc_id long, lang string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(3, 1), (5, 1), (15, 0)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    got = lambda name: {tuple(r) for r in run(spark, d, name)}
+    assert got("summary_upsert") == {("F", "1-URGENT", 2, 3.0), ("O", "1-URGENT", 1, 7.0), ("P", "5-LOW", 1, 8.0), ("O", "5-LOW", 1, 4.0)}
+    assert got("resume_remaining") == {(3, "c3"), (4, "c4"), (5, "c5")}
+    assert got("catalog_audit") == {("warning", "stale_extended", 4), ("info", "incomplete", 1)}
+    assert got("pair_systems") == {("both", 2, 1, 2), ("only_a", 2, 1, None), ("only_b", 1, None, 0)}
