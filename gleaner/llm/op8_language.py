@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from . import store
 
 TRAIN_ROWS, TRIGRAMS = 4_000, 8_000
-TEMPER, TEXT_CAP, PRIOR = 0.2, 12.0, 5.0
+TEMPER, PRIOR = 0.2, 5.0
 _GAP = re.compile(r"[\W\d_]+")
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
@@ -112,7 +112,7 @@ def evidence(pages: DataFrame, langs: list[str], like: dict[int, list[float]]) -
                         continue
                     i = np.minimum(np.searchsorted(codes, g), len(codes) - 1)
                     sums = TEMPER * (n @ table[np.where(codes[i] == g, i, 0)])
-                    out.append(np.maximum(sums - sums.max(), -TEXT_CAP).tolist())
+                    out.append((sums - sums.max()).tolist())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in schema.names[:-1]], pa.array(out, pa.list_(pa.float64()))], names=schema.names)
 
     return base.mapInArrow(run, schema)

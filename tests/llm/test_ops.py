@@ -8,6 +8,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import op1_warc, op2_toxicity, op3_chat, op4_bpe, op5_jaccard, op6_secrets, op7_decontaminate, op8_language, op9_quality, op10_html, store
 
@@ -295,6 +296,18 @@ def test_language_fusion(spark):
     assert {r.lang for r in op8_language.fuse(op8_language.evidence(df, none, table), none).collect()} == {None}
 
 
+def test_language_of_a_wrongly_declared_page_at_any_size(spark):
+    en, de = "the house and the garden of the old man with water ", "das haus und der garten von dem alten mann mit wasser "
+    langs, like = op8_language.train(spark.createDataFrame([(i, (en, de)[i % 2] * 5, ("en", "de")[i % 2], "s", 0) for i in range(40)], DOCS))
+    page = lambda text: f'<html lang="en"><body><p>{text}</p></body></html>'
+    for n in (30, 30_000):
+        rows = spark.range(n).select(F.col("id").alias("page_id"), F.lit("http://a.site.net/").alias("url"), F.lit(page(en * 20)).alias("html"))
+        rows = rows.union(spark.range(n // 5).select(n + F.col("id"), F.lit("http://b.other.net/"), F.lit(page(de * 20).replace("en", "de", 1))))
+        rows = rows.union(spark.createDataFrame([(-1, "http://a.site.net/x", page(de * 20))], rows.schema))
+        got = op8_language.fuse(op8_language.evidence(rows, langs, like), langs)
+        assert [r.lang for r in got.filter("page_id = -1").collect()] == ["de"], n
+
+
 # 9: quality
 
 
