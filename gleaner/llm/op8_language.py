@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import store
 
@@ -70,7 +71,8 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[str], dict[int,
     sample = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").filter("lang is not null")  # at most `most` ids
     counts = sample.select("text", "lang").mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     by: dict[str, dict[int, int]] = {}
-    for r in counts.orderBy(F.desc("n"), "lang", "g").limit(TRIGRAMS * 8).collect():
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "g")  # tasks keep their first TRIGRAMS of a language before the shuffle
+    for r in counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TRIGRAMS).collect():
         by.setdefault(r["lang"], {})[r["g"]] = r["n"]
     langs = sorted(by)
     grams = {g for c in by.values() for g in c}

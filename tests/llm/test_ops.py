@@ -308,6 +308,20 @@ def test_language_of_a_wrongly_declared_page_at_any_size(spark):
         assert [r.lang for r in got.filter("page_id = -1").collect()] == ["de"], n
 
 
+def test_language_tables_are_bounded_per_language(spark, monkeypatch):
+    monkeypatch.setattr(op8_language, "TRIGRAMS", 20)
+    random.seed(8)
+    wide = [" ".join("".join(chr(0x4E00 + random.randrange(40)) for _ in range(6)) for _ in range(400)) for _ in range(20)]
+    rows = [(i, t * 2, "zh", "s", 0) for i, t in enumerate(wide)] + [(100, "the house and the garden", "en", "s", 0)]
+    langs, like = op8_language.train(spark.createDataFrame(rows, DOCS))
+    assert langs == ["en", "zh"]
+    most = op8_language.trigrams("the house and the garden")
+    order = sorted(zip(most[0].tolist(), most[1].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+    unseen = like[-1][0]
+    assert {g for g in like if g != -1 and like[g][0] > unseen} == {g for g, _ in order[:20]}
+    assert sum(like[g][1] > like[-1][1] for g in like) == 20
+
+
 # 9: quality
 
 
