@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.text import draw
 
 Z95 = 1.959963984540054
+REPS = 1000
 
 
 def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
@@ -42,7 +43,7 @@ def mcnemar(b: Column, c: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), 2 * F.exp(F.log(tail) - n * F.log(F.lit(2.0)))))
 
 
-def resampled_means(values: DataFrame, value: str, *, reps: int = 200, seed: int = 42) -> DataFrame:
+def resampled_means(values: DataFrame, value: str, *, reps: int = REPS, seed: int = 42) -> DataFrame:
     """rep, mean: bootstrap means of a metric vector (key, value).
 
     Draw i of repetition b takes the row at position hash(b, i, seed) mod n.  Positions are given once,
@@ -57,7 +58,7 @@ def resampled_means(values: DataFrame, value: str, *, reps: int = 200, seed: int
     return draws.join(at, "at").groupBy("rep").agg(F.avg("v").alias("mean"))
 
 
-def bootstrap_ci(values: DataFrame, value: str = "value", *, reps: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def bootstrap_ci(values: DataFrame, value: str = "value", *, reps: int = REPS, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """mean, lo, hi: percentile interval with the order statistics int(alpha/2 B) and int((1 - alpha/2) B) - 1."""
     means = resampled_means(values, value, reps=reps, seed=seed).withColumn("r", F.row_number().over(Window.orderBy("mean", "rep")) - 1)
     lo, hi = int(alpha / 2 * reps), int((1 - alpha / 2) * reps) - 1
@@ -65,7 +66,7 @@ def bootstrap_ci(values: DataFrame, value: str = "value", *, reps: int = 200, al
     return seen.crossJoin(means.agg(F.max(F.when(F.col("r") == lo, F.col("mean"))).alias("lo"), F.max(F.when(F.col("r") == hi, F.col("mean"))).alias("hi")))  # one row each
 
 
-def paired_bootstrap(pairs: DataFrame, *, reps: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, *, reps: int = REPS, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """diff (mean a - b by key), lo, hi, and p: twice the share of means of the other sign or zero, at most 1."""
     d = pairs.select("key", (F.col("a").cast("double") - F.col("b").cast("double")).alias("value"))
     ci = bootstrap_ci(d, reps=reps, alpha=alpha, seed=seed).withColumnRenamed("mean", "diff")

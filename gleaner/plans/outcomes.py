@@ -92,12 +92,12 @@ def mcnemar_by_source(spark, d):
 
 def bootstrap_ci(spark, d):
     v = _outcomes(spark, d).select("key", F.col("a").alias("value"))
-    r = stats.bootstrap_ci(v, reps=100)
+    r = stats.bootstrap_ci(v)
     return r.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
 
 
 def paired_bootstrap(spark, d):
-    r = stats.paired_bootstrap(_outcomes(spark, d), reps=100)
+    r = stats.paired_bootstrap(_outcomes(spark, d))
     return r.select("n", *[F.round(c, 6).alias(c) for c in ("diff", "lo", "hi", "p")])
 
 

@@ -1,6 +1,7 @@
 """Registered queries use every row of their tables, against brute force on small ones."""
 
 import collections
+import hashlib
 import math
 
 import pytest
@@ -97,3 +98,23 @@ def test_catalog_and_comparison_see_all_rows(spark, tmp_path):
     assert got("resume_remaining") == {(3, "c3"), (4, "c4"), (5, "c5")}
     assert got("catalog_audit") == {("warning", "stale_extended", 4), ("info", "incomplete", 1)}
     assert got("pair_systems") == {("both", 2, 1, 2), ("only_a", 2, 1, None), ("only_b", 1, None, 0)}
+
+
+def test_bootstraps_draw_a_thousand_times(spark, tmp_path):
+    d = str(tmp_path)
+    rows = [(i, int(i % 3 > 0), int(i % 2 == 0)) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    draw = lambda b, i: int(hashlib.md5(f"42-{b}-{i}".encode()).hexdigest()[:8], 16) % 30
+
+    def means(v):
+        return sorted(sum(v[draw(b, i)] for i in range(30)) / 30 for b in range(1000))
+
+    a, x = [r[1] for r in rows], [r[1] - r[2] for r in rows]
+    (r,) = run(spark, d, "bootstrap_ci")
+    m = means(a)
+    assert tuple(r) == (30, *[pytest.approx(v, abs=1e-6) for v in (sum(a) / 30, m[25], m[974])])
+    (r,) = run(spark, d, "paired_bootstrap")
+    m = means(x)
+    p = 2 * sum(v <= 0 for v in m) / 1000
+    assert tuple(r) == (30, *[pytest.approx(v, abs=1e-6) for v in (sum(x) / 30, m[25], m[974], p)])
+    assert 0 < p < 1
