@@ -138,48 +138,172 @@ def ranker(name: str):
     return RANKERS[name]
 
 
-def lsa(docs: DataFrame, queries: DataFrame, *, k: int = 10, rank: int = 64, terms: int = 512) -> DataFrame:
-    """Latent semantic ranking: truncated SVD of the tf-idf matrix over the ``terms`` most frequent terms.
+def _scratch(spark) -> str:
+    """A new path in the folder that all executors share; a local session without one gets a temporary folder."""
+    import tempfile
+    import uuid
 
-    Every task sums its documents' outer products into one Gram matrix of terms x terms; the matrices'
-    rows are summed by row number in the cluster.  The leading eigenvectors of the sum, a matrix of fixed
-    size, fold documents and queries into ``rank`` dimensions, which are ranked by cosine.
-    """
-    import numpy as np
-    import pyarrow as pa
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="gleaner-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/lsa-{uuid.uuid4().hex}"
 
-    weights, idf = tfidf_weights(docs)
-    kept = postings(docs, T.tfidf_tokens(F.col("text"))).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(terms)
-    names = [r["term"] for r in kept.collect()]
-    spark, n = docs.sparkSession, len(names)
-    if not n:
-        return dense(weights.select(F.col("doc_id").alias("vec_id"), F.array().cast("array<double>").alias("embedding")).limit(0), queries.select("query_id", F.array().cast("array<double>").alias("embedding")).limit(0), k=k)
-    at = spark.createDataFrame(list(enumerate(names)), "at int, term string")
-    rows = weights.join(F.broadcast(at), "term").groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("weight").alias("w"))  # `terms` rows
-
-    def gram(batches):
-        g = np.zeros((n, n))
-        for batch in batches:
-            for i, w in zip(batch.column("at").to_pylist(), batch.column("w").to_pylist(), strict=True):
-                g[np.ix_(i, i)] += np.outer(w, w)
-        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(list(g), pa.list_(pa.float64()))], names=["i", "row"])
-
-    def total(batches):
-        sums: dict = {}
-        for batch in batches:
-            for i, row in zip(batch.column("i").to_pylist(), batch.column("row").to_numpy(zero_copy_only=False), strict=True):
-                sums[i] = sums.get(i, 0.0) + row
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["i", "row"])
 
-    parts = rows.select("at", "w").mapInArrow(gram, "i int, row array<double>").repartition("i").mapInArrow(total, "i int, row array<double>").collect()
-    whole = np.array([r["row"] for r in sorted(parts, key=lambda r: r["i"])])  # terms x terms
-    basis = np.linalg.eigh(whole)[1][:, ::-1][:, : min(rank, n)]
-    axes = spark.createDataFrame([(t, [float(v) for v in basis[i]]) for i, t in enumerate(names)], "term string, b array<double>")
+def grams(words: Column) -> Column:
+    """Words and pairs of neighbouring words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.concat(words, F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
 
-    def folded(df, key):
-        part = df.join(F.broadcast(axes), "term").select(key, F.posexplode(F.transform("b", lambda v: v * F.col("w"))).alias("i", "v"))  # `terms` rows
-        return part.groupBy(key, "i").agg(F.sum("v").alias("v")).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("embedding"))
 
-    asked = query_terms(queries, T.tfidf_tokens(F.col("query"))).join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    d = folded(weights.withColumnRenamed("weight", "w"), "doc_id").withColumnRenamed("doc_id", "vec_id")
-    return dense(d, folded(asked, "query_id"), k=k)
+def lsa(docs: DataFrame, queries: DataFrame, *, k: int = 10, rank: int = 256, blocks: int = 32, more: int = 10, rounds: int = 5) -> DataFrame:
+    """Latent semantic ranking: truncated SVD of the tf-idf matrix A of all words and word pairs, ranked by cosine.
+
+    Subspace iteration on A A' from a start drawn by doc_id; ``doc_id`` is an integer.  Terms of one document
+    add only to the diagonal.  The others are dealt to ``blocks``: a task multiplies its block's columns with
+    all rows of the subspace and back, so terms are never sent out.  Only matrices of ``rank`` + ``more`` rows
+    and columns reach the driver.  With A = U S V', a query's place q V is (q A') U / S, whose first factor is
+    a join on terms.  A task holds the subspace's rows of all documents.
+    """
+    import numpy as np
+    import pyarrow as pa
+    spark, top, made = docs.sparkSession, _scratch(docs.sparkSession), []
+
+    def keep(df):
+        """``df`` as a Parquet table: lineage ends here."""
+        made.append(f"{top}/{len(made)}")
+        df.write.parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    def drop(*paths):
+        for x in paths:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    split = docs.select("doc_id", T.tfidf_tokens(F.col("text")).alias("w"))
+    weights, idf = tfidf_weights(split, grams(F.col("w")))
+    weights, idf = keep(weights), keep(idf)
+    df = weights.groupBy("term").agg(F.count("*").alias("df"))
+    cells = keep(weights.join(df, "term").select("doc_id", F.xxhash64("term").alias("t"), "weight", "df"))
+    alone = cells.groupBy("doc_id").agg(F.coalesce(F.sum(F.when(F.col("df") == 1, F.col("weight") * F.col("weight"))), F.lit(0.0)).alias("own"))
+    shared = keep(cells.filter("df > 1").select(F.pmod("t", F.lit(blocks)).cast("int").alias("block"), "t", "doc_id", "weight"))
+    n = docs.count()
+    none = dense(docs.select(F.col("doc_id").alias("vec_id"), F.array().cast("array<double>").alias("embedding")).limit(0), queries.select("query_id", F.array().cast("array<double>").alias("embedding")).limit(0), k=k)
+    rank = min(rank, n - 1, idf.count())
+    width = min(max(rank, 1) + more, n)
+    if weights.isEmpty():
+        drop(top)
+        return none
+    rank = max(rank, 1)
+
+    def rows(column):
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, width))
+
+    def lists(m):
+        m = np.ascontiguousarray(m, np.float64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+
+    def start(batches):
+        for b in batches:
+            m = [np.random.default_rng(i & (1 << 63) - 1).standard_normal(width) for i in b.column("doc_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("own"), lists(np.array(m).reshape(-1, width))], names=["doc_id", "own", "q"])
+
+    def product(left, right):
+        out = ["doc_id", "y"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64()), lists(np.zeros((0, width)))], names=out)
+        ids = right.column("doc_id").to_numpy()
+        q, order = rows(right.column("q")), np.argsort(ids)
+        t = left.column("t").to_numpy()
+        by = np.argsort(t, kind="stable")
+        t, w, at = t[by], left.column("weight").to_numpy()[by], order[np.searchsorted(ids[order], left.column("doc_id").to_numpy()[by])]
+        first = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]))
+        y, x = np.zeros_like(q), 0
+        while x < len(first) - 1:  # whole terms, about 20,000 cells at once
+            to = max(x + 1, int(np.searchsorted(first, first[x] + 20_000, "right")) - 1)
+            a, b = first[x], first[to]
+            z = np.add.reduceat(q[at[a:b]] * w[a:b, None], first[x:to] - a, axis=0)
+            back = np.repeat(z, np.diff(first[x : to + 1]), axis=0) * w[a:b, None]
+            o = np.argsort(at[a:b], kind="stable")
+            d = at[a:b][o]
+            head = np.concatenate(([0], np.flatnonzero(d[1:] != d[:-1]) + 1))
+            y[d[head]] += np.add.reduceat(back[o], head, axis=0)
+            x = to
+        hit = np.unique(at)
+        return pa.table([pa.array(ids[hit]), lists(y[hit])], names=out)
+
+    def added(batches):
+        sums: dict = {}
+        for b in batches:
+            for i, y in zip(b.column("doc_id").to_pylist(), rows(pa.chunked_array([b.column("y")])), strict=True):
+                sums[i] = sums[i] + y if i in sums else y.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), lists(np.array(list(sums.values())).reshape(-1, width))], names=["doc_id", "y"])
+
+    def times(q):
+        """doc_id, own, q, y = A A' q."""
+        far = q.select("doc_id", "q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        part = shared.groupBy("block").cogroup(far.groupBy("block")).applyInArrow(product, "doc_id long, y array<double>")
+        y = part.repartition("doc_id").mapInArrow(added, "doc_id long, y array<double>")
+        near = F.transform("q", lambda v: v * F.col("own"))
+        return q.join(y, "doc_id", "left").select("doc_id", "own", "q", F.when(F.col("y").isNull(), near).otherwise(F.zip_with("y", near, lambda a, b: a + b)).alias("y"))
+
+    def cross(df, a, b):
+        """The matrix a' b, of fixed size."""
+
+        def run(batches):
+            g = np.zeros((width, width))
+            for x in batches:
+                g += rows(pa.chunked_array([x.column(a)])).T @ rows(pa.chunked_array([x.column(b)]))
+            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], names=["g"])
+
+        return sum(np.frombuffer(r["g"]).reshape(width, width) for r in df.mapInArrow(run, "g binary").collect())
+
+    def turned(df, a, m, name="q"):
+        """``df`` with ``a`` times m, columns that m lacks being 0."""
+        full = np.zeros((width, width))
+        full[:, : m.shape[1]] = m
+
+        def run(batches):
+            for x in batches:
+                yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("own"), lists(rows(pa.chunked_array([x.column(a)])) @ full)], names=["doc_id", "own", name])
+
+        return df.mapInArrow(run, f"doc_id long, own double, {name} array<double>")
+
+    def orthogonal(df, a):
+        e, v = np.linalg.eigh(cross(df, a, a))
+        ok = e > e[-1] * 1e-13
+        return turned(df, a, v[:, ok] / np.sqrt(e[ok]))
+
+    q = keep(alone.mapInArrow(start, "doc_id long, own double, q array<double>"))
+    q = keep(orthogonal(q, "q"))
+    for _ in range(rounds):
+        q = keep(orthogonal(keep(times(q)), "y"))
+        drop(*made[-4:-2])  # what the last round read is not needed again
+    y = keep(times(q))
+    e, v = np.linalg.eigh(cross(y, "q", "y"))
+    e, v = e[::-1][:rank], v[:, ::-1][:, :rank]
+    e, v = e[e > e[0] * 1e-10], v[:, e > e[0] * 1e-10]
+    s, u = np.sqrt(e), keep(turned(y, "q", v, "u"))
+    size = len(s)
+
+    asked = query_terms(queries.select("query_id", T.tfidf_tokens(F.col("query")).alias("w")), grams(F.col("w"))).join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    met = asked.join(weights, "term").groupBy("doc_id", "query_id").agg(F.sum(F.col("w") * F.col("weight")).alias("s"))
+    met = met.groupBy("doc_id").agg(F.collect_list("query_id").alias("ids"), F.collect_list("s").alias("s")).join(u, "doc_id")
+
+    def folded(batches):
+        sums: dict = {}
+        for b in batches:
+            for ids, c, x in zip(b.column("ids").to_pylist(), b.column("s").to_pylist(), rows(pa.chunked_array([b.column("u")])), strict=True):
+                for i, v in zip(ids, c, strict=True):
+                    sums[i] = sums.get(i, 0.0) + v * x[:size]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), id_type), lists(np.array(list(sums.values())).reshape(-1, size))], names=["query_id", "x"])
+
+    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[queries.schema["query_id"].dataType.simpleString()]
+    part = met.select("ids", "s", "u").mapInArrow(folded, f"query_id {queries.schema['query_id'].dataType.simpleString()}, x array<double>")
+    place = part.select("query_id", F.posexplode("x").alias("i", "v")).groupBy("query_id", "i").agg(F.sum("v").alias("v")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("x"))
+    scale = F.array(*[F.lit(float(x)) for x in s])
+    place = place.select("query_id", F.zip_with("x", scale, lambda a, b: a["v"] / b).alias("embedding"))
+    here = u.select(F.col("doc_id").alias("vec_id"), F.zip_with(F.slice("u", 1, size), scale, lambda a, b: a * b).alias("embedding"))
+    found = keep(dense(here, place, k=k))
+    drop(*made[:-1])
+    return found

@@ -3,11 +3,14 @@
 import collections
 import hashlib
 import math
+import random
 
+import numpy as np
 import pytest
 
 from gleaner import plans
 from gleaner.operators import assign as G
+from gleaner.operators import retrieval
 
 #: Order 1 has more than two lines, order 2 none of the first two, order 3 a repeated line number.
 LINES = [(1, n, 10 * n, 100.0 * n + 1, float(7 * n), n / 100) for n in range(1, 8)] + [(2, 4, 5, 50.0, 8.0, 0.04), (2, 6, 6, 60.0, 3.0, 0.06)] + [(3, 1, 1, 20.0, 2.0, 0.02), (3, 1, 2, 30.0, 60.0, 0.03)]
@@ -118,3 +121,32 @@ def test_bootstraps_draw_a_thousand_times(spark, tmp_path):
     p = 2 * sum(v <= 0 for v in m) / 1000
     assert tuple(r) == (30, *[pytest.approx(v, abs=1e-6) for v in (sum(x) / 30, m[25], m[974], p)])
     assert 0 < p < 1
+
+
+@pytest.mark.parametrize(("rank", "rounds"), [(256, 1), (5, 8)])
+def test_lsa_equals_a_full_decomposition(spark, rank, rounds):
+    """All words and pairs of words count: 700 distinct words, of which a query has rare ones only."""
+    rng = random.Random(3)
+    topics = [[f"w{rng.randrange(700)}" for _ in range(60)] for _ in range(5)]
+    texts = [" ".join(w if rng.random() < 0.8 else f"w{rng.randrange(700)}" for w in topics[i % 5]) for i in range(40)]
+    texts[7] += " rarest of all"
+    texts[9] = " ".join(reversed(texts[8].split()))  # the same words, other pairs
+    asked = [texts[7][-14:], " ".join(texts[8].split()[5:12]), texts[20][:30]]
+    got = {(r.query_id, r.doc_id): r.score for r in retrieval.lsa(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"), k=40, rank=rank, blocks=3, rounds=rounds).collect()}
+
+    def terms(t):
+        w = t.split()
+        return collections.Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+
+    tf = [terms(t) for t in texts]
+    names = sorted(set().union(*tf))
+    idf = np.array([math.log(41 / (1 + sum(n in c for c in tf))) + 1 for n in names])
+    m = np.array([[c[n] for n in names] for c in tf]) * idf
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    v = np.linalg.svd(m, full_matrices=False)[2][: min(rank, 39)].T
+    q = np.array([[terms(t)[n] for n in names] for t in asked]) * idf @ v
+    d = m @ v
+    want = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (d / np.linalg.norm(d, axis=1, keepdims=True)).T
+    assert len(got) == want.size
+    assert max(abs(got[i, j] - want[i, j]) for i, j in got) < 1e-4
+    assert max(range(40), key=lambda j: got[0, j]) == 7 or rank == 5
