@@ -7,6 +7,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,9 +173,29 @@ def test_bpe_odd_texts_and_lexicon():
     assert op4_bpe.Lexicon(op4_bpe.compile_lexicon({})).get(b"a") is None
     c = op4_bpe.Codec(v, lex)
     random.seed(2)
-    for _ in range(300):
-        s = "".join(random.choice("aB'sΣσİ½² \n\x1c\x85　é中🙂<|endoftext|>the_-!9") for _ in range(random.randint(0, 50)))
-        assert c.encode(s).tolist() == t.encode(s, add_special_tokens=False).ids, s
+    parts = [*"aB'sΣσİ½² \n\x1c\x85　é中🙂<|>the_-!9\u0301\u200b\x00", "<|endoftext|>", "<|startoftext|>", "<|end", "'LL", "don't", "the mother"]
+    for _ in range(1500):
+        s = "".join(random.choice(parts) for _ in range(random.randint(0, 50)))
+        ids = t.encode(s, add_special_tokens=False).ids
+        assert c.encode(s).tolist() == ids, s
+        assert c.decode_batch(np.array(ids, np.uint32), np.array([0, len(ids)]))[0].as_py() == t.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_long_texts_are_cut_and_merged_together(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(op4_bpe.vocabulary_path())
+    v = op4_bpe.Vocabulary(op4_bpe.vocabulary_path())
+    random.seed(9)
+    words = [bytes(random.choices(b"abcdeing\xc3\xa9", k=random.randint(1, 40))) for _ in range(2000)]
+    ids, n = op4_bpe.merged_all(words, v)
+    assert ids.tolist() == [i for w in words for i in op4_bpe.merged(w, v)] and n.sum() == len(ids)
+    text = " ".join("".join(random.choices("abcdefgh.,é", k=random.randint(1, 12))) for _ in range(3000)) + " <|endoftext|> " + "x" * 5000
+    got = list(op4_bpe.stretches(pa.array([None, text, "short"]), 4000))
+    assert len(got) > 4 and "".join(s.as_py() for k, part in got for s in part if 1 in k) == text
+    c = op4_bpe.Codec(v)
+    whole = np.concatenate([c.encode_batch(part)[0] for k, part in got if 1 in k])
+    assert whole.tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 # 5: Jaccard join
