@@ -15,8 +15,10 @@ segments only, z of them, then the other m - z differ in H = m - 1 shingles
 together, so at least m - 2 z + 1 of them differ in exactly one, and at least one of
 those is among the first 2 z.  With z > m / 2 nothing is left out.
 
-Verification.  Sets with equal fingerprints are one class and take part once.  In a
-key's bucket, members are compared with the bucket's least member; classes joined by
+Verification.  Texts with equal sequences of words, told by 128-bit BLAKE2 digests, are one
+class and take part once; every other link is compared on the texts themselves, where
+hashes stand for shingles only after a check that no two of these texts' shingles share
+one.  In a key's bucket, members are compared with the bucket's least member; classes joined by
 these links are components.  Buckets that then still hold several components have all
 their pairs across components compared, and the links found join the components
 finally.  So every pair that could join two components has been compared exactly, and
@@ -27,11 +29,11 @@ shingles in which the sets differ, and a pair beyond H is dismissed rightly.
 
 Large buckets.  Across components, members meet in cells of at most two blocks of
 ``BLOCK`` members, so no task holds a bucket, whatever its size; dismissed pairs are never
-rows.
+rows, and those found leave the task as they come.
 
 Defined results.  Null, empty or blank text: an empty set, linked with nothing,
 component_id its own doc_id.  Rows with one doc_id are one node: their links are
-pooled.  A null doc_id links with nothing and has a null component.  Repeated rows are
+pooled, also where their texts differ and belong to different classes.  A null doc_id links with nothing and has a null component.  Repeated rows are
 all returned.  Extra columns are ignored.
 """
 
@@ -41,6 +43,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,8 +81,7 @@ class Plan:
         out, low = [], n
         while low * self.num <= n * self.den:
             high = self.band(low)[1]
-            if self.differ(high):  # else only equal sets link, and they are one class
-                out.append((high, self.differ(high) + 1))
+            out.append((high, self.differ(high) + 1))
             low = high + 1
         return out
 
@@ -87,6 +89,8 @@ class Plan:
 def keys(s: np.ndarray, plan: Plan, known: dict) -> np.ndarray:
     """The index keys (uint64) of one set."""
     n = len(s)
+    if not n:
+        return np.empty(0, U)
     if n not in known:
         if len(known) > 100_000:
             known.clear()
@@ -106,7 +110,7 @@ def keys(s: np.ndarray, plan: Plan, known: dict) -> np.ndarray:
         full = shingles.mix(total + name)
         costly = count < plan.least
         z = int(costly.sum())
-        if not z:
+        if not z or m == 1:  # with one segment only equal sets link
             out.append(full)
             continue
         out.append(full if 2 * z > m else full[~costly])
@@ -117,14 +121,9 @@ def keys(s: np.ndarray, plan: Plan, known: dict) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U)
 
 
-def _print(s: np.ndarray) -> tuple[int, int]:
-    """128-bit fingerprint of a set."""
-    a = shingles.mix(s + U(0x1B873593CC9E2D51)).sum(dtype=U)
-    b = shingles.mix(s ^ U(0x71D67FFFEDA60000)).sum(dtype=U)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
-
-
-BLOCK = 4096
+BLOCK = 512
+#: Pairs that a task sends on at once.
+FLUSH = 50_000
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -148,7 +147,7 @@ def fold(sketches: np.ndarray, words: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, plan: Plan, width: int = WIDTH) -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint), keys and sketch of every row."""
+    """doc_id, n, f1, f2 (digest of its words), keys and sketch of every row; f1 and f2 are null without words."""
     out = store.schema("n long, f1 long, f2 long, keys array<long>, sketch array<long>")
     schema = docs.select("doc_id").schema
     for f in out:
@@ -160,12 +159,13 @@ def signed(docs: DataFrame, plan: Plan, width: int = WIDTH) -> DataFrame:
             n, f1, f2, ks, sk = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for s in shingles.shingle_sets(batch.column("text"), width):
-                    a, b = _print(s)
                     n.append(len(s))
-                    f1.append(a)
-                    f2.append(b)
                     ks.append(keys(s, plan, known).view(np.int64))
                     sk.append(parity(s))
+            for part in shingles.pieces(batch.column("text")):
+                for d in shingles.digests(part):
+                    f1.append(d and int.from_bytes(d[:8], "little", signed=True))
+                    f2.append(d and int.from_bytes(d[8:], "little", signed=True))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _lists(ks), _lists(sk)], names=schema.names)
         store.trim()
 
@@ -262,7 +262,7 @@ def across(members: DataFrame, plan: Plan) -> DataFrame:
     num, den = plan.num, plan.den
 
     def pairs(rows):
-        """Index pairs of one cell's rows [own, i, x, c, n, sketch]."""
+        """Arrays (a, b) of the pairs of one cell's rows [own, i, x, c, n, sketch], row by row."""
         words = min(len(r[5]) for r in rows)
         sk = np.stack([fold(r[5], words) for r in rows])
         own, blk, x, c, n = rows[0][0], *(np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
@@ -274,17 +274,11 @@ def across(members: DataFrame, plan: Plan) -> DataFrame:
             at = np.flatnonzero(ok) + i + 1
             if len(at):
                 near = at[np.bitwise_count(sk[at] ^ sk[i]).sum(axis=1) <= (n[at] + n[i]) * (den - num) // (den + num)]
-                for j in near.tolist():
-                    yield (int(x[i]), int(x[j])) if x[i] < x[j] else (int(x[j]), int(x[i]))
-
-    def run(batches):
-        cell, rows, out = None, [], set()
-
-        def flush():
-            got = list(out)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in got], pa.int64()), pa.array([p[1] for p in got], pa.int64())], names=["a", "b"])
+                yield np.minimum(x[near], x[i]), np.maximum(x[near], x[i])
 
+    def cells_of(batches):
+        """Rows of one cell after another."""
+        cell, rows = None, []
         for batch in batches:
             col = batch.column("sketch")
             ends = np.concatenate(([0], np.cumsum(np.diff(np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1])))).tolist()
@@ -293,13 +287,26 @@ def across(members: DataFrame, plan: Plan) -> DataFrame:
             for at, (h, k, *rest) in enumerate(zip(*columns, strict=True)):
                 if (h, k) != cell:
                     if len(rows) > 1:
-                        out.update(pairs(rows))
-                    if len(out) > 50_000:
-                        yield flush()
+                        yield rows
                     cell, rows = (h, k), []
                 rows.append((*rest, flat[ends[at] : ends[at + 1]]))
         if len(rows) > 1:
-            out.update(pairs(rows))
+            yield rows
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            a, b = (np.concatenate([p[k] for p in held] or [np.empty(0, np.int64)]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for rows in cells_of(batches):
+            for both in pairs(rows):
+                held.append(both)
+                size += len(both[0])
+                if size > FLUSH:
+                    yield flush()
+                    held, size = [], 0
         yield flush()
 
     return dealt.repartition(parts, "cell").sortWithinPartitions("cell", "key").mapInArrow(run, "a long, b long").distinct()
@@ -313,23 +320,36 @@ def verified(pairs: DataFrame, docs: DataFrame, plan: Plan, width: int = WIDTH)
     two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     num, den = plan.num, plan.den
 
+    def parts(batch, rows=512, most=4 << 20):
+        """Slices of at most ``rows`` pairs and about ``most`` bytes of texts."""
+        sizes = (pc.binary_length(pc.fill_null(batch.column("ta"), "")).to_numpy(zero_copy_only=False).astype(np.int64) + pc.binary_length(pc.fill_null(batch.column("tb"), "")).to_numpy(zero_copy_only=False)).tolist()
+        at = 0
+        while at < len(sizes):
+            to, held = at, 0
+            while to < len(sizes) and to - at < rows and (to == at or held + sizes[to] <= most):
+                held += sizes[to]
+                to += 1
+            yield batch.slice(at, to - at)
+            at = to
+
     def run(batches):
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                enc = part.column("ta").dictionary_encode()  # the bucket's least member recurs
+            for part in parts(batch):
+                enc = pc.fill_null(part.column("ta"), "").dictionary_encode()  # the bucket's least member recurs
+                right = pc.fill_null(part.column("tb"), "")
                 with np.errstate(over="ignore"):
-                    left = list(shingles.shingle_sets(enc.dictionary, width))
+                    sets = shingles.exact_sets(pa.concat_arrays([enc.dictionary, right]), width)
                     keep = []
-                    for i, t in zip(enc.indices.to_pylist(), shingles.shingle_sets(part.column("tb"), width), strict=True):
-                        s = left[i] if i is not None else t[:0]
+                    for i, t in zip(enc.indices.to_pylist(), sets[len(enc.dictionary) :], strict=True):
+                        s = sets[i]
                         small, large = min(len(s), len(t)), max(len(s), len(t))
                         if not small or small * den < large * num:
                             keep.append(False)
                             continue
-                        both = len(s) + len(t) - len(np.union1d(s, t))
+                        both = len(s & t) if isinstance(s, frozenset) else len(s) + len(t) - len(np.union1d(s, t))
                         keep.append(both * den >= num * (len(s) + len(t) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        store.trim()
 
     out = store.table(two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct(), "op5-links")
     store.drop(texts)
@@ -341,11 +361,18 @@ def links(docs: DataFrame, *, width: int = WIDTH, num: int = NUM, den: int = DEN
     plan = Plan(num, den)
     rows = store.table(signed(docs, plan, width), "op5-rows")
     full = rows.filter("doc_id is not null and n > 0")
-    # equal sets are one class; its least doc_id stands for it
+    # equal texts are one class; its least doc_id stands for it
     met = store.table(stars(full.groupBy("f1", "f2").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("doc_id"))), "op5-stars")
     classes = store.table(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.min_by("n", "doc_id").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")), "op5-classes")
     known = classes.select("doc_id", "n", "sketch")
-    same = verified(store.table(possible(met.select("a", "b").distinct(), known, plan), "op5-pairs"), docs, plan, width)
+    pairs = store.table(possible(met.select("a", "b").distinct(), known, plan), "op5-pairs")
+    same = verified(pairs, docs, plan, width)
+    store.drop(pairs)
+    # a doc_id whose texts differ joins their classes
+    print_ = F.struct("f1", "f2")
+    several = full.groupBy("doc_id").agg((F.min(print_) != F.max(print_)).alias("several")).filter("several").select(F.col("doc_id").alias("b"))
+    own = full.select("f1", "f2", F.col("doc_id").alias("b")).join(several, "b", "left_semi").join(classes.select("f1", "f2", F.col("doc_id").alias("a")), ["f1", "f2"]).filter("a <> b")
+    same = same.unionByName(own.select("a", "b").distinct())
     comp = store.table(components(same), "op5-components")
 
     def component(df, node, name):
@@ -359,9 +386,12 @@ def links(docs: DataFrame, *, width: int = WIDTH, num: int = NUM, den: int = DEN
     members = told.join(open_keys, "key", "left_semi")
     members = members.select("key", F.col("a").alias("x"), F.col("ca").alias("c")).union(members.select("key", F.col("b").alias("x"), F.col("cb").alias("c"))).distinct()
     pairs = store.table(across(members.join(known, F.col("x") == F.col("doc_id")).drop("doc_id"), plan), "op5-across")
+    store.drop(told)
     late = verified(pairs, docs, plan, width)
+    store.drop(pairs)
     if not late.isEmpty():
-        comp = store.table(components(same.unionByName(late)), "op5-components")
+        before, comp = comp, store.table(components(same.unionByName(late)), "op5-components")
+        store.drop(before)
 
     # of a class, of a row
     whole = component(classes.select("f1", "f2", "doc_id"), "doc_id", "component_id").drop("doc_id")

@@ -9,10 +9,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import op1_warc, op2_toxicity, op3_chat, op4_bpe, op5_jaccard, op6_secrets, op7_decontaminate, op8_language, op9_quality, op10_html, store
+from gleaner.llm import op1_warc, op2_toxicity, op3_chat, op4_bpe, op5_jaccard, op6_secrets, op7_decontaminate, op8_language, op9_quality, op10_html, shingles, store
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -226,6 +227,7 @@ def test_join_equals_all_pairs(spark):
 
 def test_join_large_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(op5_jaccard, "BLOCK", 8)
+    monkeypatch.setattr(op5_jaccard, "FLUSH", 5)
     rows = list(enumerate(_near(4, (25,), 12)))
     random.seed(5)
     base = [f"b{i}" for i in range(60)]
@@ -238,6 +240,40 @@ def test_join_large_group_in_blocks(spark, monkeypatch):
     assert got == sorted(op5_jaccard.brute_force(rows))
 
 
+def test_join_repeated_ids_with_different_texts(spark):
+    one, two = "a text of several words here", "another text with other words in it"
+    rows = [(1, one), (5, one), (5, two), (9, two), (7, "alone in the world with nobody")]
+    got = sorted(map(tuple, op5_jaccard.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(op5_jaccard.brute_force(rows)) and {c for d, _, c in got if d in (1, 5, 9)} == {1}
+
+
+def test_join_words_that_polynomials_confuse(spark):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))  # and its complement have one value mod 2^64 in any base
+    rows = [(1, f"{thue} x y"), (2, f"{thue.translate(str.maketrans('ab', 'ba'))} x y")]
+    assert {c for _, _, c in op5_jaccard.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2}
+
+
+def test_join_takes_shingles_where_hashes_collide(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "_hash", lambda word: len(word))
+    monkeypatch.setattr(shingles, "_KNOWN", {})
+    texts = pa.array(["aa bb cc dd", "cc bb aa dd", "aa bb", "bb aa", "", None, "AA BB cc dd"])
+    with np.errstate(over="ignore"):
+        sets = shingles.exact_sets(pc.fill_null(texts, ""), 3)
+    assert [len(s) for s in sets] == [2, 2, 1, 1, 0, 0, 2] and sets[0] == sets[6] and not sets[0] & sets[1] and not sets[2] & sets[3]
+    monkeypatch.undo()
+    shingles._KNOWN.clear()
+    with np.errstate(over="ignore"):
+        again = shingles.exact_sets(pc.fill_null(texts, ""), 3)
+        plain = list(shingles.shingle_sets(texts, 3))
+    assert [len(s) for s in again] == [2, 2, 1, 1, 0, 0, 2] and all((a == b).all() for a, b in zip(again, plain))
+
+
+def test_join_equal_sets_of_different_texts(spark):
+    rows = [(1, "a b c a b c a b c"), (2, "a b c a b c a b c a b c"), (3, "b c a b c a b"), (4, "x y"), (5, "X  y"), (6, "y x"), (7, "a b c")]
+    got = sorted(map(tuple, op5_jaccard.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(op5_jaccard.brute_force(rows))
+
+
 def test_join_defined_results(spark):
     rows = both(spark, op5_jaccard.links)
     by = {r.doc_id: r for r in rows}
