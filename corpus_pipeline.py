@@ -25,15 +25,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each component of the join: that whose doc_id is the component.
 
     Documents link from a Jaccard similarity of 4/5 over five-word shingles on; op5's own
-    query has other values.  Rows with a null doc_id link with nothing and stay; of rows that repeat one doc_id,
-    one stays.
+    query has other values.  Rows with a null doc_id link with nothing and stay.  Of rows that
+    repeat a doc_id with the same text, one stays, the least of their other columns; where their
+    texts differ, each text stays.
     """
     found = op5_jaccard.links(docs.select("doc_id", "text"), **NEAR)
     first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").select(*docs.columns)
+    names = [f"`{c}`" for c in docs.columns]
+    named = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").select(*names)
     repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    once = named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once).unionByName(docs.filter("doc_id is null"))
+    rest = F.struct(*[F.col(c) for c in names if c not in ("`doc_id`", "`text`")])
+    once = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("rest")).select("doc_id", "text", "rest.*").select(*names)
+    return named.join(repeated, "doc_id", "left_anti").select(*names).unionByName(once).unionByName(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
