@@ -413,6 +413,31 @@ def test_quality_adapts_to_its_group(spark):
     assert good.columns == ["doc_id", "text", "lang", "source", "n_chars"] and good.count() == 600
 
 
+def test_quality_fences_differ_and_decide_on_the_real_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    m = store.table(op9_quality.measured(d, ["doc_id", "lang", "source"]), "t-measures")
+    fences = op9_quality.thresholds(m).collect()
+    assert len({r.high_symbols for r in fences}) > 10 and len({r.high_word_length for r in fences if r.lang == "en"}) > 5
+    per_lang = {x: {r.high_word_length for r in fences if r.lang == x} for x in ("de", "en")}
+    assert min(per_lang["de"]) > max(per_lang["en"])
+    got = {r.doc_id: r for r in op9_quality.verdicts(m, op9_quality.thresholds(m)).collect()}
+    good = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    bad = [i for i, q in good.items() if q == 0 and not got[i].base_failed]
+    fine = [i for i, q in good.items() if q == 1 and not got[i].base_failed]
+    assert sum(not got[i].kept for i in bad) > 0.95 * len(bad) and sum(got[i].kept for i in fine) > 0.99 * len(fine)
+    # with one group's fences for all, other documents would go
+    one = next(r for r in fences if r.lang == "en" and r.source == "src1").asDict()
+    all_one = op9_quality.thresholds(m).select("lang", "source", *[F.lit(one[k]).alias(k) for k in op9_quality.FENCES])
+    assert {i for i, r in got.items() if r.kept} != {r.doc_id for r in op9_quality.verdicts(m, all_one).filter("kept").collect()}
+
+
+def test_quality_quantiles_are_those_of_the_values(spark):
+    random.seed(10)
+    values = [int(random.lognormvariate(9, 2)) + 1 for _ in range(5000)]
+    m = spark.createDataFrame([(v,) for v in values], "v long").select(op9_quality.cell(F.col("v")).alias("c"), "v")
+    assert all(r.c <= r.v < r.c * (1 + 2.0 ** (1 - op9_quality.BITS)) for r in m.collect())
+
+
 # 10: main text
 
 
