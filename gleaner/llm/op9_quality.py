@@ -7,7 +7,8 @@ source), and for the wider groups lang and all documents, a mergeable quantile
 sketch of every rate is built over the documents that pass the base rules, and a
 document is rejected where a rate lies outside its group's fence: beyond the upper
 quartile by more than ``REACH`` times the distance of the quartiles, both on a log
-scale, and for the length of words below the lower one likewise.
+scale, and for the length of words below the lower one likewise.  The distance is at
+least one cell of the sketch.
 
 Rates are (count + s) / (size + t) with the small prior of ``RATES``, so that the
 many documents without any symbol or repeat still have a spread: that of what their
@@ -37,7 +38,7 @@ from . import store
 
 WINDOW = 5
 MIN_GROUP = 200
-BITS = 7
+BITS = 10
 REACH = 4
 #: rate: count, size, prior count s, prior size t, whether there is a lower fence too.
 RATES = {
@@ -90,10 +91,10 @@ def rates() -> dict[str, Column]:
     return {k: F.expr(f"shiftleft({num} + {s}L, 20) div ({den} + {t}L)") for k, (num, den, s, t, _) in RATES.items()}
 
 
-def cell(rate: Column) -> Column:
-    """The sketch's cell of a rate: its first ``BITS`` binary digits, the others zero."""
+def cell(rate: Column, upper: bool = False) -> Column:
+    """The lower end of a rate's cell: its first ``BITS`` binary digits, the others zero; ``upper``: where the next cell begins."""
     drop = F.greatest(F.length(F.bin(rate)) - BITS, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", rate, drop), drop)
+    return F.call_function("shiftleft", F.call_function("shiftright", rate, drop) + int(upper), drop)
 
 
 def sketches(m: DataFrame) -> DataFrame:
@@ -113,9 +114,11 @@ def _fences(s: DataFrame, by: list[str]) -> DataFrame:
             F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("at")),
             lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when((a["at"] < 0) & (a["seen"] + x["n"] >= F.ceil(q * F.col("size"))), x["cell"]).otherwise(a["at"]).alias("at")),
         )
-        return run["at"].cast("double")
+        return run["at"]
 
-    q = per.select(*by, "rate", "size", quantile(0.25).alias("a"), quantile(0.75).alias("b")).withColumn("r", F.col("b") / F.col("a"))
+    # the quartiles' outer ends, so that a group whose rates are all in one cell has a spread of one cell
+    q = per.select(*by, "rate", "size", quantile(0.25).cast("double").alias("a"), quantile(0.75).alias("b"))
+    q = q.withColumn("b", cell(F.col("b"), upper=True).cast("double")).withColumn("r", F.col("b") / F.col("a"))
     far = F.col("r")
     for _ in range(REACH - 1):
         far = far * F.col("r")
@@ -198,12 +201,12 @@ q_words AS MATERIALIZED (
 def _sql_parts() -> dict[str, str]:
     """Pieces of the oracle: quantiles of the rates themselves, cut to the sketch's digits afterwards."""
 
-    def quartile(k, q):
+    def quartile(k, q, more):
         v = f"quantile_disc(v_{k}, {q})"
         drop = f"greatest(length(bin({v})) - {BITS}, 0)"
-        return f"((({v} >> {drop}) << {drop})::DOUBLE)"
+        return f"(((({v} >> {drop}) + {more}) << {drop})::DOUBLE)"
 
-    both = lambda p: ", ".join(f"{quartile(k, q)} AS {p}{end}_{k}" for k in RATES for q, end in ((0.25, "a"), (0.75, "b")))
+    both = lambda p: ", ".join(f"{quartile(k, q, more)} AS {p}{end}_{k}" for k in RATES for q, end, more in ((0.25, "a", 0), (0.75, "b", 1)))
     pick = ", ".join(f"CASE WHEN n >= {MIN_GROUP} THEN f{end}_{k} WHEN nl >= {MIN_GROUP} THEN l{end}_{k} ELSE w{end}_{k} END AS {end}_{k}" for k in RATES for end in "ab")
     tests = []
     for k, (*_, lower) in RATES.items():

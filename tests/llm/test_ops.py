@@ -453,3 +453,47 @@ def test_html_extraction(spark):
     assert by[7].startswith("Head\nParagraph 0") and "other" not in by[7]
     assert all(r.n_chars == len(r.text) for r in got)
     assert op10_html.main_text(df.limit(0)).collect() == []
+
+
+def test_html_region_equals_all_regions():
+    random.seed(11)
+    for _ in range(500):
+        s = [random.choice((-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 3.0)) for _ in range(random.randint(0, 25))]
+        all_ = [(sum(s[i:j]), i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)]
+        best = max([x[0] for x in all_], default=0.0)
+        lo, hi = op10_html.best_region(s)
+        assert (lo, hi) == (0, 0) if best <= 0 else sum(s[lo:hi]) == best
+        if best > 0:  # the shortest of the best regions that end first
+            assert hi == min(j for v, _, j in all_ if v == best)
+
+
+def test_html_borders_come_from_the_scan(spark):
+    rows = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    weights = op10_html.train(rows[:120])
+
+    def gold(page):
+        m = re.sub(r"\s+", " ", page.split("<article>")[1].split("</article>")[0])
+        m = re.sub(r"<[^>]*>", "\n", re.sub(r"</?b>", "", re.sub(r"<br>", " ", m)))
+        return "\n".join(x for x in (" ".join(html.unescape(x).split()) for x in m.split("\n")) if x)
+
+    marks = lambda p: re.sub(r"<(/?)article\b", r"<\1div", p)
+    names = lambda p: re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(nav|footer)\b", r"<\1div", marks(p)))
+    for hide in (lambda p: p, marks, names):
+        for page in rows[120:]:
+            assert op10_html.extract(hide(page), weights) == gold(page)
+            # without the scan the page's other parts come along
+            assert op10_html.extract(hide(page), weights, lambda s: (0, len(s))) != gold(page)
+
+
+def test_html_odd_pages():
+    w = op10_html.Weights()
+    get = lambda p: op10_html.extract(p, w)
+    assert get('<p title="abc>Hello to all of you<p>and more') == "Hello to all of you\nand more"
+    assert get("<div>" * 30_000 + "<p>deep words stand here") == "deep words stand here"
+    assert get("<script>var a = '<p>no</p>'") == "" and get("a < b and c > d &lt;p&gt;") == "a < b and c > d <p>"
+    marked = "<article><header><p>by me</p><h1>Title</h1></header><ul><li>one</li><li>two</li></ul><p>x<br>y</p><footer>foot</footer><div class='post-comments'><p>nice</p></div><ol><li>last</li></ol></article>"
+    assert get(f"<header><h1>Site</h1></header>{marked}<footer>f</footer>") == "Title\none\ntwo\nx y\nlast"
+    spans = "<span>x</span><hr>" * 40
+    assert get(f"<div class=content><p>first of all</p>{spans}<p>last of all</p></div>") == "first of all\n" + "x\n" * 40 + "last of all"
+    side = "<main><div class='sidebar'>" + "side words " * 40 + "</div><article><p>short text</p></article></main>"
+    assert get(side) == "short text"
