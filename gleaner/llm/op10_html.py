@@ -161,7 +161,7 @@ def _prior(feature: str) -> tuple[float, float]:
 class Weights:
     """Scores of words by the features of where they stand, and of tags."""
 
-    LOW, HIGH, PLAIN, TAG, CONTENT_TAG = -2.0, 1.5, 0.3, -1.5, -0.3
+    LOW, HIGH, PLAIN, TAG, CONTENT_TAG = -2.0, 1.5, 0.3, -1.5, -0.1
     #: Log-odds are cut to these, for words of one element are no independent witnesses.
     LIMITS = {"block": (-4.0, 4.0), "in": (-5.0, 4.0), "content": (-4.0, 8.0)}
 
@@ -189,7 +189,9 @@ class Weights:
         return node.score
 
     def tag(self, tag: str, node: Node) -> float:
-        return self.CONTENT_TAG if node.content else self.tags.get(tag, self.TAG)
+        if node.content:
+            return 0.0 if node.dropped() else self.CONTENT_TAG
+        return self.tags.get(tag, self.TAG)
 
 
 def _marked(node: Node) -> bool:
