@@ -5,9 +5,11 @@ leftmost and non-overlapping, matches below their least length dropped after the
 have consumed their text.  The method then adds ``markov`` spans: a run of at least
 ``MIN_RUN`` characters of the token alphabet is scored with two first-order Markov
 chains over characters, one trained on random strings and one on ordinary
-identifiers, both from labelled samples; a run is a secret where the log-likelihood
-ratio is at least ``MIN_RATIO`` per transition.  Runs that overlap a base span are
-not added again, and base spans are never taken away.
+identifiers, both from labelled samples; a run is a secret where the mean
+log-likelihood ratio of its transitions reaches a limit.  The limit comes from a fifth
+of the sample that does not train the chains: the ``ORDINARY`` quantile of its ordinary
+strings.  Runs that overlap a base span are not added again, and base spans are never
+taken away.
 
 Spans are code points, end exclusive.  Positions come from cutting the text at its
 matches: the lengths of pieces and matches, summed up, give every start, so no
@@ -25,6 +27,7 @@ import math
 from collections import Counter
 from functools import reduce
 from operator import or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +44,8 @@ HINTS = {"assign": ("passw", "secret", "token", "api"), "access": ("akia",), "he
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_RUN = 16
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
-MIN_RATIO = 0.35
+#: Share of held-out ordinary strings that the limit leaves alone.
+ORDINARY, FOLDS = 0.998, 5
 
 #: Words that ordinary identifiers of the default labelled sample are made of.
 IDENTIFIER_WORDS = (
@@ -55,11 +59,49 @@ IDENTIFIER_WORDS = (
 ).split()
 
 
+class Model(NamedTuple):
+    """Log-likelihood ratios of all transitions, row by row of the alphabet, and the least mean ratio of a secret."""
+
+    weights: list[float]
+    min_ratio: float
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def prefix_max(values: Column, chunk: int = 64) -> Column:
+    """Greatest value up to each element, itself included, in time n * chunk + (n / chunk)^2."""
+
+    def whole(a):
+        top = lambda x: F.coalesce(F.array_max(x), F.lit(-(1 << 31) + 1))
+        n = F.size(a)
+        most = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int")), lambda c: top(F.slice(a, c * chunk + 1, F.lit(chunk))))
+        return let(most, lambda b: F.transform(F.sequence(F.lit(0), n - 1), lambda i: let(F.floor(i / chunk).cast("int"), lambda c: F.greatest(top(F.slice(b, F.lit(1), c)), top(F.slice(a, c * chunk + 1, i % chunk + 1))))))
+
+    return let(values, lambda a: F.when(F.size(a) > 0, whole(a)).otherwise(F.array().cast("array<int>")))
+
+
+def apart(added: Column, base: Column) -> Column:
+    """The spans of ``added`` that overlap none of ``base``; both are sorted. One pass over the merged list."""
+
+    def alone(m):
+        # ends of base spans so far, and starts of those still to come, at every place of the merged list
+        ends = prefix_max(F.transform(m, lambda x: F.when(x["kind"] < len(KINDS), x["end"]).otherwise(F.lit(-1))))
+        back = prefix_max(F.reverse(F.transform(m, lambda x: F.when(x["kind"] < len(KINDS), -x["start"]).otherwise(F.lit(-(1 << 31) + 1)))))
+        both = F.struct(m.alias("m"), ends.alias("e"), back.alias("b"))
+        return let(
+            both,
+            lambda t: F.filter(
+                t["m"],
+                lambda x, i: (x["kind"] == len(KINDS)) & (F.element_at(t["e"], i + 1) <= x["start"]) & (F.coalesce(-F.element_at(t["b"], F.size(t["m"]) - i), F.lit(0)) >= x["end"]),
+            ),
+        )
+
+    return F.when((F.size(added) > 0) & (F.size(base) > 0), let(F.sort_array(F.concat(base, added)), alone)).otherwise(added)
+
+
 def prefix_sums(lengths: Column, chunk: int = 64) -> Column:
     """Running sums before each element, in time n * chunk + (n / chunk)^2."""
 
@@ -118,7 +160,7 @@ def _class(c: str) -> str:
     return "upper" if c.isupper() else "lower" if c.islower() else "digit" if c.isdigit() else "sign"
 
 
-def train(sample: DataFrame, coarse_share: float = 0.5) -> list[float]:
+def _weights(sample: DataFrame, coarse_share: float) -> list[float]:
     """Log-likelihood ratios of all transitions, random over ordinary, row by row of the alphabet.
 
     A chain's transition mixes the one counted between the characters with the one between
@@ -147,9 +189,9 @@ def train(sample: DataFrame, coarse_share: float = 0.5) -> list[float]:
     return [round(log(1, a, b) - log(0, a, b), 4) for a in ALPHABET for b in ALPHABET]
 
 
-def ratio(run: Column, model: list[float]) -> Column:
+def ratio(run: Column, weights: list[float]) -> Column:
     """Mean log-likelihood ratio of a run's transitions."""
-    weights = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
+    weights = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")
     k = len(ALPHABET)
     codes = F.transform(F.split(run, ""), lambda c: F.position(c, F.lit(ALPHABET)))
     known = lambda c: F.filter(c, lambda x: x > 0)
@@ -159,7 +201,15 @@ def ratio(run: Column, model: list[float]) -> Column:
     )
 
 
-def scan(docs: DataFrame, model: list[float], keep: list[str], *, min_ratio: float = MIN_RATIO) -> DataFrame:
+def train(sample: DataFrame, *, coarse_share: float = 0.5, ordinary: float = ORDINARY) -> Model:
+    """A model from texts with label 1 (random) and 0 (ordinary); a fifth of either, by a hash of the text, sets the limit."""
+    held = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
+    weights = _weights(sample.filter(~held), coarse_share)
+    limit = sample.filter(held & (F.col("label") == 0) & (F.length("text") >= MIN_RUN)).agg(F.percentile(ratio(F.col("text"), weights), F.lit(ordinary))).first()[0]
+    return Model(weights, max(0.0, limit or 0.0))
+
+
+def scan(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns with base and added spans array<struct<start,kind,end>>, ordered."""
     t = F.coalesce(F.col("text"), F.lit(""))
     # a run is judged before its place is sought: few texts have any
@@ -169,11 +219,11 @@ def scan(docs: DataFrame, model: list[float], keep: list[str], *, min_ratio: flo
     t = F.col("__t")
     runs = F.when(t.rlike(RUN), F.regexp_extract_all(t, F.lit(RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     a = text.select(*keep, "__t", *[_spans(t, p, g, n, k, F.col(f"__may_{name}")).alias(f"__{name}") for k, (name, p, g, n) in enumerate(KINDS)], runs.alias("__runs"))
-    judged = F.transform("__runs", lambda r: ratio(r, model) >= min_ratio)
+    judged = F.transform("__runs", lambda r: ratio(r, model.weights) >= model.min_ratio)
     b = a.withColumn("__ok", judged).withColumn("base", F.sort_array(F.concat("__assign", "__access", "__hex")))
     places = F.when(F.exists("__ok", lambda k: k), F.transform(F.filter(F.zip_with(_spans(F.col("__t"), RUN, 0, MIN_RUN, len(KINDS), F.lit(True)), "__ok", lambda s, k: F.struct(s.alias("s"), k.alias("k"))), lambda x: x["k"]), lambda x: x["s"])).otherwise(F.array().cast(SPAN))
     c = b.withColumn("__m", places)
-    added = F.filter("__m", lambda m: ~F.exists("base", lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"])))
+    added = apart(F.col("__m"), F.col("base"))
     return c.select(*keep, F.size("__assign").cast("long").alias("n_assign"), F.size("__access").cast("long").alias("n_access"), F.size("__hex").cast("long").alias("n_hex"), "base", F.sort_array(F.concat("base", added)).alias("spans"))
 
 
@@ -183,7 +233,7 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, model: list[float], *, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, model: Model, *, mark: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with every span of ``text`` replaced by ``mark``; ``n_chars`` follows where present."""
     names = docs.columns
     keep = [f"`{c}`" for c in names]
@@ -200,7 +250,7 @@ def redact(docs: DataFrame, model: list[float], *, mark: str = "[SECRET]") -> Da
     return out.select(*cols)
 
 
-def secrets(docs: DataFrame, model: list[float]) -> DataFrame:
+def secrets(docs: DataFrame, model: Model) -> DataFrame:
     """The contract's columns."""
     return scan(docs, model, ["doc_id"]).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 

@@ -1,10 +1,12 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import base64
 import hashlib
 import html
 import json
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -317,6 +319,39 @@ def test_secrets_markov_and_redaction(spark):
         op6_secrets.train(op6_secrets.labelled_sample(spark).filter("label = 1"))
 
 
+def test_secrets_markov_recall_and_precision(spark):
+    """Random tokens without context words are planted into real documents; what else is found there is a false alarm."""
+    model = op6_secrets.train(op6_secrets.labelled_sample(spark))
+    random.seed(12)
+    letters = string.ascii_letters + string.digits
+    make = [lambda: "".join(random.choices(letters, k=24)), lambda: "ghp_" + "".join(random.choices(letters, k=36)), lambda: base64.b64encode(random.randbytes(24)).decode(), lambda: "".join(random.choices(string.ascii_uppercase + string.digits, k=24))]
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    rows, want = [], {}
+    for i, t in enumerate(texts):
+        token, words = make[i % 4](), (t or "").split(" ")
+        at = random.randrange(len(words) + 1)
+        start = len(" ".join(words[:at])) + (at > 0)
+        rows.append((i, " ".join([*words[:at], token, *words[at:]])))
+        want[i] = f"markov:{start}:{start + len(token)}"
+    found = {r.doc_id: {x for x in r.spans.split(",") if x.startswith("markov")} for r in op6_secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    hit = sum(want[i] in found[i] for i in want)
+    assert hit >= 0.99 * len(want) and sum(len(x) for x in found.values()) - hit <= 0.01 * len(want)
+
+
+def test_secrets_apart_equals_comparing_all(spark):
+    random.seed(13)
+    rows = []
+    for i in range(200):
+        cut = sorted(random.sample(range(400), 2 * random.randint(0, 40)))
+        added = [(a, 3, b) for a, b in zip(cut[::2], cut[1::2], strict=True)]
+        base = sorted((a, random.randrange(3), a + random.randint(1, 30)) for a in random.choices(range(400), k=random.choice((0, 1, 5, 90))))
+        rows.append((i, added, base))
+    df = spark.createDataFrame(rows, f"i int, added {op6_secrets.SPAN}, base {op6_secrets.SPAN}")
+    for r in df.select("i", op6_secrets.apart(F.col("added"), F.col("base")).alias("x")).collect():
+        _, added, base = rows[r.i]
+        assert [tuple(s) for s in r.x] == [m for m in added if not any(x[0] < m[2] and m[0] < x[2] for x in base)]
+
+
 # 7: decontamination
 
 
