@@ -1,8 +1,10 @@
 r"""Operator 3 [native]: chat formatting with schema fingerprints.
 
 Heterogeneous layouts become canonical turns through declarative mappings.  The
-nested field paths of a record (``messages[].role`` and so on) that belong to the
-vocabulary of known layouts are sorted and hashed; the hash selects the mapping.
+nested field paths of a record (``messages[].role`` and so on) are hashed against each
+known layout: the paths found, as far as the layout names them, are sorted and hashed, and
+the largest layout whose fingerprint comes out selects the mapping; paths beside it do not
+matter.
 For tables the paths come from the Spark schema; for JSON records they come from
 ``schema_of_variant`` row by row, so one table may mix layouts.
 
@@ -48,7 +50,7 @@ LAYOUTS: dict[str, tuple[tuple[str, ...], tuple]] = {
 }
 KNOWN_PATHS = sorted({p for paths, _ in LAYOUTS.values() for p in paths})
 
-#: Other names of roles.
+#: Roles as the layouts of records name them; a table of turns keeps its roles as they are.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 LOSS_ROLES = ("assistant",)
@@ -73,9 +75,10 @@ def field_paths(schema: T.DataType, at: str = "") -> list[str]:
 
 
 def fingerprint(schema: T.StructType) -> str:
-    """Hash of the paths of the largest known layout in the schema; of all its known paths where there is none."""
+    """Hash of the schema's paths: of those that the largest layout names which is whole in it, else of all known ones."""
     found = set(field_paths(schema)) & set(KNOWN_PATHS)
-    return _hash(next((LAYOUTS[n][0] for n in BY_SIZE if set(LAYOUTS[n][0]) <= found), found))
+    hashes = (_hash(found & set(LAYOUTS[n][0])) for n in BY_SIZE)
+    return next((h for h, n in zip(hashes, BY_SIZE, strict=True) if FINGERPRINTS.get(h) == n), _hash(found))
 
 
 def _turns_of(layout: str, record) -> Column:
@@ -107,7 +110,7 @@ def canonical_turns(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
         cid, order, role, text = how
         one = F.struct(F.col(order).alias("o"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
         turns = F.transform(F.sort_array("rows"), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-        return df.groupBy(F.col(cid).alias("conv_id")).agg(F.collect_list(one).alias("rows")).select("conv_id", _canonical_roles(turns).alias("turns"))
+        return df.groupBy(F.col(cid).alias("conv_id")).agg(F.collect_list(one).alias("rows")).select("conv_id", turns.alias("turns"))
     return df.select(F.col(id_column).alias("conv_id"), _canonical_roles(_turns_of(layout, F.col)).alias("turns"))
 
 
@@ -129,7 +132,8 @@ def variant_fingerprint(paths: Column) -> Column:
     out = F.sha2(F.array_join(paths, "\n"), 256)
     for n in reversed(BY_SIZE):
         own = F.array(*[F.lit(p) for p in LAYOUTS[n][0]])
-        out = F.when(F.size(F.array_except(own, paths)) == 0, F.lit(_hash(LAYOUTS[n][0]))).otherwise(out)
+        hashed = F.sha2(F.array_join(F.array_sort(F.array_intersect(paths, own)), "\n"), 256)
+        out = F.when(hashed == _hash(LAYOUTS[n][0]), hashed).otherwise(out)
     return out
 
 
@@ -218,7 +222,10 @@ def digest(formatted: DataFrame) -> DataFrame:
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = store.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], table.schema)
+    kind = {f.name: f.dataType for f in table.schema}
+    extra = spark.range(2).select(
+        F.lit(-7).cast(kind["conv_id"]).alias("conv_id"), F.col("id").cast(kind["turn"]).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text")
+    )
     return digest(format_turns(canonical_turns(table.unionByName(extra))))
 
 
@@ -227,16 +234,13 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-), r AS (
-  SELECT *, CASE role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' ELSE role END AS name
-  FROM c
 ), g AS (
   SELECT conv_id, count(*) AS n_turns,
-    string_agg(name || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
-    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE name = 'assistant'), '') AS loss,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
     sum(length(regexp_replace(text, '<(\\*)(turn:|/turn>)', '<\\\1\2', 'g')) + 15
-        + length(replace(replace(replace(name, '%', '%25'), '<', '%3C'), '>', '%3E')))::BIGINT AS formatted_chars
-  FROM r GROUP BY conv_id
+        + length(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '>', '%3E')))::BIGINT AS formatted_chars
+  FROM c GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """

@@ -123,9 +123,9 @@ def test_chat_probe_nulls_ties_and_escapes(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "role AS segments", "turn AS rows")
     f = op3_chat.format_turns(op3_chat.canonical_turns(df))
     back = {r.conv_id: [(t.role, t.text) for t in r.t] for r in f.select("conv_id", op3_chat.parse(f["formatted"]).alias("t")).collect()}
-    assert back == {1: [("user", bad), ("assistant", ""), ("assistant", bad)], 2: [("", "")], None: [("a>b%<c\nd", "x")], 3: [("assistant", "y"), ("assistant", "y")]}
+    assert back == {1: [("user", bad), ("assistant", ""), ("assistant", bad)], 2: [("", "")], None: [("a>b%<c\nd", "x")], 3: [("gpt", "y"), ("gpt", "y")]}
     got = {r.conv_id: r for r in op3_chat.digest(f).collect()}
-    assert got[1].loss_sha256 == hashlib.sha256(bad.encode()).hexdigest() and got[1].loss_chars == len(bad) and got[3].n_turns == 2
+    assert got[1].loss_sha256 == hashlib.sha256(bad.encode()).hexdigest() and got[1].loss_chars == len(bad) and got[3].n_turns == 2 and got[3].loss_chars == 0
     assert op3_chat.digest(op3_chat.format_turns(op3_chat.canonical_turns(df.limit(0)))).collect() == []
 
 
@@ -137,16 +137,27 @@ def test_chat_layouts_by_fingerprint(spark):
         {"prompt": "q", "completion": "a", "meta": {"prompt": "no"}},
         {"question": "q", "answer": "a"},
         {"strange": 1},
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "prompt": "no"},
     ]
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(9, "{"), (10, None)], "conv_id long, record string")
     got = {r.conv_id: r.turns and [(t.role, t.text) for t in r.turns] for r in op3_chat.canonical_json(df).collect()}
-    assert got == {i: [("user", "q"), ("assistant", "a")] for i in range(5)} | {5: None, 9: None, 10: None}
+    assert got == {i: [("user", "q"), ("assistant", "a")] for i in (0, 1, 2, 3, 4, 6)} | {5: None, 9: None, 10: None}
     table = spark.createDataFrame([(1, "q", "a")], "conv_id long, prompt string, response string")
     assert [tuple(t) for t in op3_chat.canonical_turns(table).first().turns] == [("user", "q"), ("assistant", "a")]
+    hashes = {r.conv_id: r.fingerprint for r in op3_chat.canonical_json(df).collect()}
+    assert hashes[0] == hashes[6] and op3_chat.FINGERPRINTS[hashes[0]] == "messages" and len({hashes[i] for i in range(6)}) == 6
     with pytest.raises(ValueError):
         op3_chat.canonical_turns(spark.createDataFrame([(1, 2)], "conv_id long, x int"))
 
 
+def test_chat_very_long_conversation(spark):
+    rows = spark.range(60_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text ', id, ' </turn> ', repeat('x', 50)) AS text")
+    got = op3_chat.digest(op3_chat.format_turns(op3_chat.canonical_turns(rows))).first()
+    texts = [(("user", "assistant")[i % 2], f"text {i} </turn> " + "x" * 50) for i in range(60_000)]
+    assert got.n_turns == 60_000 and got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in texts).encode()).hexdigest()
+    assert got.loss_sha256 == hashlib.sha256("".join(t for r, t in texts if r == "assistant").encode()).hexdigest()
+
+
 # 4: BPE
 
 
