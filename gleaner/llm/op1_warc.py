@@ -12,17 +12,21 @@ a stray temporary file at most.  A second job gives the files their final names,
 can be repeated, and the manifest is written last: archives are those it lists.
 
 Determinism.  Shards are intervals of page_id of one width, which depends on the number
-of pages, their lowest and highest id and the fullest interval; order, headers and dates
-depend on the rows only.  The same table gives the same files.
+of pages, their lowest and highest id and the fullest interval, without its most frequent
+id; order,
+headers and dates depend on the rows only.  The same table gives the same files.
 
 Skew.  Copies meet as (digest, largest page_id) pairs, summed before the shuffle, and go
 back to the pages by page_id, never by digest: a payload that a third of all pages share
-adds a narrow row to each of them.  Payloads are shuffled once, by shard, and streamed.
+adds a narrow row to each of them.  Payloads are shuffled once, by shard, and streamed.  An
+interval that a repeated page_id fills, and the pages without one, are split by payload
+digest into parts of about ``SHARD_ROWS`` rows; only repeats of one page_id with one payload
+stay together.
 
-Defined results.  Null html: empty payload, a response.  Null url: an empty target.  Null
-page_id: a shard of its own; such a row is a response where no page with an id has its
+Defined results.  Null html: empty payload, a response.  Null url: an empty target; control
+characters of a url are percent-encoded.  Null page_id: a shard of its own; such a row is a response where no page with an id has its
 payload, else revisits that.  Rows that repeat the largest page_id with its payload are
-all responses.  An empty table gives an empty manifest.  Extra columns are not written.
+all responses, with record ids of their own.  Ids may span all of 64 bits.  An empty table gives an empty manifest.  Extra columns are not written.
 """
 
 from __future__ import annotations
@@ -44,11 +48,11 @@ SHARD_ROWS, MOST_SHARDS = 2_000, 20_000
 DATE = "2024-01-01T00:00:00Z"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 
-MANIFEST = "shard long, seq int, temporary string, name string, bytes long, records long, sha256 string"
+MANIFEST = "shard long, sub int, seq int, temporary string, name string, bytes long, records long, sha256 string"
 
 
-def _id(page, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'page:{page}:{digest}')}>"
+def _id(page, digest: str, repeat: int = 0) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'page:{page}:{digest}' + (f':{repeat}' if repeat else ''))}>"
 
 
 def _sha1(data: bytes) -> str:
@@ -59,15 +63,15 @@ def _head(fields: list[tuple[str, str]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode("utf-8", "surrogatepass")
 
 
-def record(page, url: str | None, payload: bytes, refers=None) -> bytes:
+def record(page, url: str | None, payload: bytes, refers=None, repeat: int = 0) -> bytes:
     """One response or revisit record, uncompressed."""
     digest = hashlib.sha1(payload).hexdigest()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers is not None else http + payload
-    target = "".join(c for c in url or "" if c >= " ")
+    target = "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
     fields = [
         ("WARC-Type", "response" if refers is None else "revisit"),
-        ("WARC-Record-ID", _id(page, digest)),
+        ("WARC-Record-ID", _id(page, digest, repeat)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", target),
         ("WARC-Payload-Digest", _sha1(payload)),
@@ -96,9 +100,9 @@ def member(data: bytes) -> bytes:
 class _File:
     """An open archive under a temporary name."""
 
-    def __init__(self, fs, folder: str, shard: int, seq: int, attempt: str):
-        self.shard, self.seq = shard, seq
-        self.name = f"part-{shard:08d}-{seq:05d}.warc.gz" if shard >= 0 else f"part-none-{seq:05d}.warc.gz"
+    def __init__(self, fs, folder: str, shard: int, sub: int, seq: int, attempt: str):
+        self.shard, self.sub, self.seq = shard, sub, seq
+        self.name = f"part-{shard:08d}-{sub:05d}-{seq:05d}.warc.gz" if shard >= 0 else f"part-none-{sub:05d}-{seq:05d}.warc.gz"
         self.temporary = f"_temporary/{attempt}-{self.name}"
         self.out = fs.open_output_stream(f"{folder}/{self.temporary}", compression=None)
         self.bytes = self.records = 0
@@ -116,24 +120,25 @@ class _File:
 
     def close(self) -> tuple:
         self.out.close()
-        return self.shard, self.seq, self.temporary, self.name, self.bytes, self.records, self.sha.hexdigest()
+        return self.shard, self.sub, self.seq, self.temporary, self.name, self.bytes, self.records, self.sha.hexdigest()
 
 
 def shard_of(pages: DataFrame, rows: int = SHARD_ROWS, most: int = MOST_SHARDS):
-    """A column giving the shard of ``page_id``: its interval; -1 for null."""
-    n, low, high = pages.agg(F.count("page_id"), F.min("page_id"), F.max("page_id")).first()
-    if not n:
-        return F.lit(-1).cast("long"), 0
+    """A column giving the shard of ``page_id`` (its interval; -1 for null), a table (shard, parts) of those that are split, and how many shards and parts there are."""
+    n, named, low, high = pages.agg(F.count("*"), F.count("page_id"), F.min("page_id"), F.max("page_id")).first()
     rows = max(rows, -(-n // most))
-    width = max(1, (high - low + 1) * rows // n)
-    while width > 1:  # ids that lie close together get narrower intervals
-        at = F.floor((F.col("page_id") - low) / width)
-        fullest = pages.groupBy(at.alias("s")).agg(F.count("page_id").alias("n")).agg(F.max("n")).first()[0]
-        if fullest <= 4 * rows:
+    low, high = (low, high) if named else (0, 0)
+    width = max(1, (high - low + 1) * rows // max(named, 1))
+    column = lambda w: F.coalesce(F.expr(f"(cast(page_id AS decimal(20,0)) - {low}BD) div {w}BD"), F.lit(-1).cast("long")).cast("long")
+    ids = store.table(pages.groupBy("page_id").agg(F.count("*").alias("n")), "op1-ids")  # narrow rows, read again by each try
+    while True:  # ids that lie close together get narrower intervals; the one id that fills an interval most cannot be helped so
+        held = ids.groupBy(column(width).alias("shard")).agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+        fullest = held.agg(F.max(F.col("n") - F.col("top"))).first()[0] or 0
+        if width == 1 or fullest <= 4 * rows:
             break
         width = max(1, width * rows // fullest)
-    shard = F.expr(f"(page_id - {low}L) div {width}L")
-    return F.coalesce(shard, F.lit(-1).cast("long")), -(-n // rows)
+    split = held.filter(F.col("n") > 4 * rows).select("shard", F.ceil(F.col("n") / rows).cast("int").alias("parts"))
+    return column(width), split, -(-n // rows)
 
 
 def copies(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
@@ -147,39 +152,47 @@ def copies(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 def write(pages: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES, shard_rows: int = SHARD_ROWS, least: int = REVISIT_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives below ``folder``; the manifest."""
     spark = pages.sparkSession
-    shard, number = shard_of(pages, shard_rows)
+    shard, split, number = shard_of(pages, shard_rows)
+    split = store.table(split, "op1-split")
     rows = pages.select(shard.alias("shard"), "page_id", F.lit(1).alias("ord"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.lit(None).cast("long").alias("refers"))
     marks = copies(pages, least).select(shard.alias("shard"), "page_id", F.lit(0).alias("ord"), F.lit("").alias("url"), F.col("digest").alias("html"), F.col("refers_to").alias("refers"))
-    parts = max(1, min(number + 1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * 4))
-    dealt = marks.unionByName(rows).repartition(parts, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "ord", "url", "html")
+
+    def dealt_in(df, digest):
+        """With ``sub``: the part of its shard, by payload; a split shard has more than 4 * shard_rows rows, so there are MOST_SHARDS / 4 at most."""
+        part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(digest), F.col("parts"))).otherwise(F.lit(0))
+        return df.join(F.broadcast(split), "shard", "left").select("shard", part.cast("int").alias("sub"), "page_id", "ord", "url", "html", "refers")
+
+    both = dealt_in(marks, F.col("html")).unionByName(dealt_in(rows, F.sha1("html")))
+    dealt = both.repartition(max(1, number), "shard", "sub").sortWithinPartitions("shard", "sub", F.col("page_id").asc_nulls_first(), "ord", "url", "html")
     fs, at = store.open_fs(folder)
     fs.create_dir(f"{at}/_temporary")
 
     def run(batches):
         fs, at = store.open_fs(folder)
-        attempt, file, shard, seq, mark_page, marks = uuid.uuid4().hex, None, None, 0, object(), {}
+        attempt, file, place, seq, mark_page, marks, seen = uuid.uuid4().hex, None, None, 0, object(), {}, {}
         closed: list[tuple] = []
         for batch in batches:
             for lo in range(0, len(batch), 64):
-                for s, page, ord_, url, html, refers in zip(*[c.to_pylist() for c in batch.slice(lo, 64).columns], strict=True):
-                    if page != mark_page:
-                        mark_page, marks = page, {}
+                for s, sub, page, ord_, url, html, refers in zip(*[c.to_pylist() for c in batch.slice(lo, 64).columns], strict=True):
+                    if (s, sub, page) != mark_page:
+                        mark_page, marks, seen = (s, sub, page), {}, {}
                     if not ord_:
                         marks[html] = refers
                         continue
-                    if file and (s != shard or file.bytes >= roll_bytes):
+                    if file and ((s, sub) != place or file.bytes >= roll_bytes):
                         closed.append(file.close())
-                        file, seq = None, seq + 1 if s == shard else 0
+                        file, seq = None, seq + 1 if (s, sub) == place else 0
                     if file is None:
-                        seq = seq if s == shard else 0
-                        shard = s
-                        file = _File(fs, at, s, seq, attempt)
+                        seq = seq if (s, sub) == place else 0
+                        place = (s, sub)
+                        file = _File(fs, at, s, sub, seq, attempt)
                     payload = html.encode("utf-8", "surrogatepass")
-                    target = marks.get(hashlib.sha1(payload).hexdigest()) if marks else None
-                    file.put(record(page, url, payload, target))
+                    digest = hashlib.sha1(payload).hexdigest()
+                    repeat = seen[digest] = seen.get(digest, -1) + 1
+                    file.put(record(page, url, payload, marks.get(digest), repeat))
         if file:
             closed.append(file.close())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*closed, strict=True) if closed else [[]] * 7, [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=["shard", "seq", "temporary", "name", "bytes", "records", "sha256"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*closed, strict=True) if closed else [[]] * 8, [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=["shard", "sub", "seq", "temporary", "name", "bytes", "records", "sha256"])
 
     dealt.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/_written")
     written = spark.read.schema(MANIFEST).parquet(f"{folder}/_written")
@@ -254,7 +267,7 @@ def read(spark: SparkSession, folder: str, *, payload: bool = False) -> DataFram
     """Records of all archives that the manifest lists, one task per group of files; digests are made anew and checked."""
     manifest = spark.read.parquet(f"{folder}/manifest")
     schema = store.schema(READ + (", payload string" if payload else ""))
-    parts = max(1, min(manifest.count(), int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * 4))
+    parts = max(1, min(manifest.count(), MOST_SHARDS))
 
     def run(batches):
         fs, at = store.open_fs(folder)

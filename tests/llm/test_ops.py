@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import html
 import json
@@ -57,7 +58,7 @@ def test_warc_round_trip_and_revisits(spark):
     for key in ((1, "u1"), (2, ""), (None, "n")):
         assert got[key].record_type == "revisit" and got[key].refers_to == 9 and got[key].payload_bytes == 1502
         assert got[key].payload_digest == hashlib.sha1(big.encode()).hexdigest()
-    assert got[3, "u3"].payload == "" and got[5, "u5"].record_type == got[6, "u6"].record_type == "response"
+    assert got[3, "u%0A3"].payload == "" and got[5, "u5"].record_type == got[6, "u6"].record_type == "response"
     assert got[7, "z"].payload == "y" * 300_000
     again = store.new_dir(spark, "t-warc")
     n = op1_warc.write(spark.createDataFrame(rows, PAGES).repartition(3), again, roll_bytes=600, shard_rows=3)
@@ -65,6 +66,25 @@ def test_warc_round_trip_and_revisits(spark):
     assert key(m) == key(n)  # the same table, the same files
 
 
+def test_warc_one_repeated_id_and_wide_ids(spark):
+    ids = [*range(300), *[7] * 9000, *[None] * 2000]
+    df = spark.createDataFrame([(p, f"http://h/{i}", f"page {i} " * 3) for i, p in enumerate(ids)], "page_id long, url string, html string")
+    folder = store.new_dir(spark, "t-warc")
+    m = op1_warc.write(df, folder, shard_rows=500).collect()
+    assert len(m) < 40 and max(r.records for r in m) <= 2000 and sum(r.records for r in m) == len(ids)
+    got = op1_warc.read(spark, folder, payload=True)
+    assert sorted(r.url for r in got.collect()) == sorted(f"http://h/{i}" for i in range(len(ids))) and got.filter("page_id = 7").count() == 9001
+    folder = store.new_dir(spark, "t-warc")
+    wide = spark.createDataFrame([(-(1 << 63), "a", "x"), ((1 << 63) - 1, "b", "y"), (0, "c", "z"), (0, "c", "z")], "page_id long, url string, html string")
+    op1_warc.write(wide, folder, shard_rows=1)
+    assert sorted(r.page_id for r in op1_warc.read(spark, folder).collect()) == [-(1 << 63), 0, 0, (1 << 63) - 1]
+    names = [str(f) for f in spark.sparkContext.binaryFiles(folder + "/part-*").values().map(lambda b: re.findall(rb"WARC-Type: response.*?Record-ID: (\S+)", gzip.decompress(bytes(b)), re.S)).collect()]
+    assert len({x for n in names for x in re.findall("urn:uuid:[0-9a-f-]+", n)}) == 4
+    folder = store.new_dir(spark, "t-warc")
+    op1_warc.write(spark.createDataFrame([(1, "u" * 300_000, "x")], "page_id long, url string, html string"), folder)
+    assert op1_warc.read(spark, folder).first().url == "u" * 300_000
+
+
 def test_warc_empty_table(spark):
     folder = store.new_dir(spark, "t-warc")
     assert op1_warc.write(spark.createDataFrame([], PAGES), folder).count() == 0
