@@ -12,20 +12,27 @@ One linear pass finds all maximal segments (those that no extension or cut impro
 Significance.  On ordinary documents the largest segment score S of n tokens follows an
 extreme-value law, P(S >= x) = 1 - exp(-K n exp(-lambda x)).  lambda solves
 E[exp(lambda s)] = 1 over their token scores, K is fitted on their largest scores.  Every
-segment whose expected number is at most ``MOST_EXPECTED`` is reported, and the
-document's score is a logistic curve over the log of its expectation.
+segment whose expected number is at most ``MOST_EXPECTED`` is reported.  A document's
+segments are put together by sum statistics: for the r best ones, normalized to
+x = lambda S - ln(K n), the sum T has P(T >= t) = exp(-t) t^(r-1) / (r! (r-1)!); the r with
+the smallest value, doubled for every further segment, counts.  The document's score is a
+logistic curve over its logarithm.
 
-Fitting uses at most ``TRAIN_ROWS`` labelled rows, chosen by a hash of doc_id among those
-that are not held out; four fifths give the weights, the rest the curve.  Scores see the
-text only.
+Fitting uses about ``TRAIN_ROWS`` labelled rows, those whose hash is below a bound that
+follows from the number of labelled rows that are not held out; equal rows are one.  Four
+fifths give the weights, the rest the curve.  Scores see the text only.
 
 Defined results.  Null or empty text, or text without words: no segment, the lowest score.
 Rows with a null label or doc_id do not train.  Repeated rows train and are returned each.
 Without both labels every score is the labelled share of label 1, or 0.  Extra columns are
 ignored.
 
-Scale.  Scoring is one pass without a shuffle.  The features in a task are at most
-``FEATURES``; training texts reach the cluster's join as a list of ids of bounded length.
+Ties: of segments with one score all are reported; which of them is called best does not
+matter.
+
+Scale.  Scoring is one pass without a shuffle.  Features are weighed where they lie, grouped
+by their shortest prefix, and only those whose rate leaves that of their prefix reach the
+driver and the tasks; none is cut off by number.
 """
 
 from __future__ import annotations
@@ -41,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import store
 
-TRAIN_ROWS, FEATURES = 20_000, 150_000
+TRAIN_ROWS, LEAST_DOCS = 20_000, 3
 PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 PRIOR, DRIFT, CLIP = 2.0, 0.7, (-1.0, 6.0)
 EVIDENCE = 4.5
@@ -85,11 +92,26 @@ class Model:
         """Expected number of segments of at least this score in n ordinary tokens."""
         return self.k * n * math.exp(-self.rate * score)
 
-    def feature(self, best: float, n: int) -> float:
-        return min(60.0, max(-2.0, -math.log10(max(self.expected(best, n), 1e-60)))) if best > 0 else -2.0
+    def feature(self, found: list[float], n: int) -> float:
+        """Minus the decimal logarithm of the chance of segments with these scores, by sum statistics; -2 without any."""
+        if not found or not n:
+            return -2.0
+        base = math.log(self.k * n)
+        total = logs = 0.0
+        best = -1e9
+        for r, s in enumerate(sorted(found, reverse=True), 1):
+            x = self.rate * s - base
+            if r > 1 and x <= 0:
+                break
+            total += x
+            if r > 1:
+                logs += math.log(r) + math.log(r - 1) if r > 2 else math.log(r)
+            ln = -total + ((r - 1) * math.log(total) if r > 1 else 0.0) - logs + (r - 1) * math.log(2)
+            best = max(best, -ln)
+        return min(60.0, max(-2.0, best / math.log(10)))
 
-    def score(self, best: float, n: int) -> float:
-        return 1 / (1 + math.exp(-(self.a * self.feature(best, n) + self.b)))
+    def score(self, found: list[float], n: int) -> float:
+        return 1 / (1 + math.exp(-(self.a * self.feature(found, n) + self.b)))
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -123,10 +145,12 @@ def held_out():
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """text, toxic, fold of a bounded sample of labelled rows that are not held out."""
-    ids = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).select("doc_id", "toxic")
-    ids = ids.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "toxic").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", F.pmod("h", F.lit(5)).alias("fold"))  # at most `most` ids
+    """text, toxic, fold of about ``most`` labelled rows that are not held out, by a hash of the row."""
+    known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).select("doc_id", "toxic").distinct()
+    n = docs.select("doc_id").join(known, "doc_id").count()  # narrow rows
+    bound = int(min(1.0, most / max(n, 1)) * (1 << 31))
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).filter(F.pmod("h", F.lit(1 << 31)) < bound)
+    return rows.join(known, "doc_id").dropDuplicates(["h", "toxic"]).select("text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold"))
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -149,9 +173,8 @@ def _evidence(hits: int, n: int, rate: float) -> float:
     return sum(k * math.log(x / y) for k, x, y in ((hits, seen, rate), (n - hits, 1 - seen, 1 - rate)) if k)
 
 
-def weigh(counts: dict[str, tuple[int, int]], n0: int, n1: int) -> dict[str, float]:
-    """Log-odds of features against all documents; those that add nothing to their prefix are left out."""
-    base = n1 / (n0 + n1)
+def weigh(counts: list[tuple[str, int, int]], base: float) -> dict[str, float]:
+    """Log-odds against ``base`` of the features of one prefix group, shorter ones first; those that add nothing to their prefix are left out."""
     root = math.log(base / (1 - base))
     rate: dict[str, float] = {}
     out: dict[str, float] = {}
@@ -163,8 +186,7 @@ def weigh(counts: dict[str, tuple[int, int]], n0: int, n1: int) -> dict[str, flo
                 return rate[p]
         return base
 
-    for f in sorted(counts, key=lambda f: (len(f) - f.endswith("*"), f)):
-        a, b = counts[f]
+    for f, a, b in counts:
         up = parent(f)
         # most features are the company that toxic words keep: a rate leaves its prefix's only on clear evidence
         r = (b + PRIOR * up) / (a + b + PRIOR)
@@ -176,19 +198,42 @@ def weigh(counts: dict[str, tuple[int, int]], n0: int, n1: int) -> dict[str, flo
     return out
 
 
-def _maxima(rows: DataFrame, model: Model) -> list[tuple[float, int, int]]:
-    """Best segment, tokens and label of every training row of the curve; their number is bounded."""
+def weighed(counts: DataFrame, n0: int, n1: int) -> DataFrame:
+    """feature, weight of the features that differ from their prefix; ``counts`` has feature, n0, n1."""
+    base = n1 / (n0 + n1)
+    shortest = min(PREFIXES)
+    stem = F.when(F.endswith("feature", F.lit("*")), F.length("feature") - 1).otherwise(F.length("feature"))
+    rows = counts.filter(F.col("n0") + F.col("n1") >= LEAST_DOCS).select(F.substring("feature", 1, shortest).alias("g"), stem.alias("size"), "feature", "n0", "n1")
+
+    def run(batches):
+        at, held = None, []
+        out: dict[str, float] = {}
+        for batch in batches:
+            for g, f, a, b in zip(*[batch.column(k).to_pylist() for k in ("g", "feature", "n0", "n1")], strict=True):
+                if g != at:
+                    out |= weigh(held, base)
+                    at, held = g, []
+                held.append((f, a, b))
+        out |= weigh(held, base)
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.float64())], names=["feature", "weight"])
+
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return rows.repartition(parts, "g").sortWithinPartitions("g", "size", "feature").mapInArrow(run, "feature string, weight double")
+
+
+def _maxima(rows: DataFrame, model: Model) -> list[tuple[list[float], int, int]]:
+    """Scores of the segments, tokens and label of every training row of the curve; their number is bounded by the sample."""
 
     def run(batches):
         for batch in batches:
-            best, n = [], []
+            found, n = [], []
             for text in batch.column(0).to_pylist():
                 s = model.scores(tokens(text))
                 n.append(len(s))
-                best.append(max((x[2] for x in segments(s)), default=0.0))
-            yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(n, pa.int64()), batch.column(1).cast(pa.int64())], names=["best", "n", "toxic"])
+                found.append([x[2] for x in segments(s)])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), pa.array(n, pa.int64()), batch.column(1).cast(pa.int64())], names=["found", "n", "toxic"])
 
-    return [tuple(r) for r in rows.select("text", "toxic").mapInArrow(run, "best double, n long, toxic long").collect()]
+    return [tuple(r) for r in rows.select("text", "toxic").mapInArrow(run, "found array<double>, n long, toxic long").collect()]
 
 
 def _law(model: Model, histogram: dict[float, int]) -> None:
@@ -221,10 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_ROWS) -> Model:
     m = {r["toxic"]: r["n"] for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not m.get(0) or not m.get(1):
         learn, m = rows, n
-    # a feature of a document or two says nothing beyond its prior; ties by name
-    top = counted(learn).filter("n0 + n1 > 2").orderBy(F.desc("n1"), F.desc("n0"), "feature").limit(FEATURES)
-    counts = {r["feature"]: (r["n0"], r["n1"]) for r in top.collect()}
-    model = Model(weigh(counts, m[0], m[1]))
+    model = Model({r["feature"]: r["weight"] for r in weighed(counted(learn), m[0], m[1]).collect()})
 
     def run(batches):
         for batch in batches:
@@ -238,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_ROWS) -> Model:
         curve = rows
     _law(model, {r["s"]: r["n"] for r in curve.filter("toxic = 0").select("text").mapInArrow(run, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()})
     maxima = _maxima(curve, model)
-    plain = [(s, k) for s, k, y in maxima if not y and k]
+    plain = [(max(s, default=0.0), k) for s, k, y in maxima if not y and k]
     # K by matching the mean of exp(-lambda S) / n, its maximum-likelihood estimate
     model.k = min(1.0, max(1e-4, len(plain) / max(sum(k * math.exp(-model.rate * s) for s, k in plain), 1e-9))) if plain else 0.1
     x = np.array([model.feature(s, k) for s, k, _ in maxima])
@@ -266,7 +308,7 @@ SPANS = "array<struct<start:int,end:int,score:double,expected:double>>"
 def detect(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns, score, n_tokens and the significant segments (token positions) of every row."""
     keep = keep or ["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES features
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # features of the bounded sample that differ from their prefix
     schema = docs.select(*keep).schema.add("score", "double").add("n_tokens", "long")
     for f in store.schema(f"segments {SPANS}"):
         schema = schema.add(f.name, f.dataType)
@@ -278,8 +320,7 @@ def detect(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
             for text in batch.column("__text").to_pylist():
                 s = m.scores(tokens(text))
                 parts = segments(s)
-                best = max((x[2] for x in parts), default=0.0)
-                score.append(m.score(best, len(s)))
+                score.append(m.score([x[2] for x in parts], len(s)))
                 n.append(len(s))
                 found.append([{"start": a, "end": b, "score": v, "expected": e} for a, b, v in parts if (e := m.expected(v, len(s))) <= MOST_EXPECTED])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))

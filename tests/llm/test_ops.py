@@ -104,6 +104,36 @@ def test_segments_are_maximal():
         assert all(b <= c for (_, b, _), (c, _, _) in zip(got, got[1:]))
 
 
+def _recursive(s, lo, hi):
+    """All maximal segments by definition: the best one, the shortest of equals, then those left and right of it."""
+    best = max(((sum(s[i:j]), -(j - i), -i) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0, 0, 0))
+    if best[0] <= 1e-12:
+        return []
+    i = -best[2]
+    j = i - best[1]
+    return [*_recursive(s, lo, i), (i, j), *_recursive(s, j, hi)]
+
+
+def test_segments_are_all_of_the_recursive_definition():
+    random.seed(14)
+    for _ in range(300):
+        s = [random.uniform(-2, 1.5) for _ in range(random.randint(0, 14))]
+        assert [x[:2] for x in op2_toxicity.segments(s)] == _recursive(s, 0, len(s))
+
+
+def test_toxicity_of_many_passages_ties_and_repeated_rows(spark):
+    m = op2_toxicity.Model({})
+    m.rate, m.k, m.a, m.b = 1.0, 0.1, 1.0, 0.0
+    one, three = m.feature([8.0], 100), m.feature([8.0, 8.0, 8.0], 100)
+    assert three > one and m.feature([8.0, 0.1], 100) == one and m.feature([], 100) == m.feature([5.0], 0) == -2.0
+    d, labels = _labelled(spark)
+    model = op2_toxicity.fit(d, labels)
+    again = op2_toxicity.fit(d.union(d).union(d), labels.union(labels))  # equal rows are one
+    assert again.weights == model.weights and again.a == pytest.approx(model.a)
+    few = op2_toxicity.training_rows(d, labels, most=50).count()
+    assert 20 < few < 90
+
+
 def _labelled(spark, n=400):
     random.seed(1)
     words = [f"word{i}" for i in range(200)]
