@@ -1,28 +1,32 @@
 """Operator 8: language of pages by Bayesian fusion of four kinds of evidence.
 
 - the text: character trigram likelihoods per language, trained on documents of known
-  language, tempered by ``TEMPER`` and capped at ``TEXT_CAP`` so that no page's length
-  outweighs all else;
-- the language that the markup declares, and the address suffix (last label of the host):
-  their rates per language;
-- the host: a prior smoothed hierarchically, host towards its domain, domain towards its
-  suffix, suffix towards all pages, each with a Dirichlet prior of ``PRIOR`` pages.
+  language and tempered by ``TEMPER``, for the trigrams of a text are no independent
+  witnesses;
+- the language that the markup declares: its rate per language;
+- the address suffix (last label of the host) and the host: a prior smoothed
+  hierarchically, host towards its domain, domain towards its suffix, suffix towards all
+  pages, each with a Dirichlet prior of ``PRIOR`` pages.  A page does not take part in its
+  own prior: its share is taken out of every level.
 
 All rates come from grouped sums of the pages' text likelihoods as responsibilities, so
 every page counts, and counts are made before the shuffle.
 
 Defined results.  Null or empty html: the text says nothing and the other evidence
 decides.  Null url: no host, domain or suffix evidence beyond that of other such pages.
-Undeclared languages are a value of their own.  Repeated rows count and are returned each.
-Without training documents every language is null.  Extra columns are ignored.
+Undeclared languages are a value of their own.  Of languages with one probability the
+first by name is taken.  Repeated rows count and are returned each.  Without training
+documents every language is null.  Extra columns are ignored.
 
 Scale.  Hosts, domains and suffixes are summed in tasks first, so a host with a third of
 all pages sends one row per task; their tables are joined back by key, where Spark splits a
-skewed host.  Trigram tables are bounded by ``TRIGRAMS`` per language.
+skewed host.  The trigram table has ``TRIGRAMS`` rows per language, and training takes
+about ``TRAIN_ROWS`` documents of every language, those whose hash is below its bound.
 """
 
 from __future__ import annotations
 
+import html as _html
 import math
 import re
 from collections import Counter
@@ -36,7 +40,7 @@ from pyspark.sql.window import Window
 
 from . import store
 
-TRAIN_ROWS, TRIGRAMS = 4_000, 8_000
+TRAIN_ROWS, TRIGRAMS = 2_000, 8_000
 TEMPER, PRIOR = 0.2, 5.0
 _GAP = re.compile(r"[\W\d_]+")
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -55,9 +59,11 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[str], dict[int, list[float]]]:
     """Languages, and the log-likelihoods of trigrams in each; -1 holds those of unseen ones.
 
-    Fitted on at most ``most`` documents of known language, chosen by a hash of their id.
+    Fitted on about ``most`` documents of every language, chosen by a hash of the row; equal rows are one.
     """
-    ids = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "lang").limit(most).select("doc_id")
+    known = docs.filter("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = docs.filter("lang is not null and text is not null").groupBy("lang").agg(F.count("*").alias("rows"))  # a row a language
+    part = known.join(F.broadcast(sizes), "lang").filter(F.pmod("h", F.lit(1 << 31)) < F.least(F.lit(1.0), most / F.col("rows")) * float(1 << 31))
 
     def run(batches):
         for batch in batches:
@@ -68,7 +74,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[str], dict[int,
             rows = [(lang, g, n) for lang, c in seen.items() for g, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, [pa.string(), pa.int64(), pa.int64()], strict=True)], names=["lang", "g", "n"])
 
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").filter("lang is not null")  # at most `most` ids
+    sample = part.dropDuplicates(["lang", "h"])
     counts = sample.select("text", "lang").mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     by: dict[str, dict[int, int]] = {}
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "g")  # tasks keep their first TRIGRAMS of a language before the shuffle
@@ -108,7 +114,7 @@ def evidence(pages: DataFrame, langs: list[str], like: dict[int, list[float]]) -
             out = []
             for at in range(0, len(batch), 200):
                 for page in batch.column("html").slice(at, 200).to_pylist():
-                    g, n = trigrams(_TAG.sub(" ", _RAW.sub(" ", page)))
+                    g, n = trigrams(_html.unescape(_TAG.sub(" ", _RAW.sub(" ", page))))
                     if not len(g) or not k:
                         out.append([0.0] * k)
                         continue
@@ -133,33 +139,24 @@ def fuse(found: DataFrame, langs: list[str]) -> DataFrame:
     if not k:
         return found.select("page_id", "url", "declared", "host", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"))
     share = found.select("host", "domain", "suffix", "declared", *[s.alias(f"s{i}") for i, s in enumerate(_share(F.col("text"), k))])
-    sums = lambda by: share.groupBy(*by).agg(*[F.sum(f"s{i}").cast("double").alias(f"s{i}") for i in range(k)])
-    hosts = store.table(sums(["host", "domain", "suffix"]), "op8-hosts")
-
-    def rates(df, above):
-        whole = sum([F.col(f"s{i}") for i in range(1, k)], F.col("s0"))
-        return [((F.col(f"s{i}") + PRIOR * above[i]) / (whole + PRIOR)) for i in range(k)]
-
-    # all pages, suffixes, domains, hosts: each level leans on the one above it
-    top = hosts.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).first()
-    all_pages = sum(top) if top[0] is not None else 0.0
-    prior = [F.lit(((top[i] or 0.0) + 1) / (all_pages + k)) for i in range(k)]
-    level = None
-    for by, up in ((["suffix"], None), (["domain", "suffix"], "suffix"), (["host", "domain", "suffix"], "domain")):
-        own = hosts.groupBy(*by).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
-        if up:
-            keys = by[1:] if up == "suffix" else ["domain", "suffix"]
-            own = own.join(level.select(*keys, *[F.col(f"p{i}").alias(f"u{i}") for i in range(k)]), keys)
-            above = [F.col(f"u{i}") for i in range(k)]
-        else:
-            above = prior
-        level = own.select(*by, *[r.alias(f"p{i}") for i, r in enumerate(rates(own, above))])
-    said = sums(["declared"])
-    totals = [F.lit((top[i] or 0.0) + 1.0) for i in range(k)]
-    said = said.select("declared", *[((F.col(f"s{i}") + 1) / totals[i]).alias(f"d{i}") for i in range(k)])
-    tail = sums(["suffix"]).select("suffix", *[((F.col(f"s{i}") + 1) / totals[i]).alias(f"t{i}") for i in range(k)])
-    j = found.join(level, ["host", "domain", "suffix"]).join(said, "declared").join(tail, "suffix")
-    logs = [F.element_at("text", i + 1) + F.log(f"p{i}") + F.log(f"d{i}") + F.log(f"t{i}") for i in range(k)]
+    totals = lambda df, by, p: df.groupBy(*by).agg(*[F.sum(f"s{i}").alias(f"{p}{i}") for i in range(k)])
+    hosts = store.table(totals(share, ["host", "domain", "suffix"], "s"), "op8-hosts")
+    top = hosts.agg(*[F.sum(f"s{i}") for i in range(k)]).first()
+    whole = [float(x or 0) for x in top]
+    level = hosts.select("host", "domain", "suffix", *[F.col(f"s{i}").alias(f"h{i}") for i in range(k)])
+    level = level.join(totals(hosts, ["domain", "suffix"], "d"), ["domain", "suffix"]).join(totals(hosts, ["suffix"], "t"), "suffix")
+    said = totals(share, ["declared"], "c")
+    own = _share(F.col("text"), k)
+    j = found.select("page_id", "url", "declared", "host", "domain", "suffix", "text", *[o.alias(f"o{i}") for i, o in enumerate(own)])
+    j = j.join(level, ["host", "domain", "suffix"]).join(said, "declared")
+    # all pages, the suffix, the domain, the host: each level leans on the one above it, and none knows the page itself
+    prior = [(F.lit(whole[i]) - F.col(f"o{i}") + 1) / (sum(whole) - 1 + k) for i in range(k)]
+    for p in "tdh":
+        rest = [(F.col(f"{p}{i}") - F.col(f"o{i}")).cast("double") for i in range(k)]
+        n = sum(rest[1:], rest[0])
+        j = j.select("*", *[((rest[i] + PRIOR * prior[i]) / (n + PRIOR)).alias(f"p{p}{i}") for i in range(k)])
+        prior = [F.col(f"p{p}{i}") for i in range(k)]
+    logs = [F.element_at("text", i + 1) + F.log(prior[i]) + F.log((F.col(f"c{i}").cast("double") + 1) / (whole[i] + 1)) for i in range(k)]
     j = j.select("page_id", "url", "declared", "host", F.array(*logs).alias("logs"))
     best = F.array_max("logs")
     names = F.array(*[F.lit(x) for x in langs])

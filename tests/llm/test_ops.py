@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import html
 import json
+import math
 import random
 import re
 import string
@@ -450,6 +451,51 @@ def test_language_fusion(spark):
     assert {r.lang for r in op8_language.fuse(op8_language.evidence(df, none, table), none).collect()} == {None}
 
 
+def _fused(rows, langs):
+    """Fusion by plain sums: rows are (page_id, host, domain, suffix, declared, log-likelihoods)."""
+    k, shares = len(langs), []
+    for *_, logs in rows:
+        e = [math.exp(x) for x in logs]
+        shares.append([round(x / sum(e), 6) for x in e])
+    total = [sum(s[i] for s in shares) for i in range(k)]
+    out = {}
+    for r, own in zip(rows, shares):
+        p = [(total[i] - own[i] + 1) / (sum(total) - 1 + k) for i in range(k)]
+        for same in (lambda x: x[3] == r[3], lambda x: x[2:4] == r[2:4], lambda x: x[1:4] == r[1:4]):
+            rest = [sum(s[i] for x, s in zip(rows, shares) if same(x)) - own[i] for i in range(k)]
+            p = [(rest[i] + op8_language.PRIOR * p[i]) / (sum(rest) + op8_language.PRIOR) for i in range(k)]
+        said = [(sum(s[i] for x, s in zip(rows, shares) if x[4] == r[4]) + 1) / (total[i] + 1) for i in range(k)]
+        logs = [r[5][i] + math.log(p[i]) + math.log(said[i]) for i in range(k)]
+        out[r[0]] = (langs[logs.index(max(logs))], 1 / sum(math.exp(x - max(logs)) for x in logs))
+    return out
+
+
+def test_language_fusion_equals_plain_sums(spark):
+    random.seed(15)
+    langs = ["de", "en", "fr"]
+    rows = []
+    for i in range(120):
+        host = random.choice(["a.x.de", "b.x.de", "c.y.fr", "d.y.com", "e.z.com", ""])
+        logs = [random.choice((0.0, -0.5, -2.0, -6.0)) for _ in langs]
+        labels = host.split(".")
+        rows.append((i, host, ".".join(labels[-2:]), labels[-1], random.choice(["de", "en", ""]), [x - max(logs) for x in logs]))
+    df = spark.createDataFrame([(r[0], "", *r[1:]) for r in rows], "page_id long, url string, host string, domain string, suffix string, declared string, text array<double>")
+    want = _fused(rows, langs)
+    for r in op8_language.fuse(df, langs).collect():
+        assert r.lang == want[r.page_id][0] and r.probability == pytest.approx(want[r.page_id][1], abs=1e-4)
+
+
+def test_language_accuracy_on_documents_of_known_language(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text is not null")
+    odd = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 1
+    langs, like = op8_language.train(d.filter(~odd), most=300)
+    held = d.filter(odd & (F.size(F.split("text", " ")) >= 20))
+    pages = held.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://h"), F.col("doc_id"), F.lit(".org/")).alias("url"), F.concat(F.lit("<p>"), F.replace("text", F.lit("é"), F.lit("&eacute;")), F.lit("</p>")).alias("html"))
+    got = op8_language.fuse(op8_language.evidence(pages, langs, like), langs).join(held.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("true")), "page_id")
+    right, n = got.agg(F.sum((F.col("lang") == F.col("true")).cast("int")), F.count("*")).first()
+    assert n > 3000 and right / n > 0.97, (right, n)
+
+
 def test_language_of_a_wrongly_declared_page_at_any_size(spark):
     en, de = "the house and the garden of the old man with water ", "das haus und der garten von dem alten mann mit wasser "
     langs, like = op8_language.train(spark.createDataFrame([(i, (en, de)[i % 2] * 5, ("en", "de")[i % 2], "s", 0) for i in range(40)], DOCS))
