@@ -1,143 +1,166 @@
-"""Numeric mentions of a query: digits, number words, fractions, ratio words and counts of enumerations.
+r"""Numeric mentions of a query as columns: digits, number words, fractions, ratio words, counts of enumerations.
 
-Number words and enumerations need state across tokens, so these are plain Python
-functions; :func:`mentions` runs them over Arrow batches.  A query's digits alone are
-found natively by :mod:`gleaner.functions.text`.
+A query is an array of tokens; every rule looks at a token, its neighbours and the words
+around it, so a mention is one expression over the array and nothing leaves the JVM.
+
+Number words are read by place: the run of number words is cut at ``thousand`` and
+``million``, a piece is cut at ``hundred``, and what is left are small words that add up.
+A piece's parts are the digits of a number to the base 100, a multiplier without a number
+before it counts once, and the pieces times their multipliers are summed.
 """
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
 
-from .text import NUMBER_PATTERNS
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Number words.
-ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-MAGNITUDES = {"hundred": 100, "thousand": 1_000, "million": 1_000_000}
+ONES = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
+TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+HUNDRED, LARGE = "hundred", {"thousand": 1_000, "million": 1_000_000}
 # Fraction words.
 FRACTIONS = {
     "half": 1 / 2, "halves": 1 / 2, "third": 1 / 3, "thirds": 1 / 3, "quarter": 1 / 4, "quarters": 1 / 4,
     "one-half": 1 / 2, "one-third": 1 / 3, "one-quarter": 1 / 4, "two-thirds": 2 / 3, "three-quarters": 3 / 4,
 }
 # Words near a number that tell its kind.
-MONEY_CONTEXT = frozenset(("budget", "cost", "price", "profit", "revenue", "dollar", "dollars", "$", "€", "usd", "eur"))
-PERCENT_CONTEXT = frozenset(("percent", "percentage", "rate", "fraction"))
-# Words that multiply, one token per group at its first place.
-RATIOS = [(r"\btwice\b|\bdouble\b(?!-)|\btwo times\b", 2.0), (r"\btriple\b(?!-)|\bthree times\b", 3.0)]
-
-WORD_NUMBERS = {w: i for i, w in enumerate(ONES)} | {w: 10 * i for i, w in enumerate(TENS, 2)} | MAGNITUDES
-WORD_NUMBERS |= {f"{t}-{o}": WORD_NUMBERS[t] + WORD_NUMBERS[o] for t in TENS for o in ONES[1:10]}
-
-_TRIM = ".,;:()[]{}\"'"
-_DIGITS = re.compile(NUMBER_PATTERNS["mention"])
-_NOT_ITEMS = frozenset("the a an of to for in on with at by per each this that these those it they we you he she is are was were be has have will can must more less than least most".split())
-_NOUNS = re.compile(r"[A-Za-z][A-Za-z-]+(?:\s*,\s*[A-Za-z][A-Za-z-]+)*\s*,?\s+and\s+[A-Za-z][A-Za-z-]+")
-
-
-def clean(token: str) -> str:
-    return token.lower().strip(_TRIM)
-
-
-def word_span(tokens: list[str], start: int) -> tuple[float | None, int]:
-    """Value and length of the number words from ``start`` on; (None, 0) if none."""
-    total = part = n = 0
-    for token in tokens[start:]:
-        value = WORD_NUMBERS.get(clean(token))
-        if value is None:
-            break
-        n += 1
-        if value == 100:
-            part = max(part, 1) * 100
-        elif value in (1_000, 1_000_000):
-            total, part = total + max(part, 1) * value, 0
-        else:
-            part += value
-    return (float(total + part), n) if n else (None, 0)
-
-
-def _kind(value: float) -> str:
-    return "int" if value == int(value) else "float"
-
-
-def digit_mention(raw: str, context: set[str]) -> dict:
-    """Kind and value of a digit token: per cent by its sign or company, money by its sign or company, else int or float."""
-    value = float(re.sub(r"[$,%]", "", raw))
-    if raw.endswith("%"):
-        return {"raw": raw, "value": value / 100, "kind": "percent"}
-    if context & {"percent", "percentage"} and value > 1:
-        return {"raw": raw, "value": value / 100, "kind": "percent"}
-    if 0 < value <= 1 and context & PERCENT_CONTEXT:
-        return {"raw": raw, "value": value, "kind": "percent"}
-    if raw.startswith("$") or context & MONEY_CONTEXT:
-        return {"raw": raw, "value": value, "kind": "currency"}
-    return {"raw": raw, "value": value, "kind": _kind(value)}
-
-
-def word_mention(raw: str, value: float, context: set[str], after: list[str]) -> dict:
-    """Kind and value of number words; ``after`` are the tokens behind them."""
-    nxt = [clean(t) for t in after[:2]]
-    percent = nxt[:1] == ["percent"] or nxt == ["per", "cent"] or (bool(context & {"percent", "percentage"}) and value > 1)
-    if percent:
-        return {"raw": raw, "value": value / 100 if value > 1 else value, "kind": "percent"}
-    return {"raw": raw, "value": value, "kind": "currency" if context & MONEY_CONTEXT else _kind(value)}
-
-
-def extract(query: str | None, reach: int = 3) -> list[dict]:
-    """Mentions in token order; ratio words follow."""
-    if not query:
-        return []
-    tokens, out, i = query.split(), [], 0
-    while i < len(tokens):
-        context = {clean(t) for t in tokens[max(0, i - reach) : i + reach + 1]}
-        found = _DIGITS.search(tokens[i])
-        if clean(tokens[i]) == "<num>" or tokens[i] == "<num>":
-            out.append({"raw": "<num>", "value": None, "kind": "unknown"})
-        elif found:
-            out.append(digit_mention(found[0], context))
-        else:
-            value, n = word_span(tokens, i)
-            if n:
-                out.append(word_mention(" ".join(tokens[i : i + n]), value, context, tokens[i + n :]))
-                i += n
-                continue
-            if (f := FRACTIONS.get(clean(tokens[i]))) is not None:
-                out.append({"raw": tokens[i], "value": f, "kind": "percent"})
-        i += 1
-    for pattern, value in RATIOS:
-        if m := re.search(pattern, query, re.I):
-            out.append({"raw": m[0], "value": value, "kind": "float"})
-    return out
-
-
-def enumeration_counts(query: str | None) -> list[tuple[int, str]]:
-    """(count, span) of noun lists of two to five items: "phones and laptops" is 2."""
-    out = []
-    for m in _NOUNS.finditer(query or ""):
-        items = [clean(x.split()[-1]) for x in re.split(r"\s*,\s*|\s+and\s+", m[0]) if x.strip()]
-        n = sum(1 for x in items if len(x) > 1 and x.replace("-", "").isalpha() and x not in _NOT_ITEMS and x not in WORD_NUMBERS and x not in FRACTIONS)
-        if 2 <= n <= 5:
-            out.append((n, m[0]))
-    return out
+MONEY_CONTEXT = ("budget", "cost", "price", "profit", "revenue", "dollar", "dollars", "$", "€", "usd", "eur")
+PERCENT_CONTEXT = ("percent", "percentage", "rate", "fraction")
+# Words that multiply; a group gives one mention.
+RATIOS = [("RATIO_WORD:twice", r"\btwice\b|\bdouble\b(?!-)|\btwo\s+times\b", 2.0), ("RATIO_WORD:triple", r"\btriple\b(?!-)|\bthree\s+times\b", 3.0)]
+# Words that are no items of an enumeration.
+NOT_ITEMS = (
+    "a", "an", "the", "of", "in", "on", "at", "for", "to", "is", "are", "be", "been", "was", "were", "has", "have", "had", "do", "does", "did", "with", "by", "from", "into", "through",
+    "each", "per", "any", "all", "both", "either", "it", "its", "this", "that", "their", "which", "can", "could", "should", "would", "may", "might", "must", "shall", "not", "no", "also",
+    "some", "more", "other", "such", "than", "if", "as", "and", "or", "but", "nor", "so", "yet", "total", "overall", "aggregate", "average", "general",
+)
+# Lists of nouns, and of numbers with nouns.
+NOUN_LIST = r"(?i)[A-Za-z][a-zA-Z-]+(?:\s*,\s*[A-Za-z][a-zA-Z-]+)*\s*,?\s*and\s+[A-Za-z][a-zA-Z-]+"
+QUANTITY = r"[$]?\d[\d,]*(?:\.\d+)?%?\s+([A-Za-z][a-zA-Z]+)"
+QUANTITY_LIST = rf"(?i){QUANTITY}(?:\s*,\s*{QUANTITY})+(?:\s*,?\s*and\s+{QUANTITY})?"
+
+SMALL = {w: i for i, w in enumerate(ONES)} | {w: 10 * i for i, w in enumerate(TENS, 2)} | {f"{t}-{o}": 10 * i + j for i, t in enumerate(TENS, 2) for j, o in enumerate(ONES[1:10], 1)}
+#: Tokens on either side of a number that are its context.
+REACH = 3
+SCHEMA = "array<struct<raw:string,value:double,kind:string>>"
 
 
-SCHEMA = "array<struct<raw:string,value:double,kind:string>>"
-_ARROW = pa.list_(pa.struct([("raw", pa.string()), ("value", pa.float64()), ("kind", pa.string())]))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _table(values: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in (kv[0], float(kv[1]))])
+
+
+def _among(w: Column, words) -> Column:
+    return w.isin(*words)
+
+
+def _any(context: Column, words) -> Column:
+    return F.arrays_overlap(context, F.array(*[F.lit(x) for x in words]))
+
+
+def stripped(token: Column, signs: str = r".,;:()\[\]{}\"'") -> Column:
+    """Lower-cased, without punctuation at its ends."""
+    return F.regexp_replace(F.lower(token), rf"^[{signs}]+|[{signs}]+$", "")
+
+
+def is_number_word(w: Column) -> Column:
+    return _among(w, (*SMALL, HUNDRED, *LARGE))
+
+
+def word_value(run: Column) -> Column:
+    """Value of an array of number words."""
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    times = lambda v: F.greatest(v, F.lit(1.0))
+    small = lambda part: total(F.transform(F.split(F.trim(part), " "), lambda w: F.coalesce(F.try_element_at(_table(SMALL), w), F.lit(0.0))))
+    piece = lambda p: let(
+        F.transform(F.split(p, rf" {HUNDRED}(?= |$)"), small), lambda parts: F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.element_at(parts, 1), lambda high, low: times(high) * 100 + low)
+    )
+    pieces = F.transform(F.split(F.concat(F.lit(" "), F.array_join(run, " ")), rf" (?:{'|'.join(LARGE)})(?= |$)"), piece)
+    scales = F.transform(F.filter(run, lambda w: _among(w, LARGE)), lambda w: F.try_element_at(_table(LARGE), w))
+    return total(F.zip_with(pieces, scales, lambda v, scale: F.when(scale.isNull(), v).otherwise(times(v) * scale)))
+
+
+def _mention(raw: Column, value: Column, kind: Column) -> Column:
+    return F.struct(raw.alias("raw"), value.cast("double").alias("value"), kind.alias("kind"))
+
+
+def _plain_kind(value: Column) -> Column:
+    return F.when(value == F.floor(value), "int").otherwise("float")
+
+
+def digit_mention(token: Column, context: Column) -> Column:
+    """A digit token: per cent by its sign or company, money by its sign or company, else int or float."""
+    raw = F.regexp_replace(token, r"[.,;:()\[\]{}]+$", "")
+
+    def typed(v):
+        spoken = _any(context, ("percent", "percentage")) & (v > 1)
+        share = (v > 0) & (v <= 1) & _any(context, PERCENT_CONTEXT)
+        money = F.contains(raw, F.lit("$")) | _any(context, MONEY_CONTEXT)
+        signed = raw.endswith("%")
+        return _mention(raw, F.when(signed | spoken, v / 100).otherwise(v), F.when(signed | spoken | share, "percent").when(money, "currency").otherwise(_plain_kind(v)))
+
+    return let(F.regexp_replace(raw, r"[$,%]", "").cast("double"), typed)
+
+
+def word_mention(raw: Column, value: Column, context: Column, after: Column) -> Column:
+    """Number words; ``after`` are the clean tokens behind them."""
+    first, second = F.coalesce(F.get(after, 0), F.lit("")), F.coalesce(F.get(after, 1), F.lit(""))
+
+    def typed(v):
+        percent = (first == "percent") | ((first == "per") & (second == "cent")) | (_any(context, ("percent", "percentage")) & (v > 1))
+        return _mention(raw, F.when(percent & (v > 1), v / 100).otherwise(v), F.when(percent, "percent").when(_any(context, MONEY_CONTEXT), "currency").otherwise(_plain_kind(v)))
+
+    return let(value, typed)
+
+
+def mentions_of(text: Column, masked: bool = False) -> Column:
+    """Mentions of a text in token order, ratio words last; ``masked``: the variant whose numbers are written ``<num>``."""
+    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
+    around = lambda xs, i: F.slice(xs, F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH)) + REACH + 1)
+    none = F.lit(None).cast("struct<raw:string,value:double,kind:string>")
+
+    def found(parts):
+        tok, clean, near, number = parts["tok"], parts["clean"], parts["near"], parts["number"]
+
+        def at(token, i):
+            context, w = around(near, i), F.element_at(clean, i + 1)
+            digits = F.regexp_replace(F.regexp_replace(token, r"[,;:()\[\]{}]+$", ""), r"\.+$", "").rlike(r"^[$]?\d[\d,]*(?:\.\d+)?%?$")
+            rest = F.slice(number, i + 1, F.size(number))
+            length = let(F.array_position(rest, False), lambda p: F.when(p > 0, p - 1).otherwise(F.size(rest))).cast("int")
+            begins = F.element_at(number, i + 1) & ((i == 0) | ~F.element_at(number, F.greatest(i, F.lit(1))))
+            run = lambda xs, n: F.slice(xs, i + 1, n)
+            words = let(length, lambda n: word_mention(F.array_join(run(tok, n), " "), word_value(run(clean, n)), context, F.slice(clean, i + n + 1, F.lit(2))))
+            fraction = F.try_element_at(_table(FRACTIONS), w)
+            out = F.when(digits, digit_mention(token, context)).when(begins, words).when(fraction.isNotNull() & ~F.element_at(number, i + 1), _mention(w, fraction, F.lit("percent")))
+            return F.when(token == "<num>", _mention(F.lit("<num>"), F.lit(None), F.lit("unknown")) if masked else none).otherwise(out)
+
+        return F.filter(F.transform(tok, at), lambda m: m.isNotNull())
 
+    parts = let(
+        tokens, lambda t: let(F.transform(t, lambda x: stripped(x)), lambda c: F.struct(t.alias("tok"), c.alias("clean"), F.transform(t, lambda x: stripped(x, r".,;:()\[\]{}")).alias("near"), F.transform(c, is_number_word).alias("number")))
+    )
+    ratios = [F.when(F.lower(text).rlike(p), F.array(_mention(F.lit(raw), F.lit(v), F.lit("percent")))).otherwise(F.array().cast(SCHEMA)) for raw, p, v in RATIOS]
+    return F.concat(let(parts, found), *ratios)
 
-def mentions(queries: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns and mentions of every row."""
-    from pyspark.sql import functions as F
 
-    rows = queries.select(*keep, F.col(text).alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.select(*keep).schema) + f", mentions {SCHEMA}"
+def mentions(queries: DataFrame, text: str, keep: list[str], masked: bool = False) -> DataFrame:
+    """``keep`` columns and the mentions of every row."""
+    return queries.select(*keep, mentions_of(F.col(text), masked).alias("mentions"))
 
-    def run(batches):
-        for batch in batches:
-            found = pa.array([extract(t) for t in batch.column("__text").to_pylist()], _ARROW)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*keep, "mentions"])
 
-    return rows.mapInArrow(run, ddl)
+def enumeration_counts(text: Column) -> Column:
+    """array<struct<count,span>> of lists of two to five items: nouns ("phones and laptops" is 2), then numbered nouns."""
+    item = lambda w: (F.length(w) > 1) & F.replace(w, F.lit("-"), F.lit("")).rlike("^[a-z]+$") & ~_among(w, NOT_ITEMS)
+    named = lambda w: item(w) & ~is_number_word(w) & ~_among(w, FRACTIONS)
+    last = lambda x: stripped(F.substring_index(F.trim(x), " ", -1))
+    lists = lambda pattern, items: F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)), lambda s: F.struct(F.size(items(s)).alias("count"), s.alias("span")))
+    nouns = lists(NOUN_LIST, lambda s: F.filter(F.transform(F.split(s, r"(?i)\s*,\s*|\s+and\s+"), last), named))
+    numbered = lists(QUANTITY_LIST, lambda s: F.filter(F.transform(F.regexp_extract_all(s, F.lit(QUANTITY), F.lit(1)), lambda w: F.lower(w)), item))
+    return F.filter(reduce(F.concat, [nouns, numbered]), lambda x: x["count"].between(2, 5))

@@ -13,56 +13,59 @@ from pyspark.sql import functions as F
 # The named number patterns. They differ on purpose and are not unified.
 NUMBER_PATTERNS = {
     "mention": r"[$]?\d[\d,]*(?:\.\d+)?%?",
+    "overlap": r"\b\$?\d+(?:,\d{3})*(?:\.\d+)?%?\b",
+    "error": r"\b\d+(?:,\d{3})*(?:\.\d+)?%?\b",
+    "dataset": r"[$]?\d+(?:,\d{3})*(?:\.\d+)?%?|\d+\.\d+",
+    "corpus": r"\$?\d+(?:,\d{3})*(?:\.\d+)?%?|\d+\.\d+",
     "plain": r"\b\d+(?:\.\d+)?\b",
-    "signed": r"-?\d+(?:\.\d+)?",
-    "grouped": r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?",
-    "percent": r"\d+(?:\.\d+)?\s*%",
-    "money": r"[$€]\s*\d[\d,]*(?:\.\d+)?",
-    "integer": r"\b\d+\b",
+    "audit": r"\$?\d[\d,]*(?:\.\d+)?%?",
 }
 
 # English stop words of the sanitizers.
 STOP_WORDS = (
-    "a an and are as at be by can each every for from has have how if in into is it its may more must no not of on or per so such "
-    "than that the their them then there these they this to was we what when where which while who will with you your"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can",
+    "to", "of", "in", "on", "at", "by", "for", "from", "with", "about", "into", "through", "during", "and", "but", "or", "nor", "so", "yet", "both", "either", "neither", "not", "as", "if",
+    "than", "that", "which", "who", "whom", "whose", "this", "these", "those", "it", "its", "i", "you", "he", "she", "we", "they", "all", "each", "every", "some", "any", "no", "one", "two",
+    "such", "up", "out", "how", "what", "when", "where", "while", "more", "most", "other", "same", "then", "there", "their", "also", "just", "only", "over", "per", "after", "between",
+    "before", "must", "least", "much",
+)
 
 # A short query has at most this many words; else the generic words are appended.
 SHORT_QUERY_WORDS = 5
 GENERIC_CONTEXT = "optimization problem formulation"
 
 # Words of a short query and the context they bring, first match wins.
-DOMAIN_CONTEXT: list[tuple[str, str]] = [
-    ("diet blend blending mix mixture alloy ingredient nutrient feed recipe composition", "blending mix mixture ingredient nutrient composition percentage optimization"),
-    ("transport transportation ship shipping route routing delivery logistics", "transportation shipping route supply demand source destination network flow"),
-    ("assign assignment worker task job employee schedule scheduling shift crew rostering pairing", "assignment scheduling worker task job crew rostering shift optimization"),
-    ("facility location depot warehouse open opening customer median hub", "facility location opening depot warehouse customer serving optimization"),
-    ("knapsack pack packing item weight capacity", "knapsack packing items weight capacity maximize value binary optimization"),
-    ("vehicle vrp tour visit", "vehicle routing tour depot visit capacitated optimization"),
-    ("cover covering dominate", "set cover covering subsets elements minimum optimization"),
-    ("graph vertex edge node clique coloring chromatic independent", "graph vertex edge node integer programming optimization"),
-    ("spanning steiner mst arborescence tree", "minimum spanning tree Steiner tree graph network connectivity optimization"),
-    ("production produce product manufacture manufacturing factory output profit", "production planning profit labor machine manufacturing optimization"),
-    ("tsp salesman traveling travelling tour", "traveling salesman problem TSP tour shortest circuit optimization"),
-    ("flowshop makespan sequencing tardiness permutation jobshop", "flow shop job shop scheduling sequencing makespan minimization integer programming"),
-    ("flow network path shortest", "network flow shortest path minimum cost arc optimization"),
-    ("bin bins cutting stock container", "bin packing cutting stock container size optimization"),
-    ("lp linear ilp mip milp integer formulate formulation", "linear program integer programming formulation optimization variables constraints"),
-    ("qp quadratic socp convex nonlinear nlp", "quadratic convex nonlinear programming optimization objective constraints"),
-    ("portfolio invest investment stock asset return risk markowitz sharpe frontier", "portfolio optimization investment return risk asset allocation Markowitz"),
-    ("auction bid bidding procurement winner", "auction combinatorial bidding winner determination procurement allocation integer programming"),
-    ("match matching bipartite marriage stable allocation allocate", "matching bipartite assignment allocation worker job optimization"),
-    ("resource capacity planning demand supply inventory stock lot sizing", "resource capacity planning demand supply inventory lot sizing optimization"),
-    ("cut trim strip layout nesting 2d 3d rectangle sheet", "cutting layout strip packing rectangle nesting optimization"),
-]
+DOMAIN_CONTEXT: list[tuple[tuple[str, ...], str]] = [
+    (("diet", "blend", "blending", "mix", "mixture", "alloy", "ingredient", "nutrient", "feed", "recipe", "composition"), "blending mix mixture ingredient nutrient composition percentage optimization"),
+    (("transport", "transportation", "ship", "shipping", "route", "routing", "delivery", "logistics"), "transportation shipping route supply demand source destination network flow"),
+    (("assign", "assignment", "worker", "task", "job", "employee", "schedule", "scheduling", "shift", "crew", "rostering", "pairing"), "assignment scheduling worker task job crew rostering shift optimization"),
+    (("facility", "location", "depot", "warehouse", "open", "opening", "customer", "median", "hub"), "facility location opening depot warehouse customer serving optimization"),
+    (("knapsack", "pack", "packing", "item", "weight", "capacity"), "knapsack packing items weight capacity maximize value binary optimization"),
+    (("vehicle", "vrp", "tour", "visit"), "vehicle routing tour depot visit capacitated optimization"),
+    (("cover", "covering", "set cover", "dominate"), "set cover covering subsets elements minimum optimization"),
+    (("graph", "vertex", "edge", "node", "clique", "coloring", "chromatic", "independent"), "graph vertex edge node integer programming optimization"),
+    (("spanning", "steiner", "mst", "arborescence", "tree"), "minimum spanning tree Steiner tree graph network connectivity optimization"),
+    (("production", "produce", "product", "manufacture", "manufacturing", "factory", "output", "profit"), "production planning profit labor machine manufacturing optimization"),
+    (("tsp", "salesman", "traveling", "travelling", "tour"), "traveling salesman problem TSP tour shortest circuit optimization"),
+    (("flowshop", "makespan", "sequencing", "tardiness", "permutation", "jobshop"), "flow shop job shop scheduling sequencing makespan minimization integer programming"),
+    (("flow", "network", "path", "shortest"), "network flow shortest path minimum cost arc optimization"),
+    (("bin", "bins", "cutting", "stock", "container"), "bin packing cutting stock container size optimization"),
+    (("lp", "linear", "ilp", "mip", "milp", "integer", "formulate", "formulation"), "linear program integer programming formulation optimization variables constraints"),
+    (("qp", "quadratic", "socp", "convex", "nonlinear", "nlp"), "quadratic convex nonlinear programming optimization objective constraints"),
+    (("portfolio", "invest", "investment", "stock", "asset", "return", "risk", "markowitz", "sharpe", "frontier"), "portfolio optimization investment return risk asset allocation Markowitz"),
+    (("auction", "bid", "bidding", "procurement", "winner"), "auction combinatorial bidding winner determination procurement allocation integer programming"),
+    (("match", "matching", "bipartite", "marriage", "stable", "allocation", "allocate"), "matching bipartite assignment allocation worker job optimization"),
+    (("resource", "capacity", "planning", "demand", "supply", "inventory", "stock", "lot", "sizing"), "resource capacity planning demand supply inventory lot sizing optimization"),
+    (("cut", "trim", "strip", "layout", "nesting", "2d", "3d", "rectangle", "sheet"), "cutting layout strip packing rectangle nesting optimization"),
+]
 
 # Parts of slot names and the scalar type they mean, in order; "$" anchors at the end.
-SLOT_TYPES: list[tuple[str, str]] = [
-    ("percent percentage fraction pct ratio proportion share utilisation utilization rate$", "percent"),
-    ("num count types items ingredients nodes edges", "int"),
-    ("budget cost price revenue profit penalty investment income salary wage fee", "currency"),
-    ("number workers employee shifts batches rounds days weeks months trips persons patients tasks machines factories farms vehicles trucks buses", "int"),
-]
+SLOT_TYPES: list[tuple[tuple[str, ...], str]] = [
+    (("percent", "percentage", "fraction", "pct", "ratio", "proportion", "share", "utilisation", "utilization", "rate$"), "percent"),
+    (("num", "count", "types", "items", "ingredients", "nodes", "edges"), "int"),
+    (("budget", "cost", "price", "revenue", "profit", "penalty", "investment", "income", "salary", "wage", "fee"), "currency"),
+    (("number", "workers", "employee", "shifts", "batches", "rounds", "days", "weeks", "months", "trips", "persons", "patients", "tasks", "machines", "factories", "farms", "vehicles", "trucks", "buses"), "int"),
+]
 
 
 def words(text: Column) -> Column:
@@ -131,7 +134,7 @@ def expand_short_query(query: Column) -> Column:
     """A query of few words with the context of its domain, or the generic one."""
     q = F.trim(query)
     found = F.array_distinct(F.regexp_extract_all(F.lower(q), F.lit(r"[a-z0-9]+"), F.lit(0)))
-    context = F.coalesce(*[F.when(F.arrays_overlap(found, F.array(*[F.lit(w) for w in keys.split()])), F.lit(text)) for keys, text in DOMAIN_CONTEXT], F.lit(GENERIC_CONTEXT))
+    context = F.coalesce(*[F.when(F.arrays_overlap(found, F.array(*[F.lit(w) for w in keys])), F.lit(text)) for keys, text in DOMAIN_CONTEXT], F.lit(GENERIC_CONTEXT))
     short = F.size(F.split(q, r"\s+")) <= SHORT_QUERY_WORDS
     return F.when((q == "") | ~short, q).otherwise(F.concat_ws(" ", q, context))
 
@@ -149,7 +152,7 @@ def slot_type(name: Column) -> Column:
     n = F.lower(F.coalesce(name, F.lit("")))
     out = F.lit("float")
     for parts, kind in reversed(SLOT_TYPES):
-        out = F.when(n.rlike("|".join(parts.split())), F.lit(kind)).otherwise(out)
+        out = F.when(n.rlike("|".join(parts)), F.lit(kind)).otherwise(out)
     return out
 
 

@@ -6,25 +6,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Prefixes of native failure categories and their bucket, first match wins.
-FAILURES: list[tuple[str, str]] = [
-    ("parse", "parsing"),
-    ("syntax", "parsing"),
-    ("static", "static_validation"),
-    ("timeout", "execution"),
-    ("exec", "execution"),
-    ("runtime", "execution"),
-    ("infeasible", "feasibility"),
-    ("objective", "objective_mismatch"),
-    ("mismatch", "objective_mismatch"),
-]
+# Native failure categories and their bucket.
+FAILURES = {
+    "A. SUCCESS_NO_CORRECTION": "none",
+    "B. SUCCESS_AFTER_CORRECTION": "none",
+    "C. MODEL_PARSE_FAILURE": "parse_failure",
+    "D. AMPL_RENDER_FAILURE": "generation_failure",
+    "E. AMPL_PARSE_FAILURE": "parse_failure",
+    "F. SOLVER_INFEASIBLE": "infeasible",
+    "G. SOLVER_UNBOUNDED": "unbounded",
+    "H. SOLVER_RUNTIME_ERROR": "execution_failure",
+    "I. CORRECTION_EXHAUSTED": "execution_failure",
+    "J. DATA_FAILURE": "unsupported_input",
+    "K. ENVIRONMENT_FAILURE": "unavailable_artifact",
+    "L. OTHER_MODEL_FAILURE": "generation_failure",
+    "empty_prompt": "unsupported_input",
+    "generation_timeout": "timeout",
+    "generation_error": "generation_failure",
+    "transformers_backend_unavailable": "unavailable_artifact",
+    "vllm_backend_unavailable": "unavailable_artifact",
+    "checkpoint_unavailable": "unavailable_artifact",
+    "python_syntax_failure": "static_invalid",
+    "static_validation_failure": "static_invalid",
+    "execution_failure": "execution_failure",
+    "execution_timeout": "timeout",
+    "copt_api_failure": "execution_failure",
+    "infeasible_model": "infeasible",
+    "unbounded_model": "unbounded",
+    "output_out_of_expectation": "evaluation_ambiguous",
+    "missing_problem_id": "unsupported_input",
+    "missing_or_empty_problem_text": "unsupported_input",
+    "invalid_json": "unsupported_input",
+    "blank_line": "unsupported_input",
+    "record_not_object": "unsupported_input",
+}
 
 
 def failure_bucket(category: Column) -> Column:
-    out = F.lit("other")
-    for prefix, bucket in reversed(FAILURES):
-        out = F.when(F.lower(category).startswith(prefix), F.lit(bucket)).otherwise(out)
-    return F.when(category.isNull() | (category == ""), F.lit("none")).otherwise(out)
+    """Bucket of a native category by its name, else by the first name it begins with; "none" without one, ambiguous if unknown."""
+    named = F.create_map(*[F.lit(x) for kv in FAILURES.items() for x in kv])
+    begins = F.coalesce(*[F.when(category.startswith(name), F.lit(bucket)) for name, bucket in FAILURES.items()], F.lit("evaluation_ambiguous"))
+    return F.when(category.isNull() | (category == ""), F.lit("none")).otherwise(F.coalesce(F.try_element_at(named, category), begins))
 
 
 def pair(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

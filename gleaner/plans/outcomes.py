@@ -34,16 +34,20 @@ def bottleneck_flags(spark, d):
 _SLOTS = ("TotalBudget", "NumberOfWorkers", "DiscountRate", "RateMachine1", "max_capacity_2", "MinDemand", "CO2Limit", "UnitCostPerItem", "l_extendedprice", "l_discount", "l_quantity", "o_totalprice", "p_retailprice", "NumProductTypes", "fee", "feet", "MaximumShareA", "HTTPServerCount")
 
 
-def _slots(spark):
-    return spark.createDataFrame([(s,) for s in _SLOTS], "slot_name string")
+def _slots(spark, d):
+    """Slot names made from all parts: a name of the list with the part's words in camel case, its size at the end."""
+    p = table(spark, d, "part")
+    pick = F.element_at(F.split(F.lit(" ".join(_SLOTS)), " "), (F.col("p_partkey") % len(_SLOTS) + 1).cast("int"))
+    words = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    return p.select(F.when(F.col("p_partkey") % 3 == 0, F.concat(pick, words)).when(F.col("p_partkey") % 3 == 1, F.concat(words, pick)).otherwise(F.concat(pick, F.lit("_"), F.col("p_size").cast("string"))).alias("slot_name")).distinct()
 
 
 def camel_split_slots(spark, d):
-    return _slots(spark).select("slot_name", F.array_join(T.identifier_words(F.col("slot_name")), " ").alias("words"))
+    return _slots(spark, d).select("slot_name", F.array_join(T.identifier_words(F.col("slot_name")), " ").alias("words"))
 
 
 def slot_types(spark, d):
-    return _slots(spark).select("slot_name", T.slot_type(F.col("slot_name")).alias("slot_type"))
+    return _slots(spark, d).select("slot_name", T.slot_type(F.col("slot_name")).alias("slot_type"))
 
 
 def downstream_aggregate(spark, d):
@@ -198,17 +202,19 @@ QUERIES = {
 }
 
 _DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
-_VALUES = " UNION ALL ".join(f"SELECT '{s}' AS slot_name" for s in _SLOTS)
+_PICK = "[" + ", ".join(f"'{s}'" for s in _SLOTS) + f"][p_partkey % {len(_SLOTS)} + 1]"
+_WORDS = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '')"
+_VALUES = f"SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN {_PICK} || {_WORDS} WHEN 1 THEN {_WORDS} || {_PICK} ELSE {_PICK} || '_' || p_size END AS slot_name FROM part"
 _PQ = """pq AS (SELECT l_orderkey, any_value(o_orderpriority) AS variant, any_value((o_orderstatus <> 'P')::INT) AS schema_hit,
  count(*) FILTER (WHERE l_discount > 0.02) / count(*) AS param_coverage, count(*) FILTER (WHERE l_tax > 0.01) / count(*) AS type_match
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey)"""
 _SPLIT = f"""h AS (SELECT doc_id, source, md5(text) AS content, {_DRAW.format("'42-' || doc_id")} AS h FROM documents WHERE doc_id IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM h),
 s AS (SELECT doc_id, content, CASE WHEN r <= floor(n * 0.7) THEN 'train' WHEN r <= floor(n * 0.7) + floor(n * 0.15) THEN 'dev' ELSE 'test' END AS split FROM r)"""
-_TYPES = "CASE " + " ".join(f"WHEN regexp_matches(lower(slot_name), '{'|'.join(p.split())}') THEN '{k}'" for p, k in T.SLOT_TYPES) + " ELSE 'float' END"
+_TYPES = "CASE " + " ".join(f"WHEN regexp_matches(lower(slot_name), '{'|'.join(p)}') THEN '{k}'" for p, k in T.SLOT_TYPES) + " ELSE 'float' END"
 _PAIRS = f"""slots AS (SELECT o_orderkey, slot_name, {_TYPES} AS st FROM orders CROSS JOIN (SELECT unnest(['UnitPrice', 'TotalQuantity', 'DiscountRate']) AS slot_name)),
 ment AS (SELECT l_orderkey AS o_orderkey, m || l_linenumber AS mention_id, kind, context, gold FROM lineitem CROSS JOIN (VALUES ('currency', 'unit price each', 'p', 'UnitPrice'),
- ('int', 'total quantity of items', 'q', 'TotalQuantity'), ('percent', 'discount rate per order', 'd', 'DiscountRate')) k(kind, context, m, gold) WHERE l_linenumber <= 2),
+ ('int', 'total quantity of items', 'q', 'TotalQuantity'), ('percent', 'discount rate per order', 'd', 'DiscountRate')) k(kind, context, m, gold)),
 f AS (SELECT *, CASE WHEN st = kind THEN 1 WHEN st = 'currency' AND kind IN ('int', 'float') THEN 0 WHEN st = 'percent' THEN -1 WHEN st IN ('int', 'float') AND kind IN ('int', 'float') THEN 1 ELSE 0 END AS feat_type_match,
  regexp_matches(lower(context) || ' ' || lower(slot_name), '\\b(total|budget|available|capacity|limit)\\b')::INT AS feat_total_like,
  regexp_matches(lower(context) || ' ' || lower(slot_name), '\\b(per|each|per unit|per item)\\b')::INT AS feat_per_unit_like,
@@ -219,9 +225,9 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey, sl
 
 def _boot(value: str, name: str) -> str:
     return f"""vals AS (SELECT {value}::DOUBLE AS v, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM labels WHERE {value} IS NOT NULL), sz AS (SELECT count(*) AS n FROM vals),
-draws AS (SELECT b.range AS rep, {_DRAW.format("'42-' || b.range || '-' || i.range")} % (SELECT n FROM sz) AS pos FROM range(100) b, LATERAL (SELECT unnest(range((SELECT n FROM sz))) AS range) i),
+draws AS (SELECT b.range AS rep, {_DRAW.format("'42-' || b.range || '-' || i.range")} % (SELECT n FROM sz) AS pos FROM range({stats.REPS}) b, LATERAL (SELECT unnest(range((SELECT n FROM sz))) AS range) i),
 means AS (SELECT rep, avg(v) AS mean FROM draws JOIN vals USING (pos) GROUP BY rep), o AS (SELECT *, row_number() OVER (ORDER BY mean, rep) - 1 AS r FROM means),
-ci AS (SELECT (SELECT n FROM sz) AS n, (SELECT avg(v) FROM vals) AS {name}, max(mean) FILTER (WHERE r = 2) AS lo, max(mean) FILTER (WHERE r = 96) AS hi FROM o)"""
+ci AS (SELECT (SELECT n FROM sz) AS n, (SELECT avg(v) FROM vals) AS {name}, max(mean) FILTER (WHERE r = {int(0.025 * stats.REPS)}) AS lo, max(mean) FILTER (WHERE r = {int(0.975 * stats.REPS) - 1}) AS hi FROM o)"""
 
 
 ORACLES = {
@@ -244,7 +250,7 @@ SELECT s, n, round(greatest(0.0, m - h), 6) AS lo, round(least(1.0, m + h), 6) A
     "mcnemar_by_source": """WITH t AS (SELECT source, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS only_b FROM labels JOIN documents USING (doc_id) GROUP BY source)
 SELECT source, only_a, only_b, round(CASE WHEN only_a + only_b > 0 THEN least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))) END, 6) AS p FROM t""",
     "bootstrap_ci": f"WITH {_boot('quality', 'mean')} SELECT n, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ci",
-    "paired_bootstrap": f"WITH {_boot('(quality - toxic)', 'diff')} SELECT n, round(diff, 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi, round(least(1.0, 2 * (SELECT count(*) FILTER (WHERE CASE WHEN diff > 0 THEN mean <= 0 WHEN diff < 0 THEN mean >= 0 ELSE mean <> 0 END) / 100 FROM means)), 6) AS p FROM ci",
+    "paired_bootstrap": f"WITH {_boot('(quality - toxic)', 'diff')} SELECT n, round(diff, 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi, round(least(1.0, 2 * (SELECT count(*) FILTER (WHERE CASE WHEN diff > 0 THEN mean <= 0 WHEN diff < 0 THEN mean >= 0 ELSE mean <> 0 END) / {stats.REPS} FROM means)), 6) AS p FROM ci",
     "stratified_split": f"WITH {_SPLIT} SELECT doc_id, split FROM s",
     "split_leakage": f"WITH {_SPLIT} SELECT content, count(DISTINCT split) AS n_splits FROM s GROUP BY content HAVING count(DISTINCT split) > 1",
     "seeded_sample": f"SELECT doc_id, lang FROM documents ORDER BY {_DRAW.format(chr(39) + '42-' + chr(39) + ' || doc_id')}, doc_id LIMIT 25",

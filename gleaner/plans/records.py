@@ -67,7 +67,10 @@ def ambiguous_runs(spark, d):
 
 
 def failure_taxonomy(spark, d):
-    e = table(spark, d, "events").select(F.concat_ws("_", F.element_at(F.array(F.lit("parse"), F.lit("runtime"), F.lit("objective"), F.lit("")), (F.col("user_id") % 4 + 1).cast("int")), "event_type").alias("c"))
+    """Events as outcomes: their user picks a native category, every fifth one with a tail, every seventh one no known one."""
+    names = F.split(F.lit("|".join(compare.FAILURES)), r"\|")
+    name = F.element_at(names, (F.col("user_id") % len(compare.FAILURES) + 1).cast("int"))
+    e = table(spark, d, "events").select(F.when(F.col("event_id") % 7 == 0, F.col("event_type")).when(F.col("event_id") % 5 == 0, F.concat(name, F.lit(": more"))).otherwise(name).alias("c"))
     return e.select(compare.failure_bucket(F.col("c")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
@@ -139,7 +142,7 @@ def grounding_modes(spark, d):
 
 
 def word_numbers(spark, d):
-    """Mentions of texts that spell numbers out, made from parts' sizes."""
+    """Mentions of texts that spell numbers out, made from parts' sizes; "percent" is near the price too, so both are shares."""
     p = table(spark, d, "part")
     words = F.element_at(F.array(*[F.lit(w) for w in X.ONES]), (F.col("p_size") % 20 + 1).cast("int"))
     q = p.select("p_partkey", F.concat(F.lit("at least "), words, F.lit(" hundred units, twice the "), F.col("p_size").cast("string"), F.lit(" percent share and $"), F.col("p_retailprice").cast("string"), F.lit(" cost")).alias("query"))
@@ -198,32 +201,37 @@ def _link_sql() -> str:
         parts.append(f"""SELECT '{mode}' AS mode, slot_name, mention_id, raw_type, CASE WHEN ex THEN NULL ELSE raw + CASE WHEN raw <= 0 THEN {w["weak"]} ELSE 0 END END AS score FROM (SELECT *,
  CASE WHEN full_fit THEN {w["type"]} WHEN loose THEN {w["loose"]} ELSE 0 END + {w["context"]} * shared + {w["cue"]} * cues + {w["operator"]} * ops + CASE WHEN kind IN ('percent', 'currency') THEN {w["unit"]} ELSE 0 END
  + CASE WHEN cnt AND kind = 'int' AND value BETWEEN 1 AND 10 THEN {w["small_count"]} WHEN cnt AND kind = 'int' AND value > 50 THEN {w["large_count"]} ELSE 0 END AS raw FROM f)""")
-    return """WITH m AS (SELECT l_orderkey AS query_id, unnest(['p', 'q', 'd']) AS mention_id, unnest([l_extendedprice, l_quantity, l_discount]) AS value, unnest(['currency', 'int', 'percent']) AS kind FROM lineitem WHERE l_linenumber <= 2),
+    return """WITH m AS (SELECT l_orderkey AS query_id, unnest(['p', 'q', 'd']) AS mention_id, unnest([l_extendedprice, l_quantity, l_discount]) AS value, unnest(['currency', 'int', 'percent']) AS kind FROM lineitem),
 f AS (SELECT slot_name, mention_id, value, kind, st AS raw_type, cnt, (st = kind OR (st = 'currency' AND kind = 'int') OR (st = 'float' AND kind = 'int')) AS full_fit, ((st = 'int' AND kind = 'currency') OR (st = 'float' AND kind = 'currency')) AS loose,
  ((st = 'percent') <> (kind = 'percent')) AS ex, CASE slot_name || mention_id WHEN 'MaxUnitPricep' THEN 2 WHEN 'NumberOfItemsq' THEN 2 WHEN 'DiscountRated' THEN 2 ELSE 0 END AS shared, (slot_name || mention_id = 'DiscountRated')::INT AS cues,
  (slot_name || mention_id IN ('MaxUnitPricep', 'MinDemandq'))::INT AS ops FROM m CROSS JOIN (VALUES ('MaxUnitPrice', 'currency', false), ('NumberOfItems', 'int', true), ('DiscountRate', 'percent', false), ('MinDemand', 'float', false)) s(slot_name, st, cnt)),
 u AS (""" + " UNION ALL ".join(parts) + """) SELECT mode, slot_name, mention_id, count(*) AS n, count(*) - count(score) AS n_excluded, round(avg(score), 6) AS score FROM u GROUP BY ALL"""
 
 
-_SUM = "SELECT o_orderstatus AS variant, o_orderpriority AS baseline, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders WHERE o_orderkey >= 0 AND o_orderkey < {} GROUP BY ALL"
 _BOTH = "s AS (SELECT s_suppkey AS id, s_name AS name FROM supplier), c AS (SELECT c_custkey AS id, c_name AS name FROM customer)"
-_AUDIT = "e AS (SELECT p_partkey AS id, p_retailprice > 0 AND p_size > 5 AS ok FROM part), b AS (SELECT count(*) AS n FROM e WHERE id > 0), x AS (SELECT count(*) AS n, count(*) FILTER (WHERE NOT ok) AS bad FROM e WHERE id % 10 <> 0)"
+_AUDIT = "e AS (SELECT p_retailprice > 0 AND p_size > 5 AS ok, p_name IS NOT NULL AND p_retailprice <> 0 AND p_size <> 0 AS filled FROM part), b AS (SELECT count(*) AS n FROM e), x AS (SELECT count(*) AS n, count(*) FILTER (WHERE NOT coalesce(ok, false)) AS bad FROM e WHERE filled)"
+_WORD = "[" + ", ".join(f"'{w}'" for w in X.ONES) + "][p_size % 20 + 1]"
 ORACLES = {
     "merge_catalog": f"WITH {_BOTH} SELECT * FROM s UNION ALL SELECT * FROM c WHERE id NOT IN (SELECT id FROM s)",
     "extended_catalog": f"WITH {_BOTH} SELECT * FROM c UNION ALL SELECT * FROM s WHERE id NOT IN (SELECT id FROM c)",
-    "summary_upsert": f"WITH o AS ({_SUM.format(5000)}), n AS ({_SUM.format(400)}) SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.variant = o.variant AND n.baseline = o.baseline)",
-    "resume_remaining": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey < 1000)",
+    "summary_upsert": "WITH o AS (SELECT o_orderstatus AS variant, o_orderpriority AS baseline, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY ALL), n AS (SELECT l_linestatus AS variant, o_orderpriority AS baseline, count(*) AS n, round(avg(l_extendedprice), 4) AS mean FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.variant = o.variant AND n.baseline = o.baseline)",
+    "resume_remaining": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "catalog_audit": f"WITH {_AUDIT} SELECT 'error' AS severity, 'missing_base' AS code, 1::BIGINT AS n FROM b WHERE n = 0 UNION ALL SELECT 'warning', 'stale_extended', b.n - x.n FROM b, x WHERE x.n < b.n UNION ALL SELECT 'info', 'incomplete', bad FROM x WHERE bad > 0",
-    "pair_systems": "WITH a AS (SELECT doc_id AS k, quality AS v FROM labels WHERE doc_id % 3 <> 0), b AS (SELECT doc_id AS k, toxic AS v FROM labels WHERE doc_id % 5 <> 0) SELECT CASE WHEN a.k IS NULL THEN 'only_b' WHEN b.k IS NULL THEN 'only_a' ELSE 'both' END AS side, count(*) AS n, sum(a.v)::BIGINT AS sum_a, sum(b.v)::BIGINT AS sum_b FROM a FULL JOIN b ON a.k = b.k GROUP BY 1",
+    "pair_systems": "WITH a AS (SELECT doc_id AS k, (lang = 'en')::INT AS v FROM documents), b AS (SELECT doc_id AS k, quality AS v FROM labels) SELECT CASE WHEN a.k IS NULL THEN 'only_b' WHEN b.k IS NULL THEN 'only_a' ELSE 'both' END AS side, count(*) AS n, sum(a.v)::BIGINT AS sum_a, sum(b.v)::BIGINT AS sum_b FROM a FULL JOIN b ON a.k = b.k GROUP BY 1",
     "ambiguous_runs": "SELECT l_orderkey, count(DISTINCT (l_returnflag, l_linestatus)) AS n_runs FROM lineitem GROUP BY 1 HAVING n_runs > 1",
-    "failure_taxonomy": "SELECT CASE user_id % 4 WHEN 0 THEN 'parsing' WHEN 1 THEN 'execution' WHEN 2 THEN 'objective_mismatch' ELSE 'other' END AS bucket, count(*) AS n FROM events GROUP BY 1",
+    "failure_taxonomy": "WITH e AS (SELECT CASE WHEN event_id % 7 = 0 AND event_type IS NOT NULL THEN 'evaluation_ambiguous' WHEN event_id % 7 = 0 THEN 'none' ELSE [" + ", ".join(f"'{b}'" for b in compare.FAILURES.values()) + f"][user_id % {len(compare.FAILURES)} + 1] END AS bucket FROM events) SELECT bucket, count(*) AS n FROM e GROUP BY 1",
     "margin_over_others": "SELECT l_orderkey, l_linenumber, round(max(l_extendedprice) OVER (PARTITION BY l_orderkey) - l_extendedprice, 4) AS conflict FROM lineitem",
     "value_join": "WITH g AS (SELECT l_orderkey, min(l_quantity) AS gold FROM lineitem GROUP BY 1) SELECT g.l_orderkey, gold, arg_min(l_quantity, l_linenumber) AS value, min(l_linenumber) AS pos FROM g LEFT JOIN lineitem l ON l.l_orderkey = g.l_orderkey AND abs(l_quantity - gold) < 1e-9 GROUP BY ALL",
     "top_queries": "SELECT lower(trim(text)) AS query, count(*) AS n FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1 ORDER BY n DESC, query LIMIT 10",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "mention_relations": "SELECT a.l_linenumber AS i, b.l_linenumber AS j, count(*) AS n, count(*) FILTER (WHERE a.l_quantity = b.l_quantity) AS same_quantity, count(*) FILTER (WHERE a.l_extendedprice < b.l_extendedprice) AS rising FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY ALL",
     "previous_mention": "WITH e AS (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) SELECT prev, event_type, count(*) AS n FROM e GROUP BY ALL",
-    "untyped_greedy": """WITH m AS (SELECT l_orderkey AS query_id, l_linenumber AS l, l_partkey AS pk, l_extendedprice AS ep, unnest([l_extendedprice, l_quantity, l_discount]) AS value, unnest([1, 2, 3]) AS k FROM lineitem WHERE l_linenumber <= 2),
+    "untyped_greedy": """WITH m AS (SELECT l_orderkey AS query_id, l_linenumber AS l, l_partkey AS pk, l_extendedprice AS ep, unnest([l_extendedprice, l_quantity, l_discount]) AS value, unnest([1, 2, 3]) AS k FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY l, pk, ep, k) AS r FROM m) SELECT query_id, ['UnitPrice', 'NumberOfItems', 'DiscountRate', 'TotalWeight'][r] AS slot_name, value FROM r WHERE r <= 4""",
+    "word_numbers": f"""WITH p AS (SELECT p_partkey, p_size AS s, p_retailprice AS c, {_WORD} AS w, p_size % 20 AS v FROM part)
+SELECT p_partkey, 0 AS pos, w || ' hundred' AS raw, greatest(v, 1) * 100.0::DOUBLE AS value, 'int' AS kind FROM p UNION ALL
+SELECT p_partkey, 1, s::VARCHAR, CASE WHEN s > 1 THEN s / 100.0::DOUBLE ELSE s END, CASE WHEN s > 0 THEN 'percent' ELSE 'int' END FROM p UNION ALL
+SELECT p_partkey, 2, '$' || c, c / 100, 'percent' FROM p UNION ALL SELECT p_partkey, 3, 'RATIO_WORD:twice', 2.0, 'percent' FROM p""",
+    "mps_parse": "SELECT l_orderkey::VARCHAR AS path, 'm' AS name, count(DISTINCT l_linenumber)::INT AS n_variables, 1 AS n_constraints, 0 AS n_integer, max((l_linenumber = 1)::INT) AS n_binary, 1 AS n_less, 0 AS n_greater, 0 AS n_equal FROM lineitem GROUP BY l_orderkey",
     "link_scores": _link_sql(),
 }

@@ -171,7 +171,7 @@ nr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 
 def _expansion_sql() -> str:
-    cases = " ".join("WHEN list_has_any(t, [" + ", ".join(f"'{w}'" for w in keys.split()) + f"]) THEN '{text}'" for keys, text in T.DOMAIN_CONTEXT)
+    cases = " ".join("WHEN list_has_any(t, [" + ", ".join(f"'{w}'" for w in keys) + f"]) THEN '{text}'" for keys, text in T.DOMAIN_CONTEXT)
     return rf"""WITH x AS (SELECT p_partkey, trim(p_name) AS q, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS t FROM part)
 SELECT p_partkey, CASE WHEN q = '' OR len(string_split_regex(q, '\s+')) > 5 THEN q ELSE q || ' ' || CASE {cases} ELSE '{T.GENERIC_CONTEXT}' END END AS expanded FROM x"""
 

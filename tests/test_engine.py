@@ -37,15 +37,22 @@ def test_text_scalars(spark):
     assert one(spark, T.relative_error(F.lit(0.5), F.lit(0.1))) == pytest.approx(0.4)
 
 
-def test_mentions():
-    get = lambda q: [(m["value"], m["kind"]) for m in X.extract(q)]
+def test_mentions(spark):
+    get = lambda q: [(m["value"], m["kind"]) for m in one(spark, X.mentions_of(F.lit(q).cast("string"), masked=True))]
     assert get("a budget of $1,500 and 20% margin") == [(1500.0, "currency"), (0.2, "percent")]
     assert get("two hundred fifty items") == [(250.0, "int")]
     assert get("twenty-five percent of them") == [(0.25, "percent")]
     assert get("three thousand five hundred units") == [(3500.0, "int")]
-    assert get("one half of the <num> units, twice as many") == [(1.0, "int"), (0.5, "percent"), (None, "unknown"), (2.0, "float")]
+    assert get("one half of the <num> units, twice as many") == [(1.0, "int"), (0.5, "percent"), (None, "unknown"), (2.0, "percent")]
+    assert get("CO2 of x3y and 5000. or (7)") == [(5000.0, "int")]  # a token is a number as a whole or not at all
+    assert get("two million three hundred thousand and five, thousand") == [(2_300_000.0, "int"), (5000.0, "int")]
+    assert get("zero hundred or hundred") == [(100.0, "int"), (100.0, "int")] and get("nineteen ninety-nine") == [(118.0, "int")]
+    assert get("0.3 rate, 5 percent, five per cent, double-sided") == [(0.3, "percent"), (0.05, "percent"), (0.05, "percent")]
+    assert one(spark, X.mentions_of(F.lit("<num> units")))  == []
     assert get(None) == get("") == []
-    assert X.enumeration_counts("apples, bananas, and grapes or phones and laptops") == [(3, "apples, bananas, and grapes"), (2, "phones and laptops")]
+    lists = lambda q: [tuple(x) for x in one(spark, X.enumeration_counts(F.lit(q)))]
+    assert lists("apples, bananas, and grapes or phones and laptops") == [(3, "apples, bananas, and grapes"), (2, "phones and laptops")]
+    assert lists("10 apples, 20 pears, and 80 plums; labor hours, and total budget") == [(3, "10 apples, 20 pears, and 80 plums")]
 
 
 def test_retrieval_contract(spark):
