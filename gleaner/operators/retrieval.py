@@ -1,8 +1,10 @@
 """Retrieval: an inverted index as a postings table, and rankers as joins on terms.
 
 Queries never meet documents in a cross product: a query's terms join the postings, so
-only pairs that share a term exist.  Terms that no query has are dropped from the join's
-build side by a semi join; document lengths and norms still use all terms.
+only pairs that share a term exist.  Terms that no query has are dropped by a semi join
+before they are counted; document frequencies come from each document's distinct terms, so
+tasks add them up before the shuffle, and lengths are those of the token arrays.  Norms need
+all terms of a document.
 """
 
 from __future__ import annotations
@@ -17,6 +19,12 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
 
 
+def spread(docs: DataFrame, by: str = "doc_id") -> DataFrame:
+    """``docs`` over all cores where its files give fewer partitions than there are cores: a small table in one row group. Larger ones are not shuffled."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores, by) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def postings(docs: DataFrame, tokens: Column, doc: str = "doc_id") -> DataFrame:
     """doc_id, term, tf."""
     return docs.select(F.col(doc).alias("doc_id"), F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
@@ -27,6 +35,17 @@ def query_terms(queries: DataFrame, tokens: Column, query: str = "query_id") ->
     return postings(queries, tokens, query).select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
 
 
+def frequencies(docs: DataFrame, tokens: Column) -> DataFrame:
+    """term, df: documents that have the term."""
+    return docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def asked_postings(docs: DataFrame, tokens: Column, asked: DataFrame) -> DataFrame:
+    """doc_id, len, term, tf of the terms that queries have; ``asked``: query_id, term, qtf."""
+    words = docs.select("doc_id", tokens.alias("w")).select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    return words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+
+
 def top_k(scored: DataFrame, k: int, by: str = "query_id", doc: str = "doc_id", digits: int | None = 9) -> DataFrame:
     """The best ``k`` per query with their rank; ties by document, so plans never disagree."""
     if k <= 0:
@@ -42,15 +61,13 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k: int = 10, k1: float = K1, b:
     idf is ln((N - df + 0.5) / (df + 0.5)); a negative one becomes epsilon times the mean idf of all terms.
     """
     tokens = T.bm25_tokens(F.col("text"))
-    post = postings(docs, tokens)
-    size = docs.select("doc_id", F.size(tokens).alias("len"))
-    all_docs = size.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(all_docs))  # one row
+    asked = query_terms(queries, T.bm25_tokens(F.col("query")))
+    all_docs = docs.select(F.size(tokens).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    df = frequencies(docs, tokens).crossJoin(F.broadcast(all_docs))  # one row
     idf = df.withColumn("raw", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = idf.agg(F.avg("raw").alias("mean_idf"))
     idf = idf.crossJoin(F.broadcast(mean)).select("term", "avg_len", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))  # one row
-    asked = query_terms(queries, T.bm25_tokens(F.col("query")))
-    hit = asked.join(idf, "term").join(post, "term").join(size, "doc_id")
+    hit = asked_postings(docs, tokens, asked).join(asked.join(idf, "term"), "term")
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return top_k(hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")), k)

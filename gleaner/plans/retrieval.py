@@ -14,7 +14,7 @@ from ..session import table
 def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "text")
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return docs, queries
+    return R.spread(docs), queries
 
 
 def relevant(docs: DataFrame, queries: DataFrame, width: int = 6) -> DataFrame:
