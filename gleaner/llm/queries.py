@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_warc, op2_toxicity, op3_chat, op4_bpe, op5_jaccard, op6_secrets, op7_decontaminate, op8_language, op9_quality, op10_html
+from . import op1_warc, op2_toxicity, op3_chat, op4_bpe, op5_jaccard, op6_secrets, op7_decontaminate, op8_language, op9_quality, op10_html, op13_audit
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_language_id": op8_language.op8_language_id,
         "op9_quality_rules": op9_quality.op9_quality_rules,
         "op10_html_extraction": op10_html.op10_html_extraction,
+        "op13_filter_audit": op13_audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_round_trip": op1_warc.ORACLE, "op3_chat_formatting": op3_chat.ORACLE, "op9_quality_rules": op9_quality.ORACLE}
+    return {"op1_warc_round_trip": op1_warc.ORACLE, "op3_chat_formatting": op3_chat.ORACLE, "op9_quality_rules": op9_quality.ORACLE, "op13_filter_audit": op13_audit.ORACLE}
