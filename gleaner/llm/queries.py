@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_warc, op2_toxicity, op3_chat, op4_bpe, op5_jaccard, op6_secrets, op7_decontaminate, op8_language, op9_quality, op10_html, op12_caps, op13_audit
+from . import op1_warc, op2_toxicity, op3_chat, op4_bpe, op5_jaccard, op6_secrets, op7_decontaminate, op8_language, op9_quality, op10_html, op11_align, op12_caps, op13_audit
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_language_id": op8_language.op8_language_id,
         "op9_quality_rules": op9_quality.op9_quality_rules,
         "op10_html_extraction": op10_html.op10_html_extraction,
+        "op11_token_alignment": op11_align.op11_token_alignment,
         "op12_embedding_near_dedup": op12_caps.op12_embedding_near_dedup,
         "op13_filter_audit": op13_audit.op13_filter_audit,
     }
