@@ -1,8 +1,8 @@
 """Registered queries by family, each module with its QUERIES and their DuckDB ORACLES."""
 
-from . import outcomes, records, retrieval
+from . import outcomes, records, retrieval, roles
 
-FAMILIES = (retrieval, outcomes, records)
+FAMILIES = (retrieval, outcomes, records, roles)
 
 
 def queries() -> dict:
