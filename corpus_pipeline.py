@@ -22,21 +22,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the join: that whose doc_id is the component.
+    """One document of each component of the join: that of the least doc_id.
 
     Documents link from a Jaccard similarity of 4/5 over five-word shingles on; op5's own
-    query has other values.  Rows with a null doc_id link with nothing and stay.  Of rows that
-    repeat a doc_id with the same text, one stays, the least of their other columns; where their
-    texts differ, each text stays.
+    query has other values.  Rows with a null doc_id link with nothing and stay.  A doc_id
+    that repeats stands for as many documents as it has texts, each judged by its own text and
+    behind all doc_ids that do not repeat; of its rows with the same text one stays.
     """
-    found = op5_jaccard.links(docs.select("doc_id", "text"), **NEAR)
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
     names = [f"`{c}`" for c in docs.columns]
-    named = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").select(*names)
-    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    rest = F.struct(*[F.col(c) for c in names if c not in ("`doc_id`", "`text`")])
-    once = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("rest")).select("doc_id", "text", "rest.*").select(*names)
-    return named.join(repeated, "doc_id", "left_anti").select(*names).unionByName(once).unionByName(docs.filter("doc_id is null"))
+    real = docs.filter("doc_id is not null")
+    repeated = real.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    once, out = real, docs.filter("doc_id is null")
+    texts = real.select("doc_id", "text")
+    if not repeated.isEmpty():
+        last = real.agg(F.max("doc_id")).first()[0]
+        several = texts.join(repeated, "doc_id", "left_semi").distinct().orderBy("doc_id", "text")
+        several = store.table(several.withColumn("id", F.monotonically_increasing_id() + F.lit(last + 1)), "pipeline-repeated")
+        once = real.join(repeated, "doc_id", "left_anti")
+        texts = once.select("doc_id", "text").unionByName(several.select(F.col("id").alias("doc_id"), "text"))
+    found = op5_jaccard.links(texts, **NEAR)
+    first = store.table(found.filter("doc_id = component_id").select("doc_id"), "pipeline-first")
+    out = out.unionByName(once.join(first, "doc_id", "left_semi").select(*names))
+    if once is not real:
+        kept = several.join(first, several["id"] == first["doc_id"], "left_semi").select("doc_id", "text")
+        same = real.join(repeated, "doc_id", "left_semi").join(kept.select(F.col("doc_id").alias("__d"), F.col("text").alias("__t")), (F.col("doc_id") == F.col("__d")) & F.col("text").eqNullSafe(F.col("__t")), "left_semi")
+        rest = F.struct(*[F.col(c) for c in names])
+        one = same.groupBy(F.col("doc_id").alias("__d"), F.col("text").alias("__t")).agg(F.min_by(rest, F.to_json(rest)).alias("__r"))
+        out = out.unionByName(one.select(*[F.col("__r")[c].alias(c) for c in docs.columns]))
+    return out
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
