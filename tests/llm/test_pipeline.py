@@ -55,6 +55,18 @@ def test_near_duplicates_take_five_words_and_four_fifths(spark):
     assert 11 in {c for _, _, c in op5_jaccard.brute_force(rows)}
 
 
+def test_every_text_of_a_repeated_doc_id_is_judged_alone(spark):
+    t = [_words(2000 + 100 * i, 50) for i in range(5)]
+    rows = [(1, t[0]), (5, t[0]), (5, t[1]), (9, t[2]), (9, t[2]), (7, t[3]), (8, t[3]), (8, t[4]), (8, None), (8, None), (None, t[0]), (None, t[0])]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], DOCS)
+    keep = sorted([(1, t[0]), (5, t[1]), (9, t[2]), (7, t[3]), (8, t[4]), (8, None), (None, t[0]), (None, t[0])], key=repr)
+    assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr) == keep
+    extra = docs.selectExpr("*", "map('a', doc_id) as `tags`", "named_struct('x', array(text)) as `n`", "n_chars as `component_id`")
+    got = corpus_pipeline.near_duplicates(spark, extra, "")
+    assert got.columns == extra.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == keep
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").collect() == []
+
+
 def test_near_links_at_four_fifths_equal_all_pairs(spark):
     rng = random.Random(11)
     rows = []
@@ -71,6 +83,6 @@ def test_near_links_at_four_fifths_equal_all_pairs(spark):
 
 def test_registry():
     q = queries.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert set(queries.oracle_sql()) <= set(q)
