@@ -44,7 +44,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block, and in what is cut at once.
 BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
 #: Stretches and characters of stretches that a worker keeps from one block to the next.
-KEEP, KEEP_CHARS = 300_000, 8 << 20
+KEEP, KEEP_CHARS = 600_000, 8 << 20
 #: Characters that are encoded in one call.
 CALL_CHARS = 1 << 14
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -103,7 +103,7 @@ class Stretches:
         self.at: dict[str, int] = {}
         self.chars = 0
         self.groups: list[str | None] = []  # None: its bytes differ
-        self.sizes: list[tuple] = []  # n_a, n_b, n_groups, n_links, n_products, first link
+        self.sizes: list[np.ndarray] = []  # n_a, n_b, n_groups, n_links, n_products, first link
         self.links: list[np.ndarray] = []
         self.n_links = 0
 
@@ -129,7 +129,7 @@ class Stretches:
         self.at[s] = len(self.groups)
         self.chars += len(s)
         self.groups.append(groups)
-        self.sizes.append(sizes)
+        self.sizes.append(np.array([sizes], np.int64))
 
     def _learn(self, call: list[str]) -> bool:
         """Encode stretches with single spaces between them; False if the bytes of any differ."""
@@ -148,16 +148,18 @@ class Stretches:
         an, bn = [self.t.a_name[i] for i in a.tolist()], [self.t.b_name[i] for i in b.tolist()]
         names, i, k = [], 0, 0
         for j, m in zip(ga.tolist(), gb.tolist(), strict=True):
-            names.append(f"{','.join(an[i:j])}|{','.join(bn[k:m])}")
+            names.append(f"{an[i]}|{bn[k]}" if j == i + 1 and m == k + 1 else f"{','.join(an[i:j])}|{','.join(bn[k:m])}")
             i, k = j, m
         products = np.concatenate(([0], np.cumsum(np.diff(ga, prepend=0) * np.diff(gb, prepend=0))))
         g = np.concatenate(([0], last + 1))
         a_at, b_at = np.concatenate(([0], ga))[g], np.concatenate(([0], gb))[g]
         l_at = np.concatenate(([0], np.searchsorted(ends, cuts, "right")))
-        rows = np.stack([np.diff(a_at), np.diff(b_at), np.diff(g), np.diff(l_at), np.diff(products[g]), l_at[:-1] + self.n_links], axis=1).tolist()
+        rows = np.stack([np.diff(a_at), np.diff(b_at), np.diff(g), np.diff(l_at), np.diff(products[g]), l_at[:-1] + self.n_links], axis=1)
         first = g.tolist()
-        for n, (s, row) in enumerate(zip(call, rows, strict=True)):
-            self._put(s, ";".join(names[first[n] : first[n + 1]]), tuple(row))
+        self.at.update(zip(call, range(len(self.groups), len(self.groups) + len(call)), strict=True))
+        self.chars += sum(map(len, call))
+        self.groups += [";".join(names[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
+        self.sizes.append(rows)
         self.links.append(links)
         self.n_links += len(links)
         return True
@@ -165,7 +167,8 @@ class Stretches:
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """(sizes, links) as arrays."""
         self.links = [np.concatenate(self.links)] if self.links else [np.empty(0, np.int64)]
-        return np.array(self.sizes, np.int64).reshape(-1, 6), self.links[0]
+        self.sizes = [np.concatenate(self.sizes)] if self.sizes else [np.empty((0, 6), np.int64)]
+        return self.sizes[0], self.links[0]
 
 
 def expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
