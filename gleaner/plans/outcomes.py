@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import metrics as M
+from ..operators import bootstrap as B
 from ..operators import sampling as S
 from ..operators import stats
 from ..session import table
@@ -105,6 +106,14 @@ def paired_bootstrap(spark, d):
     return r.select("n", *[F.round(c, 6).alias(c) for c in ("diff", "lo", "hi", "p")])
 
 
+def ratio_interval(spark, d):
+    """Share of toxic among flagged documents by language, with its interval over 10,000 replicates."""
+    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    rows = j.select("lang", F.col("doc_id").alias("key"), F.col("toxic").alias("num"), (F.col("toxic") + F.col("quality")).alias("den"))
+    r = B.ratio_interval(rows, "num", "den", by=["lang"])
+    return r.select("lang", "n", *[F.round(c, 9).alias(c) for c in ("ratio", "lo", "hi")])
+
+
 def stratified_split(spark, d):
     s = S.stratified_split(table(spark, d, "documents").select("doc_id", "source"), "doc_id", "source")
     return s.select("doc_id", "split")
@@ -196,7 +205,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         number_tokens, number_variants, bottleneck_flags, camel_split_slots, slot_types, downstream_aggregate, threshold_grid, dist_stats, wilson_ci, transition_table, mcnemar_by_source,
-        bootstrap_ci, paired_bootstrap, stratified_split, split_leakage, seeded_sample, diverse_selection, synthetic_queries, mention_slot_features, rule_argmax, ranker_eval, pair_quality,
+        bootstrap_ci, paired_bootstrap, ratio_interval, stratified_split, split_leakage, seeded_sample, diverse_selection, synthetic_queries, mention_slot_features, rule_argmax, ranker_eval, pair_quality,
         feature_separation, majority_vote, pass_at_k, evaluable_rates,
     )
 }
@@ -249,6 +258,11 @@ SELECT s, n, round(greatest(0.0, m - h), 6) AS lo, round(least(1.0, m + h), 6) A
     "transition_table": 'SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS "both", count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS only_b, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS neither FROM labels',
     "mcnemar_by_source": """WITH t AS (SELECT source, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS only_b FROM labels JOIN documents USING (doc_id) GROUP BY source)
 SELECT source, only_a, only_b, round(CASE WHEN only_a + only_b > 0 THEN least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))) END, 6) AS p FROM t""",
+    "ratio_interval": f"""WITH j AS (SELECT lang, doc_id AS key, toxic AS num, toxic + quality AS den FROM labels JOIN documents USING (doc_id) WHERE toxic IS NOT NULL AND quality IS NOT NULL),
+rows AS (SELECT *, unnest(range({B.REPS})) AS rep FROM j), {B.weight_sql("key", "rep", 42)},
+m AS (SELECT lang, rep, CASE WHEN sum(w * den) > 0 THEN sum(w * num) / sum(w * den) ELSE 0 END AS x FROM weighted GROUP BY ALL),
+i AS (SELECT lang, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM m GROUP BY 1), t AS (SELECT lang, count(*) AS n, CASE WHEN sum(den) > 0 THEN sum(num) / sum(den) ELSE 0 END AS ratio FROM j GROUP BY 1)
+SELECT t.lang, n, round(ratio, 9) AS ratio, round(lo, 9) AS lo, round(hi, 9) AS hi FROM t JOIN i ON t.lang IS NOT DISTINCT FROM i.lang""",
     "bootstrap_ci": f"WITH {_boot('quality', 'mean')} SELECT n, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ci",
     "paired_bootstrap": f"WITH {_boot('(quality - toxic)', 'diff')} SELECT n, round(diff, 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi, round(least(1.0, 2 * (SELECT count(*) FILTER (WHERE CASE WHEN diff > 0 THEN mean <= 0 WHEN diff < 0 THEN mean >= 0 ELSE mean <> 0 END) / {stats.REPS} FROM means)), 6) AS p FROM ci",
     "stratified_split": f"WITH {_SPLIT} SELECT doc_id, split FROM s",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +12,7 @@ from ..operators import assign as G
 from ..operators import catalog as C
 from ..operators import compare
 from ..operators import linking as L
+from ..operators import names as N
 from ..sources import parsers
 from ..session import table
 from ..streaming import logs
@@ -186,11 +188,32 @@ def slot_ambiguity(spark, d):
     return a.groupBy("slot_name", "ambiguous").agg(F.count("*").alias("n"))
 
 
+def _names(spark, d) -> DataFrame:
+    """Names to look up: words of part names, the names themselves, the names inside longer ones, and suppliers'."""
+    p = table(spark, d, "part").filter("p_name is not null")
+    word = p.select(F.explode(F.split("p_name", " ")).alias("name"))
+    return word.unionByName(p.select(F.upper("p_name").alias("name"))).unionByName(p.select(F.concat(F.lit(" the "), "p_name", F.lit(" shop")).alias("name"))).unionByName(table(spark, d, "supplier").select(F.col("s_name").alias("name"))).distinct()
+
+
+def name_join(spark, d):
+    """The first part whose name equals, contains or is part of a name."""
+    p = table(spark, d, "part").select("p_name", "p_partkey")
+    return N.first_match(_names(spark, d), p, "name", "p_name", "p_partkey")
+
+
+def names_in_documents(spark, d):
+    """How many documents' texts hold each word of a part's name."""
+    words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    doc = table(spark, d, "documents").select("text")
+    held = N.containing(words, doc, "word", "text")
+    return doc.groupBy("text").agg(F.count("*").alias("n")).join(held, "text").groupBy("needle").agg(F.sum("n").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         merge_catalog, extended_catalog, summary_upsert, resume_remaining, catalog_audit, pair_systems, ambiguous_runs, failure_taxonomy, margin_over_others, value_join, top_queries,
-        event_windows, mention_relations, previous_mention, untyped_greedy, typed_greedy, grounding_modes, word_numbers, mps_parse, link_scores, slot_ambiguity,
+        event_windows, mention_relations, previous_mention, untyped_greedy, typed_greedy, grounding_modes, word_numbers, mps_parse, link_scores, slot_ambiguity, name_join, names_in_documents,
     )
 }
 
@@ -234,4 +257,8 @@ SELECT p_partkey, 1, s::VARCHAR, CASE WHEN s > 1 THEN s / 100.0::DOUBLE ELSE s E
 SELECT p_partkey, 2, '$' || c, c / 100, 'percent' FROM p UNION ALL SELECT p_partkey, 3, 'RATIO_WORD:twice', 2.0, 'percent' FROM p""",
     "mps_parse": "SELECT l_orderkey::VARCHAR AS path, 'm' AS name, count(DISTINCT l_linenumber)::INT AS n_variables, 1 AS n_constraints, 0 AS n_integer, max((l_linenumber = 1)::INT) AS n_binary, 1 AS n_less, 0 AS n_greater, 0 AS n_equal FROM lineitem GROUP BY l_orderkey",
     "link_scores": _link_sql(),
+    "name_join": """WITH p AS (SELECT p_name FROM part WHERE p_name IS NOT NULL), n AS (SELECT DISTINCT name FROM (SELECT unnest(string_split(p_name, ' ')) AS name FROM p UNION ALL SELECT upper(p_name) FROM p UNION ALL SELECT ' the ' || p_name || ' shop' FROM p UNION ALL SELECT s_name FROM supplier)),
+x AS (SELECT name, lower(trim(name)) AS a FROM n), c AS (SELECT lower(trim(coalesce(p_name, ''))) AS b, min(p_partkey) AS k FROM part GROUP BY 1)
+SELECT name, min(k) AS p_partkey FROM x LEFT JOIN c ON a <> '' AND (contains(a, b) OR contains(b, a)) GROUP BY 1""",
+    "names_in_documents": "WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS needle FROM part) SELECT needle, count(*) AS n FROM w JOIN documents ON contains(text, needle) WHERE needle <> '' GROUP BY 1",
 }

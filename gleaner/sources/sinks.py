@@ -5,22 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalog
+from . import versions
 
 
 def upsert_table(new: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Merge ``new`` into the Parquet table at ``path`` by key; the table is written beside the old one and then takes its place.
-
-    A failed write leaves the old table as it was.
-    """
-    spark = new.sparkSession
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    merged = catalog.upsert(spark.read.parquet(path), new, keys) if fs.exists(fs_path(path)) else new
-    merged.write.mode("overwrite").parquet(f"{path}.next")
-    fs.delete(fs_path(path), True)
-    fs.rename(fs_path(f"{path}.next"), fs_path(path))
-    return spark.read.parquet(path)
+    """Merge ``new`` into the table of versions at ``path`` by key; readers see the old version or the new one."""
+    t = versions.Table(new.sparkSession, path)
+    versions.upsert(t, new, keys)
+    return t.read()
 
 
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
@@ -31,12 +23,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def markdown(df: DataFrame, order: list[str], digits: int = 4, most: int = 1000) -> str:
-    """A small table as Markdown; a report has at most ``most`` rows."""
-    rows = df.orderBy(*order).limit(most).collect()
+def markdown(df: DataFrame, order: list[str], digits: int = 4) -> str:
+    """A table as Markdown, all rows in order; they come to the driver by partitions, since the report is one string."""
     cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
+    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in df.orderBy(*order).toLocalIterator()])
 
 
 def formulation_markdown(problems: DataFrame) -> DataFrame:

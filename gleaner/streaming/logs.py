@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import versions
+
 SCHEMA = "ts timestamp, query string, top_k int, results array<struct<id:string,name:string,score:double>>"
 
 
@@ -36,26 +38,16 @@ def sessions(events: DataFrame, *, gap: str = "30 minutes", late: str = "1 hour"
 
 
 def upsert_batches(log: DataFrame, target: str, checkpoint: str):
-    """Start an incremental count of queries: each batch's counts are merged into a table of versions by key."""
+    """Start an incremental count of queries: each batch's counts are added to the table of versions at ``target``.
+
+    A batch that is run again after its commit changes nothing.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = query_counts(batch)
-        try:
-            last = max(int(x) for x in _versions(spark, target) if int(x) < number + 1)
-            fresh = spark.read.parquet(f"{target}/{last}").unionByName(fresh).groupBy("query").agg(F.sum("n").alias("n"))
-        except ValueError:
-            pass
-        fresh.write.mode("overwrite").parquet(f"{target}/{number + 1}")  # repeating a batch writes the same version
+        versions.add_batch(versions.Table(batch.sparkSession, target), query_counts(batch), number, ["query"], ["n"])
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, target: str) -> list[str]:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-
-
 def current(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/{max(map(int, _versions(spark, target)))}")
+    return versions.Table(spark, target).read()
