@@ -68,6 +68,30 @@ SLOT_TYPES: list[tuple[tuple[str, ...], str]] = [
 ]
 
 
+# Cues of statements that are hard to ground, and how many distinct numbers are several.
+BOTTLENECK_PATTERNS = {
+    "entity": r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\s*[A-Z][a-z]+|\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})+\b",
+    "lower": r"(?i)\b(?:at least|minimum|min|no less than|greater than or equal|>=|≥|must be at least)\b",
+    "upper": r"(?i)\b(?:at most|maximum|max|no more than|less than or equal|<=|≤|must not exceed|cannot exceed|up to)\b",
+    "total": r"(?i)\b(?:total|overall|aggregate|combined|sum)\b",
+    "per_unit": r"(?i)\b(?:per|each|every|unit|piece|item)\b",
+    "percent": r"(?i)\b\d+(?:\.\d+)?%|\bpercent(?:age)?\b",
+    "absolute": r"\$\d[\d,]*(?:\.\d+)?|\b\d{4,}\b(?!\s*%)",
+}
+BOTTLENECKS = ("entity_association", "lower_upper", "multi_numeric", "total_per_unit", "percent_absolute")
+SEVERAL = 3
+
+
+def bottlenecks(text: Column) -> dict[str, Column]:
+    """Whether a statement names entities beside numbers, has both bounds, several numbers, totals beside unit values, shares beside amounts; a null text has none."""
+    t = F.coalesce(text, F.lit(""))
+    has = {k: t.rlike(p) for k, p in BOTTLENECK_PATTERNS.items()}
+    found = numbers(t, "audit")
+    distinct = F.size(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "[$,%]", ""))))
+    some = F.size(found) > 0
+    return dict(zip(BOTTLENECKS, (some & has["entity"], has["lower"] & has["upper"], distinct >= SEVERAL, some & has["total"] & has["per_unit"], has["percent"] & has["absolute"]), strict=True))
+
+
 def words(text: Column) -> Column:
     """Unicode words, lower-cased."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))

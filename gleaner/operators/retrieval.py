@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import scratch
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
@@ -155,20 +156,6 @@ def ranker(name: str):
     return RANKERS[name]
 
 
-def _scratch(spark) -> str:
-    """A new path in the folder that all executors share; a local session without one gets a temporary folder."""
-    import tempfile
-    import uuid
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-        named = "file://" + tempfile.mkdtemp(prefix="gleaner-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/lsa-{uuid.uuid4().hex}"
-
-
 def grams(words: Column) -> Column:
     """Words and pairs of neighbouring words."""
     n = F.greatest(F.size(words) - 1, F.lit(0))
@@ -186,7 +173,7 @@ def lsa(docs: DataFrame, queries: DataFrame, *, k: int = 10, rank: int = 256, bl
     """
     import numpy as np
     import pyarrow as pa
-    spark, top, made = docs.sparkSession, _scratch(docs.sparkSession), []
+    spark, top, made = docs.sparkSession, scratch(docs.sparkSession, "lsa"), []
 
     def keep(df):
         """``df`` as a Parquet table: lineage ends here."""

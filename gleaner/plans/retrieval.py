@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import metrics as M
+from ..operators import names as N
 from ..operators import retrieval as R
 from ..session import table
 
@@ -21,8 +22,8 @@ def relevant(docs: DataFrame, queries: DataFrame, width: int = 6) -> DataFrame:
     """query_id, doc_id where the document contains the whole query.
 
     Candidates share the query's words 2 to ``width`` + 1 in a row, found by an equi-join of word windows;
-    containment is then checked on the candidates only.  Queries too short for a window, a bounded set,
-    are looked for directly.
+    containment is then checked on the candidates only.  Queries too short for a window are found by
+    their rarest grams.
     """
     w = F.split(F.col("query"), " ")
     asked = queries.withColumn("k", F.xxhash64(F.array_join(F.slice(w, 2, width), " ")))
@@ -33,7 +34,11 @@ def relevant(docs: DataFrame, queries: DataFrame, width: int = 6) -> DataFrame:
     pairs = d.select("doc_id", F.explode(windows).alias("k")).join(long.select("k", "query_id", "query"), "k").select("doc_id", "query_id", "query").distinct()
     found = pairs.join(docs, "doc_id").filter(F.contains("text", F.col("query"))).select("query_id", "doc_id")
     short = queries.filter(F.size(w) < width + 2)
-    return found.unionByName(docs.join(short, F.contains("text", F.col("query"))).select("query_id", "doc_id")).distinct() if short.take(1) else found
+    if short.isEmpty():
+        return found
+    held = N.containing(short, docs, "query", "text").join(docs, "text").join(short.withColumnRenamed("query", "needle"), "needle").select("query_id", "doc_id")
+    blank = docs.join(F.broadcast(short.filter("query = ''").groupBy().agg(F.collect_list("query_id").alias("ids"))), F.col("text").isNotNull()).select(F.explode("ids").alias("query_id"), "doc_id")  # an empty query is in every text
+    return found.unionByName(held).unionByName(blank).distinct()
 
 
 def tfidf_topk(spark, d):

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: dict[str, SparkSession] = {}
+
 
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and Arrow; shuffle partitions follow the cluster unless given."""
@@ -17,3 +23,33 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; Catalyst prunes its columns and pushes filters into the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, deleted when the driver ends; a local session without one gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+        named = "file://" + tempfile.mkdtemp(prefix="gleaner-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    path = f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE[path] = spark
+    return path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below :func:`scratch` and read back: several readers compute it once, and lineage ends here."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in list(_MADE.items()):
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the JVM may already be gone at exit
+            return

@@ -1,14 +1,19 @@
 """Roles of mentions, clauses, intervals, names, ratio bootstrap and tables of versions."""
 
+import itertools
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import number_roles as NR
 from gleaner.functions import roles as R
+from gleaner.functions import text as T
 from gleaner.operators import bootstrap as B
 from gleaner.operators import clauses as C
+from gleaner.operators import compatibility as CO
+from gleaner.operators import families as FA
 from gleaner.operators import intervals as I
 from gleaner.operators import names as N
 from gleaner.sources import sinks, versions
@@ -68,7 +73,8 @@ def test_clauses_and_placed_mentions(spark):
     inside = I.contained(m.select("id", "mention_id", "position"), found.select("id", "clause_idx", "start", "end"), ["id"], "position", width=3)
     assert sorted((r.id, r.mention_id, r.clause_idx) for r in inside.collect()) == [(1, 0, 0), (1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 0, 0)]
     placed = C.by_words(m, found, "id")
-    assert sorted((r.id, r.mention_id, r.clause_idx) for r in placed.collect()) == [(1, 0, 0), (1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 0, 0)]
+    # the last mention has two words to its left in either clause: the first of them
+    assert sorted((r.id, r.mention_id, r.clause_idx) for r in placed.collect()) == [(1, 0, 0), (1, 1, 1), (1, 2, 2), (1, 3, 2), (2, 0, 0)]
     slots = spark.createDataFrame([(1, "ProteinFeedB", ["proteinfeedb", "protein", "feed", "b"]), (2, "X", ["x"])], "id long, slot_name string, words array<string>")
     got = {(r.id, r.mention_id): tuple(r[3:]) for r in C.alignment(placed, found, slots, "id").select("id", "mention_id", "slot_name", "clause_entity_overlap", "clause_measure_overlap", "cross_clause_entity_penalty").collect()}
     assert got[1, 0] == (1, 1, 1) and got[1, 1] == (2, 0, 0) and got[1, 3] == (0, 0, 2) and got[2, 0] == (0, 0, 0)
@@ -228,3 +234,145 @@ def test_sinks_keep_every_row(spark, tmp_path):
     sinks.write_csv(df, f"{tmp_path}/c", ["k"])
     sinks.write_json(df, f"{tmp_path}/j")
     assert spark.read.option("header", True).csv(f"{tmp_path}/c").count() == spark.read.json(f"{tmp_path}/j").count() == 2500
+
+
+# numbers, their families, hard statements
+
+
+def _numbers(spark, texts):
+    rows = NR.number_roles(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "text", ["id"]).collect()
+    out = [{} for _ in texts]
+    for r in rows:
+        out[r.id][r.value] = r
+    return out
+
+
+def test_number_roles(spark):
+    got = _numbers(spark, ["She gained 5 more apples", "He spent 7 coins", "10 dollars per hour", "at least 5 units", "no fewer than 10 units", "at most 8 hours", "no more than 100 kg", "It is between 5 and 10, from 1,5 to x",
+                           "maximize the profit of 50 dollars", "In 2023 it rained", "He has 3 apples and received them", None, "five hundred, 1,5 and -2.5 x3"])
+    assert {"gained", "more"} <= set(got[0][5.0].operator_cues) and "spent" in got[1][7.0].operator_cues and "per" in got[2][10.0].operator_cues
+    assert [got[3][5.0].bound_role, got[4][10.0].bound_role, got[5][8.0].bound_role, got[6][100.0].bound_role] == ["lower", "lower", "upper", "upper"]
+    assert [got[7][v].range_partner for v in (5.0, 10.0, 15.0)] == [True, True, False]
+    assert got[8][50.0].relevance == "role_required" and got[8][50.0].direction == "max_like" and got[9][2023.0].relevance == "role_irrelevant" and got[10][3.0].relevance == "role_optional"
+    assert got[11] == {} and set(got[12]) == {5.0, 100.0, 15.0, -2.5}
+
+
+def _families_by_definition(positions, bounds, nouns, words):
+    """The pairs in order, written out without shortcuts."""
+    of, n, paired = {}, 0, set()
+    for i in range(len(bounds)):
+        best, most = None, 0
+        if bounds[i] == "lower":
+            for j in range(len(bounds)):
+                if bounds[j] == "upper" and j not in paired and len(nouns[i] & nouns[j]) > most:
+                    best, most = j, len(nouns[i] & nouns[j])
+        if best is not None:
+            of[i] = of[best] = n
+            paired.add(best)
+            n += 1
+    for i in range(len(bounds)):
+        for j in range(i + 1, len(bounds)):
+            if abs(positions[i] - positions[j]) <= 10 and words[i] & words[j] and not (i in of and j in of and of[i] == of[j]):
+                f = of[i] if i in of else of[j] if j in of else n
+                n += f == n
+                of[i] = of[j] = f
+    return [of.get(i) for i in range(len(bounds))]
+
+
+def test_quantity_families(spark):
+    rng = random.Random(6)
+    sets = lambda n: [set(rng.sample("abcdef", rng.randrange(0, 3))) for _ in range(n)]
+    for _ in range(300):
+        n = rng.randrange(0, 12)
+        x = (sorted(rng.sample(range(60), n)), [rng.choice(("lower", "upper", "none")) for _ in range(n)], sets(n), sets(n))
+        assert FA.family_ids(*x) == _families_by_definition(*x)
+    texts = ["at least 10 hours of labor are needed and then there are many other things to say before at most 20 hours of labor", None, "3 apples", "2 red apples then 3 red pears"]
+    df = NR.number_roles(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "text", ["id"])
+    got = {(r.id, r.mention_id): r.family for r in FA.quantity_families(df, "id").collect()}
+    assert got[0, 0] == got[0, 1] == 0 and got[2, 0] is None and got[3, 0] == got[3, 1] == 0 and len(got) == 5
+    assert FA.quantity_families(df.limit(0), "id").collect() == []
+
+
+def test_bottlenecks(spark):
+    texts = ["Dr. Smith buys 3 items", "at least 5 and at most 9", "1,000 1000 2 3", "a total of 5 per unit", "20% of 5000", "20% of 5000%", None, "total per"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: tuple(r[1:]) for r in df.select("id", *T.bottlenecks(F.col("text")).values()).collect()}
+    assert [got[i].index(True) if True in got[i] else None for i in range(8)] == [0, 1, 2, 3, 4, None, None, None]
+    assert all(sum(got[i]) == (1 if i < 5 else 0) for i in range(8))
+
+
+# compatibility of pairs
+
+
+def _pair(a, b):
+    """The rules of two filled slots, written out."""
+    w, out = CO.WEIGHTS, 0.0
+    if a["mention_id"] == b["mention_id"]:
+        return w["duplicate"]
+    for x, y in ((a, b), (b, a)):
+        if x["is_min"] and y["is_max"] and x["value"] is not None and y["value"] is not None and not (y is a and a["is_min"] and b["is_max"]):
+            out += w["ordered"] if x["value"] <= y["value"] else w["inverted"]
+    for t, c in ((a, b), (b, a)):
+        if t["is_total"] and c["is_coefficient"] and not (t is b and a["is_total"] and b["is_coefficient"]):
+            if t["is_total_like"] != c["is_total_like"] or t["is_per_unit"] != c["is_per_unit"]:
+                out += w["distinct"]
+            elif t["type_bucket"] == c["type_bucket"]:
+                out += w["same_type"]
+            big, small = (a, b) if a["is_total"] else (b, a)
+            if big["value"] is not None and small["value"] is not None:
+                out += w["total_larger"] * (big["value"] > small["value"]) + w["total_smaller"] * (big["value"] < small["value"])
+    pct = [x["type_bucket"] == "percent" for x in (a, b)]
+    if a["is_percent"] != b["is_percent"]:
+        out += w["percent_apart"] * (pct == [a["is_percent"], b["is_percent"]])
+    elif a["is_percent"] and not any(pct):
+        out += w["percent_missed"]
+    goal = [x["fragment_type"] == "objective" for x in (a, b)]
+    bound = [x["fragment_type"] in ("constraint", "bound") for x in (a, b)]
+    if (a["is_objective"] and b["is_bound"]) or (a["is_bound"] and b["is_objective"]):
+        out += w["objective_and_bound"] * ((a["is_objective"] and goal[0] and b["is_bound"] and bound[1]) or (a["is_bound"] and bound[0] and b["is_objective"] and goal[1]))
+    elif a["is_objective"] and b["is_objective"] and all(goal):
+        out += w["two_objectives"]
+    return out
+
+
+def _groups(n, slots, seed):
+    rng = random.Random(seed)
+    rows = []
+    for g in range(n):
+        s = [{k: rng.random() < 0.4 for k in CO.SLOT} for _ in range(slots)]
+        m = [{"mention_id": i, "value": rng.choice((None, 1.0, 2.0, 50.0)), "type_bucket": rng.choice(("percent", "int", "currency")), "fragment_type": rng.choice(("objective", "constraint", "bound", "")), "is_per_unit": rng.random() < 0.5, "is_total_like": rng.random() < 0.5} for i in range(rng.randrange(1, 5))]
+        rows += [{"id": g, "slot_pos": j, "slot_name": f"s{j}", "score": rng.choice((-2.0, -0.5, 0.25, 1.0, 3.5)), **a, **b} for j, a in enumerate(s) for b in m]
+    return rows
+
+
+FIELDS = "id long, slot_pos int, slot_name string, score double, " + ", ".join(f"{k} boolean" for k in CO.SLOT) + ", mention_id int, value double, type_bucket string, fragment_type string, is_per_unit boolean, is_total_like boolean"
+
+
+def _total(chosen, pairwise=True):
+    return sum(c["score"] for c in chosen) + (sum(_pair(b, a) for a, b in itertools.combinations(chosen, 2)) if pairwise else 0.0)
+
+
+def test_pair_scores(spark):
+    rows = [r for r in _groups(150, 2, 1) if r["mention_id"] == r["slot_pos"] or (r["mention_id"] == 0 and r["id"] % 9 == 0)]
+    df = spark.createDataFrame([tuple(r[f.split()[0]] for f in FIELDS.split(", ")) for r in rows], FIELDS)
+    got = sorted((r.id, r.slot_a, r.slot_b, r.score) for r in CO.pairs(df, "id").collect())
+    want = sorted((a["id"], a["slot_name"], b["slot_name"], _pair(a, b)) for a in rows for b in rows if a["id"] == b["id"] and a["slot_pos"] < b["slot_pos"])
+    assert got == want and len({x[3] for x in want}) > 8
+
+
+def test_beam_is_exhaustive_when_wide_and_never_better(spark):
+    rows = _groups(40, 3, 2)
+    df = spark.createDataFrame([tuple(r[f.split()[0]] for f in FIELDS.split(", ")) for r in rows], FIELDS)
+    for width, pairwise in ((1000, True), (1000, False), (2, True)):
+        found = {}
+        for r in CO.beam(df, "id", 3, width=width, pairwise=pairwise).collect():
+            found.setdefault(r.id, []).append(r)
+        for g in range(40):
+            own = [r for r in rows if r["id"] == g]
+            options = [[None, *[r for r in own if r["slot_pos"] == j and r["score"] > CO.PRUNE]] for j in range(3)]
+            best = max(_total([c for c in pick if c], pairwise) for pick in itertools.product(*options) if len({c["mention_id"] for c in pick if c}) == sum(c is not None for c in pick))
+            chosen = sorted(found.get(g, []), key=lambda r: r.slot_pos)
+            total = _total([next(r for r in own if r["slot_pos"] == c.slot_pos and r["mention_id"] == c.mention_id) for c in chosen], pairwise)
+            assert all(c.total == pytest.approx(total) for c in chosen)
+            assert total == pytest.approx(best) if width > 2 else total <= best + 1e-9
+    assert CO.beam(df.limit(0), "id", 3).collect() == []
