@@ -11,7 +11,9 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 IMPOSSIBLE = -1e9
 #: Beyond so many slots the exact bitmask search gives way to the greedy one.
@@ -215,3 +217,39 @@ def assign(groups: DataFrame, modes: list[str] | None = None, key: str = "query_
             yield pd.DataFrame(rows, columns=[key, "mode", "slot_name", "value"])
 
     return groups.select(key, "slots", "mentions").mapInPandas(run, f"`{key}` {kind}, mode string, slot_name string, value double")
+
+
+# The two simple modes as rows: mentions meet slots by rank, or take them one window after another.
+
+
+def by_rank(groups: DataFrame, key: str = "query_id") -> DataFrame:
+    """key, slot_name, value: the k-th slot takes the k-th mention."""
+    both = F.slice(F.arrays_zip("slots", "mentions"), 1, F.least(F.size("slots"), F.size("mentions")))
+    return groups.select(key, F.explode(both).alias("x")).select(key, F.col("x.slots.slot_name").alias("slot_name"), F.col("x.mentions.value").alias("value"))
+
+
+def preferred(slot_type: Column, kind: Column, value: Column) -> Column:
+    """:func:`preference` as a column."""
+    whole = F.coalesce(value == F.floor(value), F.lit(False))
+    return (
+        F.when(slot_type == "percent", F.when(kind == "percent", 2).when((value > 0) & (value <= 1), 1).otherwise(0))
+        .when(slot_type == "int", F.when(kind == "int", 2).when(whole, 1).otherwise(0))
+        .when(slot_type == "currency", F.when(kind == "currency", 2).when(kind.isin("int", "float"), 1).otherwise(0))
+        .otherwise(F.when(kind.isin("float", "int"), 2).when(kind == "currency", 1).otherwise(0))
+    )
+
+
+def by_type(groups: DataFrame, slots: int, key: str = "query_id") -> DataFrame:
+    """key, slot_name, value: as :func:`typed_greedy`, for groups of at most ``slots`` slots.
+
+    A slot takes the free mention that is largest by (preference, magnitude, text), the first of
+    equals: one window over the group's mentions for each slot, all in the partition of the first.
+    """
+    x = groups.select(key, "slots", F.posexplode("mentions").alias("__at", "m"))
+    x = x.select(key, "slots", "__at", F.col("m.value").alias("value"), F.col("m.kind").alias("kind"), F.col("m.raw").alias("raw"), F.lit(None).cast("int").alias("__slot"))
+    w = Window.partitionBy(key)
+    for j in range(slots):
+        rank = F.struct(preferred(F.get("slots", F.lit(j))["slot_type"], F.col("kind"), F.col("value")).alias("p"), F.abs(F.coalesce("value", F.lit(0.0))).alias("v"), F.coalesce("raw", F.lit("")).alias("r"), (-F.col("__at")).alias("a"))
+        free = F.when(F.col("__slot").isNull() & (F.size("slots") > j), rank)
+        x = x.withColumn("__best", F.max(free).over(w)).withColumn("__slot", F.when(F.col("__slot").isNull() & (F.size("slots") > j) & (F.col("__best.a") == -F.col("__at")), j).otherwise(F.col("__slot")))
+    return x.filter("__slot is not null").select(key, F.get("slots", F.col("__slot"))["slot_name"].alias("slot_name"), "value")

@@ -114,6 +114,9 @@ def previous_mention(spark, d):
     return e.groupBy("prev", "event_type").agg(F.count("*").alias("n"))
 
 
+_SLOT_NAMES = ("UnitPrice", "NumberOfItems", "DiscountRate", "TotalWeight")
+
+
 def _groups(spark, d):
     """Orders as queries: typed columns as slots, line items' figures as mentions."""
     kinds = F.array(
@@ -123,19 +126,16 @@ def _groups(spark, d):
     )
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", kinds.alias("m"))
     g = li.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "m"))).alias("x"))
-    names = ["UnitPrice", "NumberOfItems", "DiscountRate", "TotalWeight"]
-    slots = F.array(*[F.struct(F.lit(n).alias("slot_name"), T.slot_type(F.lit(n)).alias("slot_type"), T.identifier_words(F.lit(n)).alias("words")) for n in names])
+    slots = F.array(*[F.struct(F.lit(n).alias("slot_name"), T.slot_type(F.lit(n)).alias("slot_type"), T.identifier_words(F.lit(n)).alias("words")) for n in _SLOT_NAMES])
     return g.select("query_id", slots.alias("slots"), F.flatten(F.transform("x", lambda s: s["m"])).alias("mentions"))
 
 
 def untyped_greedy(spark, d):
-    a = G.assign(_groups(spark, d), ["untyped"])
-    return a.select("query_id", "slot_name", "value")
+    return G.by_rank(_groups(spark, d))
 
 
 def typed_greedy(spark, d):
-    a = G.assign(_groups(spark, d), ["typed"])
-    return a.select("query_id", "slot_name", "value")
+    return G.by_type(_groups(spark, d), len(_SLOT_NAMES))
 
 
 def grounding_modes(spark, d):
@@ -231,6 +231,20 @@ f AS (SELECT slot_name, mention_id, value, kind, st AS raw_type, cnt, (st = kind
 u AS (""" + " UNION ALL ".join(parts) + """) SELECT mode, slot_name, mention_id, count(*) AS n, count(*) - count(score) AS n_excluded, round(avg(score), 6) AS score FROM u GROUP BY ALL"""
 
 
+def _typed_sql() -> str:
+    """The best free mention of each slot in turn, one step after another."""
+    prefer = {
+        "UnitPrice": "CASE kind WHEN 'currency' THEN 2 WHEN 'int' THEN 1 ELSE 0 END", "NumberOfItems": "CASE WHEN kind = 'int' THEN 2 WHEN value = floor(value) THEN 1 ELSE 0 END",
+        "DiscountRate": "CASE WHEN kind = 'percent' THEN 2 WHEN value > 0 AND value <= 1 THEN 1 ELSE 0 END", "TotalWeight": "CASE kind WHEN 'int' THEN 2 WHEN 'currency' THEN 1 ELSE 0 END",
+    }
+    steps = ["m AS (SELECT query_id, value, kind, raw, row_number() OVER (PARTITION BY query_id ORDER BY l, pk, ep, k) AS pos FROM (SELECT l_orderkey AS query_id, l_linenumber AS l, l_partkey AS pk, l_extendedprice AS ep, unnest([l_extendedprice, l_quantity, l_discount]) AS value, unnest(['currency', 'int', 'percent']) AS kind, unnest(['$' || l_extendedprice, l_quantity::VARCHAR, l_discount::VARCHAR]) AS raw, unnest([1, 2, 3]) AS k FROM lineitem))"]
+    left = "m"
+    for i, n in enumerate(_SLOT_NAMES):
+        steps.append(f"r{i} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {prefer[n]} DESC, abs(value) DESC, raw DESC, pos) AS r FROM {left}), f{i} AS (SELECT * EXCLUDE r FROM r{i} WHERE r > 1)")
+        left = f"f{i}"
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT query_id, '{n}' AS slot_name, value FROM r{i} WHERE r = 1" for i, n in enumerate(_SLOT_NAMES))
+
+
 _BOTH = "s AS (SELECT s_suppkey AS id, s_name AS name FROM supplier), c AS (SELECT c_custkey AS id, c_name AS name FROM customer)"
 _AUDIT = "e AS (SELECT p_retailprice > 0 AND p_size > 5 AS ok, p_name IS NOT NULL AND p_retailprice <> 0 AND p_size <> 0 AS filled FROM part), b AS (SELECT count(*) AS n FROM e), x AS (SELECT count(*) AS n, count(*) FILTER (WHERE NOT coalesce(ok, false)) AS bad FROM e WHERE filled)"
 _WORD = "[" + ", ".join(f"'{w}'" for w in X.ONES) + "][p_size % 20 + 1]"
@@ -251,6 +265,7 @@ ORACLES = {
     "previous_mention": "WITH e AS (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) SELECT prev, event_type, count(*) AS n FROM e GROUP BY ALL",
     "untyped_greedy": """WITH m AS (SELECT l_orderkey AS query_id, l_linenumber AS l, l_partkey AS pk, l_extendedprice AS ep, unnest([l_extendedprice, l_quantity, l_discount]) AS value, unnest([1, 2, 3]) AS k FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY l, pk, ep, k) AS r FROM m) SELECT query_id, ['UnitPrice', 'NumberOfItems', 'DiscountRate', 'TotalWeight'][r] AS slot_name, value FROM r WHERE r <= 4""",
+    "typed_greedy": _typed_sql(),
     "word_numbers": f"""WITH p AS (SELECT p_partkey, p_size AS s, p_retailprice AS c, {_WORD} AS w, p_size % 20 AS v FROM part)
 SELECT p_partkey, 0 AS pos, w || ' hundred' AS raw, greatest(v, 1) * 100.0::DOUBLE AS value, 'int' AS kind FROM p UNION ALL
 SELECT p_partkey, 1, s::VARCHAR, CASE WHEN s > 1 THEN s / 100.0::DOUBLE ELSE s END, CASE WHEN s > 0 THEN 'percent' ELSE 'int' END FROM p UNION ALL

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import number_roles as NR
 from gleaner.functions import roles as R
 from gleaner.functions import text as T
+from gleaner.operators import assign as G
 from gleaner.operators import bootstrap as B
 from gleaner.operators import clauses as C
 from gleaner.operators import compatibility as CO
@@ -376,3 +377,17 @@ def test_beam_is_exhaustive_when_wide_and_never_better(spark):
             assert all(c.total == pytest.approx(total) for c in chosen)
             assert total == pytest.approx(best) if width > 2 else total <= best + 1e-9
     assert CO.beam(df.limit(0), "id", 3).collect() == []
+
+
+def test_simple_assignments_as_rows_equal_their_kernels(spark):
+    rng = random.Random(8)
+    groups = []
+    for g in range(60):
+        slots = [(f"s{j}", rng.choice(("percent", "int", "currency", "float")), ["w"]) for j in range(rng.randrange(0, 5))]
+        found = [(rng.choice(("1", "2", "x")), rng.choice((None, 0.5, 1.0, -1.0, 2.5, 7.0)), rng.choice(("percent", "int", "currency", "float", "unknown"))) for _ in range(rng.randrange(0, 6))]
+        groups.append((g, slots, found))
+    df = spark.createDataFrame(groups, "query_id long, slots array<struct<slot_name:string,slot_type:string,words:array<string>>>, mentions array<struct<raw:string,value:double,kind:string>>")
+    want = {m: sorted((tuple(r) for r in G.assign(df, [m]).select("query_id", "slot_name", "value").collect()), key=repr) for m in ("untyped", "typed")}
+    plain = lambda x: sorted((tuple(r) for r in x.collect()), key=repr)
+    nan = lambda rows: [(a, b, None if c is not None and c != c else c) for a, b, c in rows]
+    assert nan(plain(G.by_rank(df))) == nan(want["untyped"]) and nan(plain(G.by_type(df, 4))) == nan(want["typed"])
