@@ -43,18 +43,25 @@ def synthetic_queries(names: DataFrame, templates: list[str], *, cap: int, seed:
 
 def ranker_rows(slots: DataFrame, mentions: DataFrame, group: str) -> DataFrame:
     """Every slot with every mention of its group, with type, cue and overlap features."""
-    j = slots.join(mentions, group)
+    # words and cues are read once per slot and once per mention, not once per pair
+    cue = {"total": r"\b(total|budget|available|capacity|limit)\b", "unit": r"\b(per|each|per unit|per item)\b"}
+
+    def read(df: DataFrame, text: str, mark: str) -> DataFrame:
+        has = [F.coalesce(F.lower(text).rlike(p), F.lit(False)).alias(f"__{mark}_{k}") for k, p in cue.items()]
+        return df.select("*", F.array_distinct(T.words(F.col(text))).alias(f"__{mark}_words"), *has)
+
+    j = read(slots, "slot_name", "s").join(read(mentions, "context", "m"), group)
     slot, kind = F.col("slot_type"), F.col("kind")
     match = (
         F.when(slot.isNull() | (kind == "unknown"), 0).when(slot == kind, 1).when((slot == "currency") & kind.isin("int", "float"), 0).when((slot == "percent") & (kind != "percent"), -1).when(slot.isin("int", "float") & kind.isin("int", "float"), 1).otherwise(0)
     )
-    context = F.concat_ws(" ", F.lower("context"), F.lower("slot_name"))
-    overlap = F.least(F.lit(5), F.size(F.array_intersect(F.array_distinct(T.words(F.col("slot_name"))), F.array_distinct(T.words(F.col("context"))))))
+    either = lambda k: (F.col(f"__s_{k}") | F.col(f"__m_{k}")).cast("int")
     return (
         j.withColumn("feat_type_match", match)
-        .withColumn("feat_total_like", context.rlike(r"\b(total|budget|available|capacity|limit)\b").cast("int"))
-        .withColumn("feat_per_unit_like", context.rlike(r"\b(per|each|per unit|per item)\b").cast("int"))
-        .withColumn("feat_overlap", overlap)
+        .withColumn("feat_total_like", either("total"))
+        .withColumn("feat_per_unit_like", either("unit"))
+        .withColumn("feat_overlap", F.least(F.lit(5), F.size(F.array_intersect("__s_words", "__m_words"))))
+        .drop(*[f"__{m}_{k}" for m in "sm" for k in ("words", *cue)])
     )
 
 
