@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def mps(text: str | None) -> dict:
-    """Counts of a fixed or free MPS file: variables, constraints by sense, integer and binary variables."""
+    """Counts of a fixed or free MPS file: variables, constraints by sense, integer and binary variables (bounds of kind BV only)."""
     section, integer = "", False
     rows: dict[str, str] = {}
     variables: dict[str, bool] = {}
@@ -41,8 +41,6 @@ def mps(text: str | None) -> dict:
                 binary.add(parts[2])
             elif kind in ("LI", "UI"):
                 variables[parts[2]] = True
-            if kind in ("UP", "UI") and len(parts) > 3 and variables[parts[2]] and float(parts[3]) == 1:
-                binary.add(parts[2])
     count = lambda s: sum(1 for v in rows.values() if v == s)
     return {"name": name, "n_variables": len(variables), "n_constraints": sum(1 for v in rows.values() if v != "N"), "n_integer": sum(1 for v, i in variables.items() if i and v not in binary), "n_binary": len(binary), "n_less": count("L"), "n_greater": count("G"), "n_equal": count("E")}
 

@@ -167,7 +167,7 @@ def test_adapters_and_files(spark, tmp_path):
 
 def test_parsers(spark):
     m = parsers.mps("NAME t\nROWS\n N obj\n L c1\n G c2\n E c3\nCOLUMNS\n    x c1 1\n    M1 'MARKER' 'INTORG'\n    y c1 1\n    z c2 1\n    M2 'MARKER' 'INTEND'\nBOUNDS\n UP b y 1\n BV b x\nENDATA\n")
-    assert m == {"name": "t", "n_variables": 3, "n_constraints": 3, "n_integer": 1, "n_binary": 2, "n_less": 1, "n_greater": 1, "n_equal": 1}
+    assert m == {"name": "t", "n_variables": 3, "n_constraints": 3, "n_integer": 2, "n_binary": 1, "n_less": 1, "n_greater": 1, "n_equal": 1}
     nb = parsers.notebook(json.dumps({"cells": [{"cell_type": "markdown", "source": ["# T\n\n", "A paragraph that is certainly longer than forty characters.\n\n$$x+y$$"]}, {"cell_type": "code", "source": "x=1"}]}))
     assert nb == {"n_code": 1, "formulas": ["x+y"], "paragraphs": ["A paragraph that is certainly longer than forty characters."]}
     assert parsers.notebook("not json")["n_code"] == 0
