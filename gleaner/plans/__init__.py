@@ -1,8 +1,8 @@
 """Registered queries by family, each module with its QUERIES and their DuckDB ORACLES."""
 
-from . import outcomes, records, retrieval, roles
+from . import outcomes, records, retrieval, roles, searches
 
-FAMILIES = (retrieval, outcomes, records, roles)
+FAMILIES = (retrieval, outcomes, records, roles, searches)
 
 
 def queries() -> dict:
