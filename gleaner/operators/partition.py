@@ -1,47 +1,147 @@
-"""Partition of constraints into independent sets by shared variables, and average-linkage trees inside them."""
+"""Partition of a problem's constraints as tables: independent sets by shared variables, then average-linkage trees.
+
+All problems of a table are partitioned together.  Components are found by least labels that spread
+until nothing changes, clusters by rounds in which all mutually nearest pairs merge at once: with
+average linkage no merge brings two clusters nearer than they were, so this gives the clusters of
+merging the nearest pair again and again.  The definition compares all constraints of one
+group with each other; they are rows, spread by pair, and never one task's list.
+
+Results for odd input: a null or empty text has no keywords and is a set of its own; a problem without
+variables is cut by similarity alone; rows with a null problem, position or variable's name are left out; of rows that repeat a position
+the least text counts.
+"""
 
 from __future__ import annotations
 
-import math
-import re
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-def independent_sets(constraints: list[str], variables: list[str]) -> list[list[int]]:
-    """Indices of constraints in groups that share no variable, by first index."""
-    uses = [{v for v in variables if re.search(rf"(?<![A-Za-z0-9_]){re.escape(v)}(?![A-Za-z0-9_])", c)} for c in constraints]
-    groups: list[tuple[list[int], set]] = []
-    for i, u in enumerate(uses):
-        near = [g for g in groups if g[1] & u]
-        merged = (sorted(sum((g[0] for g in near), []) + [i]), set().union(u, *(g[1] for g in near)))
-        groups = [g for g in groups if g not in near] + [merged]
-    return sorted(g[0] for g in groups)
+from ..session import saved
 
+# Keywords of a text, shared ones that tie a constraint to a variable, weights of similarity, ends of the tree.
+TOP, SHARED, EPSILON = 10, 1, 0.01
+WEIGHTS = {"root": {"adjacency": 0.2, "keyword": 0.4, "vector": 0.4}, "default": {"adjacency": 0.3, "keyword": 0.35, "vector": 0.35}}
+FEW, ALIKE = 3, 0.6
+WORD = r"(?U)\b\w\w+\b"
+#: Means are compared after rounding, so that the order of a sum decides nothing.
+DIGITS = 9
 
-def distance(similarity: float, epsilon: float = 0.1) -> float:
+
+def distance(similarity: Column, epsilon: float = EPSILON) -> Column:
     """1 / (s + e) - 1 / (1 + e): 0 for equal ones."""
     return 1 / (similarity + epsilon) - 1 / (1 + epsilon)
 
 
-def tfidf_cosine(texts: list[str]) -> list[list[float]]:
-    docs = [re.findall(r"[a-z0-9]+", t.lower()) for t in texts]
-    df: dict[str, int] = {}
-    for d in docs:
-        for w in set(d):
-            df[w] = df.get(w, 0) + 1
-    vectors = []
-    for d in docs:
-        v = {w: d.count(w) * (math.log((1 + len(docs)) / (1 + df[w])) + 1) for w in set(d)}
-        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        vectors.append({w: x / norm for w, x in v.items()})
-    return [[sum(x * b.get(w, 0.0) for w, x in a.items()) for b in vectors] for a in vectors]
-
-
-def average_linkage(texts: list[str], groups: int) -> list[list[int]]:
-    """``groups`` clusters: the closest pair of clusters by mean distance is joined until so many are left; ties by index."""
-    sim = tfidf_cosine(texts)
-    clusters = [[i] for i in range(len(texts))]
-    near = lambda a, b: sum(distance(min(1.0, sim[i][j])) for i in a for j in b) / (len(a) * len(b))
-    while len(clusters) > max(1, groups):
-        _, i, j = min((near(a, b), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j)
-        clusters[i] = sorted(clusters[i] + clusters.pop(j))
-    return sorted(clusters)
+def weights(texts: DataFrame, by: list[str], of: list[str], text: str) -> DataFrame:
+    """by, of, term, weight, rank: unit-scaled tf-idf of each text among those of its ``by``; ranks by weight, then term."""
+    words = texts.select(*by, *of, F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))).alias("term"))
+    tf = words.groupBy(*by, *of, "term").agg(F.count("*").alias("tf"))
+    n = texts.groupBy(*by).agg(F.count("*").alias("n"))
+    df = tf.groupBy(*by, "term").agg(F.count("*").alias("df")).join(n, by).select(*by, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    x = tf.join(df, [*by, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    own = Window.partitionBy(*by, *of)
+    rank = F.row_number().over(own.orderBy(F.desc(F.round("w", DIGITS)), "term"))
+    return x.select(*by, *of, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own))).alias("weight"), rank.alias("rank"))
+
+
+def independent_sets(constraints: DataFrame, variables: DataFrame, by: str, *, top: int = TOP, shared: int = SHARED, most_rounds: int = 60) -> DataFrame:
+    """by, idx, set: constraints that variables tie together, named by the least idx.
+
+    ``constraints``: by, idx, text; ``variables``: by, name, text.  A constraint and a variable are tied by
+    ``shared`` common words among the ``top`` keywords of each, weighed over all texts of the problem.
+    """
+    c = constraints.filter(F.col("idx").isNotNull() & F.col(by).isNotNull()).groupBy(by, "idx").agg(F.min("text").alias("text"))
+    v = variables.select(by, "name", "text").filter(F.col("name").isNotNull() & F.col(by).isNotNull()).distinct()
+    both = c.select(by, F.col("idx").cast("long").alias("idx"), F.lit(None).cast("string").alias("name"), "text").unionByName(v.select(by, F.lit(None).cast("long").alias("idx"), F.col("name").cast("string").alias("name"), "text"))
+    key = saved(weights(both, [by], ["idx", "name"], "text").filter(F.col("rank") <= top).select(by, "idx", "name", "term"), "keywords")
+    mine, theirs = key.filter("idx is not null").drop("name"), key.filter("idx is null").drop("idx")
+    ties = saved(mine.join(theirs, [by, "term"]).groupBy(by, "idx", "name").agg(F.count("*").alias("n")).filter(F.col("n") >= shared).select(by, "idx", "name"), "ties")
+    label = saved(ties.select(by, "idx", F.col("idx").alias("set")).distinct(), "labels")
+    before = None
+    for _ in range(most_rounds):
+        least = ties.join(label, [by, "idx"]).groupBy(by, "name").agg(F.min("set").alias("set"))
+        near = ties.join(least, [by, "name"]).groupBy(by, "idx").agg(F.min("set").alias("set"))
+        # a label's own label, so chains halve with every round
+        jump = near.select(by, F.col("idx").alias("set"), F.col("set").alias("further"))
+        label = saved(near.join(jump, [by, "set"], "left").select(by, "idx", F.coalesce(F.least("set", "further"), "set").alias("set")), "labels")
+        now = label.agg(F.sum(F.col("set").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("sets did not settle")
+    return c.select(by, F.col("idx").cast("long").alias("idx")).join(label, [by, "idx"], "left").select(by, "idx", F.coalesce("set", "idx").alias("set"))
+
+
+def similarities(texts: DataFrame, by: list[str], layer: str, *, top: int = TOP) -> DataFrame:
+    """by, a, b, similarity of all pairs of a group: how near they stand, common keywords, cosine of their words.
+
+    ``texts``: by, idx, text and the column named by ``layer``, which says whose weights hold.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("idx"))
+    x = texts.select(*by, "idx", F.col(layer).alias("__l"), place.alias("__p"))
+    w = weights(texts, by, ["idx"], "text")
+    a, b = (w.select(*by, "term", F.col("idx").alias(k), F.col("weight").alias(f"w{k}"), (F.col("rank") <= top).alias(f"t{k}")) for k in "ab")
+    common = a.join(b, [*by, "term"]).filter("a < b").groupBy(*by, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"), F.sum((F.col("ta") & F.col("tb")).cast("int")).alias("shared"))
+    pairs = x.select(*by, "__l", F.col("idx").alias("a"), F.col("__p").alias("pa")).join(x.select(*by, F.col("idx").alias("b"), F.col("__p").alias("pb")), by).filter("a < b")
+    cosine, shared = F.least(F.lit(1.0), F.coalesce("cosine", F.lit(0.0))), F.least(F.lit(1.0), F.coalesce("shared", F.lit(0)) / top)
+    mean = lambda v: (v["adjacency"] / (1 + F.col("pb") - F.col("pa")) + v["keyword"] * shared + v["vector"] * cosine) / sum(v.values())
+    of = F.when(F.col("__l") == "root", mean(WEIGHTS["root"])).otherwise(mean(WEIGHTS["default"]))
+    return pairs.join(common, [*by, "a", "b"], "left").select(*by, "a", "b", of.alias("similarity"))
+
+
+def average_linkage(pairs: DataFrame, by: list[str], cut: float, most_rounds: int = 10_000) -> DataFrame:
+    """by, idx, cluster (its least idx): the nearest clusters by mean distance merge while that is ``cut`` at most.
+
+    ``pairs``: by, a, b (a < b), distance, for all pairs of a group.  Ties go to the lower ids.
+    """
+    member = saved(pairs.select(*by, F.explode(F.array("a", "b")).alias("idx")).distinct().withColumn("cluster", F.col("idx")), "clusters")
+    p = saved(pairs.select(*by, "a", "b", F.col("distance").alias("s"), F.lit(1).cast("long").alias("m")), "linkage")
+    for _ in range(most_rounds):
+        x = p.withColumn("d", F.round(F.col("s") / F.col("m"), DIGITS))
+        ends = x.select(*by, F.explode(F.array("a", "b")).alias("e"), F.struct("d", "a", "b").alias("x"))
+        nearest = ends.groupBy(*by, "e").agg(F.min("x").alias("x"))
+        # a pair that is the nearest of both its ends merges
+        merge = saved(nearest.filter(F.col("x.d") <= round(cut, DIGITS)).groupBy(*by, "x").agg(F.count("*").alias("n")).filter("n = 2").select(*by, F.col("x.b").alias("old"), F.col("x.a").alias("new")), "merges")
+        if merge.isEmpty():
+            return member
+        to = lambda k: merge.select(*by, F.col("old").alias(k), F.col("new").alias(f"new_{k}"))  # noqa: B023, E731
+        moved = p.join(to("a"), [*by, "a"], "left").join(to("b"), [*by, "b"], "left").select(*by, F.coalesce("new_a", "a").alias("x"), F.coalesce("new_b", "b").alias("y"), "s", "m")
+        p = saved(moved.filter("x <> y").groupBy(*by, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("s").alias("s"), F.sum("m").alias("m")), "linkage")
+        member = saved(member.join(to("cluster"), [*by, "cluster"], "left").select(*by, "idx", F.coalesce("new_cluster", "cluster").alias("cluster")), "clusters")
+    raise RuntimeError("clusters did not settle")
+
+
+def tree(constraints: DataFrame, variables: DataFrame, by: str, *, top: int = TOP, shared: int = SHARED, few: int = FEW, alike: float = ALIKE, most_depth: int = 60) -> DataFrame:
+    """by, idx, path, depth: the leaf of the partition tree that holds each constraint, named by the least idx on every level.
+
+    The root is cut into independent sets, if there are several, every other node into clusters, until a node has ``few``
+    constraints, a mean similarity of ``alike``, or no further cut.
+    """
+    c = constraints.filter(F.col("idx").isNotNull() & F.col(by).isNotNull()).groupBy(by, F.col("idx").cast("long").alias("idx")).agg(F.min("text").alias("text"))
+    sets = independent_sets(constraints, variables, by, top=top, shared=shared)
+    several = sets.groupBy(by).agg((F.count_distinct("set") > 1).alias("several"))
+    path = F.when(F.col("several"), F.concat(F.lit("/"), F.col("set").cast("string"))).otherwise("")
+    live = saved(c.join(sets, [by, "idx"]).join(several, by).select(by, "idx", "text", path.alias("path"), F.when(F.col("several"), "default").otherwise("root").alias("layer"), F.col("several").cast("int").alias("depth")), "nodes")
+    node, done = [by, "path"], []
+    cut = 1 / (alike + EPSILON) - 1 / (1 + EPSILON)
+    for _ in range(most_depth):
+        size = live.groupBy(*node).agg(F.count("*").alias("size"))
+        small = live.join(size.filter(F.col("size") <= few).select(*node), node, "left_semi")
+        large = saved(live.join(size.filter(F.col("size") > few).select(*node), node, "left_semi"), "nodes")
+        done.append(small.select(by, "idx", "path", "depth"))
+        if large.isEmpty():
+            break
+        near = saved(similarities(large, node, "layer", top=top), "similarities")
+        loose = near.groupBy(*node).agg(F.avg("similarity").alias("mean")).filter(F.round("mean", DIGITS) < alike).select(*node)
+        label = average_linkage(near.join(loose, node, "left_semi").withColumn("distance", distance(F.col("similarity"))), node, cut)
+        cuts = label.groupBy(*node).agg(F.count_distinct("cluster").alias("k")).filter("k > 1").select(*node)
+        done.append(large.join(cuts, node, "left_anti").select(by, "idx", "path", "depth"))
+        inner = label.join(cuts, node, "left_semi")
+        live = saved(large.join(inner, [*node, "idx"]).select(by, "idx", "text", F.concat_ws("/", "path", F.col("cluster").cast("string")).alias("path"), F.lit("default").alias("layer"), (F.col("depth") + 1).alias("depth")), "nodes")
+    else:
+        raise RuntimeError("the tree is deeper than most_depth")
+    return reduce(DataFrame.unionByName, done)

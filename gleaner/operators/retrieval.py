@@ -9,6 +9,8 @@ all terms of a document.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,16 +106,47 @@ def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, *, pool: int, k:
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
-def dense(vectors: DataFrame, queries: DataFrame, *, k: int = 10) -> DataFrame:
-    """Cosine top-k of a bounded set of query vectors, sent to every task, over all vectors.
+def dense(vectors: DataFrame, queries: DataFrame, *, k: int = 10, block: int = 20_000) -> DataFrame:
+    """Cosine top-k of query vectors over all vectors, as products of blocks.
 
-    ``vectors``: vec_id, embedding; ``queries``: query_id, embedding.  Lists are unit-scaled once, then each pair is one dot product.
+    ``vectors``: vec_id, embedding; ``queries``: query_id, embedding; of one length.  Both sides are cut into blocks of
+    about ``block`` rows; every pair of blocks is one product in one task, which gives on its ``k`` best of
+    each query, so neither side is sent whole to a task and scores of pairs are never rows.  Rows with a null id or vector,
+    null components or a norm of zero match nothing.
     """
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
-    v = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
-    q = queries.select("query_id", unit(F.col("embedding")).alias("q"))
-    pairs = v.crossJoin(q).select("query_id", F.col("vec_id").alias("doc_id"), F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("score"))
-    return top_k(pairs, k)
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double")))
+
+    def blocks(df: DataFrame, id_: str) -> tuple[DataFrame, int]:
+        x = df.select(id_, F.transform("embedding", lambda y: y.cast("double")).alias("v")).filter(F.col(id_).isNotNull()).withColumn("n", norm(F.col("v"))).filter("n > 0")
+        n = max(1, -(-df.count() // block))
+        return x.select(id_, F.transform("v", lambda y: y / F.col("n")).alias("v"), F.pmod(F.xxhash64(id_), F.lit(n)).cast("int").alias("__b")), n
+
+    (v, n_v), (q, n_q) = blocks(vectors, "vec_id"), blocks(queries, "query_id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select("query_id", "v", F.col("__b").alias("__q"), every(n_v).alias("__v"))
+    right = v.select("vec_id", "v", every(n_q).alias("__q"), F.col("__b").alias("__v"))
+
+    def product(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(held):
+            ids, m = held["vec_id"].to_numpy(), np.stack(held["v"].to_numpy())
+            take = min(k, len(ids))
+            for at in range(0, len(asked), 256):  # so that the scores of a product stay small
+                part = asked.iloc[at : at + 256]
+                scores = np.stack(part["v"].to_numpy()) @ m.T
+                rounded = np.round(scores, 9)
+                least = np.partition(rounded, len(ids) - take, axis=1)[:, len(ids) - take]
+                for i, query in enumerate(part["query_id"].to_numpy()):
+                    near = np.flatnonzero(rounded[i] >= least[i])
+                    near = near[np.lexsort((ids[near], -rounded[i][near]))][:take]
+                    out.append(pd.DataFrame({"query_id": query, "doc_id": ids[near], "score": scores[i][near]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+
+    if k <= 0:
+        return top_k(left.select("query_id", F.lit(None).cast(vectors.schema["vec_id"].dataType).alias("doc_id"), F.lit(0.0).alias("score")), k)
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {vectors.schema['vec_id'].dataType.simpleString()}, score double"
+    best = left.groupBy("__q", "__v").cogroup(right.groupBy("__q", "__v")).applyInPandas(product, kinds)
+    return top_k(best, k)
 
 
 def margin(ranked: DataFrame, least: float = 0.05) -> DataFrame:

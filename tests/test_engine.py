@@ -13,7 +13,7 @@ from gleaner.functions import mentions as X
 from gleaner.functions import text as T
 from gleaner.operators import assign as G
 from gleaner.operators import catalog as C
-from gleaner.operators import compare, metrics, partition, retrieval, sampling, stats
+from gleaner.operators import compare, metrics, retrieval, sampling, stats
 from gleaner.sources import adapters, files, parsers
 from gleaner.streaming import logs
 
@@ -146,12 +146,6 @@ def test_compare(spark):
     assert sorted(((r.g, r.v, r.other) for r in compare.margin_over_others(rows, "g", "v").collect()), key=repr) == [(1, 3.0, 5.0), (1, 5.0, 5.0), (1, 5.0, 5.0), (2, 4.0, None)]
 
 
-def test_partition():
-    assert partition.independent_sets(["x + y <= 1", "z >= 2", "y - w = 0", "xx > 1"], ["x", "y", "z", "w", "xx"]) == [[0, 2], [1], [3]]
-    trees = partition.average_linkage(["labor hours limit", "labor hours bound", "budget money"], 2)
-    assert trees == [[0, 1], [2]] and partition.average_linkage(["a"], 3) == [[0]]
-
-
 def test_adapters_and_files(spark, tmp_path):
     p = tmp_path / "q.jsonl"
     p.write_text("\n".join([json.dumps({"problem_id": "p1", "query": " hi "}), "{broken", json.dumps({"query_id": "q2", "query": "x", "relevant_doc_id": "d"}), ""]))
