@@ -20,7 +20,7 @@ class and take part once; every other link is compared on the texts themselves,
 hashes stand for shingles only after a check that no two of these texts' shingles share
 one.  In a key's bucket, members are compared with the bucket's least member; classes joined by
 these links are components.  Buckets that then still hold several components have all
-their pairs across components compared, and the links found join the components
+their other pairs across components compared, and the links found join the components
 finally.  So every pair that could join two components has been compared exactly, and
 pairs inside a component need not be.  Before two texts are fetched, parity sketches are
 compared: bit h(t) mod B of a sketch is the parity of the set's shingles t that fall on
@@ -132,8 +132,11 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """Parity sketch of a set: as many bits as the next power of two from the set's size on, 128 at least."""
-    bits = 1 << max(7, int(len(s) - 1).bit_length())
+    """Parity sketch of a set: as many bits as the next power of two from 3/5 of the set's size on, 128 at least.
+
+    Sketches of unrelated sets of one size differ in half of their bits or nearly so, linked sets in 2/9 of their size at most.
+    """
+    bits = 1 << max(7, int(0.6 * len(s)).bit_length())
     at = (shingles.mix(s ^ U(0x3C6EF372FE94F82B)) & U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -146,79 +149,131 @@ def fold(sketches: np.ndarray, words: int) -> np.ndarray:
     return sketches
 
 
-def signed(docs: DataFrame, plan: Plan, width: int = WIDTH) -> DataFrame:
-    """doc_id, n, f1, f2 (digest of its words), keys and sketch of every row; f1 and f2 are null without words."""
-    out = store.schema("n long, f1 long, f2 long, keys array<long>, sketch array<long>")
+def signed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n, f1, f2 (digest of its words) and sketch of every row; f1 and f2 are null without words."""
+    out = store.schema("n long, f1 long, f2 long, sketch array<long>")
     schema = docs.select("doc_id").schema
     for f in out:
         schema = schema.add(f.name, f.dataType)
 
     def run(batches):
-        known: dict = {}
         for batch in batches:
-            n, f1, f2, ks, sk = [], [], [], [], []
+            n, f1, f2, sk = [], [], [], []
             with np.errstate(over="ignore"):
                 for s in shingles.shingle_sets(batch.column("text"), width):
                     n.append(len(s))
-                    ks.append(keys(s, plan, known).view(np.int64))
                     sk.append(parity(s))
             for part in shingles.pieces(batch.column("text")):
                 for d in shingles.digests(part):
                     f1.append(d and int.from_bytes(d[:8], "little", signed=True))
                     f2.append(d and int.from_bytes(d[8:], "little", signed=True))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _lists(ks), _lists(sk)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _lists(sk)], names=schema.names)
         store.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def stars(classes: DataFrame) -> DataFrame:
+#: Keys that a task holds before it sends them on, and keys of a place at most, about.
+HELD, PLACE = 2_000_000, 1 << 20
+#: Bytes of a key that are sent: chance equals of a shorter key only add pairs, which are then compared.
+SENT = 6
+
+
+def packed(x: np.ndarray, first: int = 0) -> bytes:
+    """Numbers of 64 bits as planes of bytes, from byte ``first`` on: bytes that agree lie together, and compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, first:].T.tobytes()
+
+
+def unpacked(data: bytes, first: int = 0) -> np.ndarray:
+    """The numbers (uint64) of :func:`packed`, bytes before ``first`` being 0."""
+    planes = np.frombuffer(data, np.uint8).reshape(8 - first, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, first:] = planes.T
+    return out.view(U).ravel()
+
+
+def _others(k: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(k, d) in order; whether an element is the first of its key; the first member of its key."""
+    order = np.lexsort((d, k))
+    k, d = k[order], d[order]
+    head = np.concatenate(([True], k[1:] != k[:-1]))
+    return k, d, head, d[head][np.cumsum(head) - 1]
+
+
+def stars(docs: DataFrame, plan: Plan, width: int, places: int) -> DataFrame:
     """key, a, b: in every bucket of two members or more, b is compared with a smaller member a.
 
-    Members of a bucket that one task holds meet there, and only the least of them goes on
-    to the shuffle, so a bucket's rows in the shuffle are bounded by the number of batches.
+    Keys go to the shuffle packed, sorted by ranges (``places``, a power of two), about 7 bytes each; nearly all of them
+    have one member and end there.  Members of a bucket that one task holds meet in it, and only the
+    least of them goes on as a member, so a bucket's members in a place are bounded by the number of times a task sends.
     """
+    bits = U(64 - (places.bit_length() - 1))
+    drop = 8 - SENT
 
-    def gathered(batches):
-        held: list = []
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= 5_000 or sum(b.nbytes for b in held) > 8 << 20:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-        if held:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
-            yield from whole[:1]
+    def local(batches):
+        known: dict = {}
+        ks, ds, size = [], [], 0
 
-    def run(batches):
-        for batch in gathered(batches):
-            col = batch.column("keys")
-            counts = np.diff(np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1])
-            k = col.flatten().to_numpy(zero_copy_only=False)
-            d = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), counts)
-            order = np.lexsort((d, k))
-            k, d = k[order], d[order]
-            if not len(k):
-                continue
-            head = np.concatenate(([True], k[1:] != k[:-1]))
-            hub = d[head][np.cumsum(head) - 1]
+        def flush():
+            k, d, head, hub = _others(np.concatenate(ks) >> U(8 * drop) << U(8 * drop), np.repeat(np.array(ds, np.int64), [len(x) for x in ks]))
+            kh, dh = k[head], d[head]
+            at = np.concatenate((np.searchsorted(kh >> bits, np.arange(places, dtype=U)), [len(kh)])).tolist()
+            rows = [(p, packed(kh[i:j], drop), packed(dh[i:j]), None) for p, (i, j) in enumerate(zip(at, at[1:], strict=False)) if i < j]
             other = ~head & (d != hub)
-            # a local pair is done: it may go anywhere
+            k, a, b = k[other], hub[other], d[other]
+            for i in range(0, len(k), 100_000):  # a local pair is done: it may go anywhere
+                x = slice(i, i + 100_000)
+                rows.append((int(k[i] % U(places - 1)) if places > 1 else 0, packed(k[x], drop), packed(a[x]), packed(b[x])))
+            for i in range(0, len(rows), 256):
+                columns = zip(*rows[i : i + 256], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["place", "key", "a", "b"])
+
+        for batch in batches:
             with np.errstate(over="ignore"):
-                spread = shingles.mix(k[other].view(U) + d[other].view(U) * U(0x9E3779B97F4A7C15)).view(np.int64)
-            place = np.concatenate((k[head], spread))
-            both = np.concatenate((d[head], hub[other]))
-            b = np.concatenate((np.zeros(head.sum(), np.int64), d[other]))
-            done = np.concatenate((np.zeros(head.sum(), bool), np.ones(other.sum(), bool)))
-            key = np.concatenate((np.zeros(head.sum(), np.int64), k[other]))  # of the others it is their place
-            for at in range(0, len(key), 200_000):
-                to = at + 200_000
-                yield pa.RecordBatch.from_arrays([pa.array(x[at:to]) for x in (place, key, both, b, done)], names=["place", "key", "a", "b", "done"])
-
-    local = classes.select("doc_id", "keys").mapInArrow(run, "place long, key long, a long, b long, done boolean")
-    hub = F.when(F.col("done"), F.col("a")).otherwise(F.min(F.when(~F.col("done"), F.col("a"))).over(Window.partitionBy("place", "done")))
-    met = local.select(F.when(F.col("done"), F.col("key")).otherwise(F.col("place")).alias("key"), hub.alias("hub"), F.when(F.col("done"), F.col("b")).otherwise(F.col("a")).alias("x"))
-    return met.filter("hub < x").select("key", F.col("hub").alias("a"), F.col("x").alias("b"))
+                for d, s in zip(batch.column("doc_id").to_pylist(), shingles.shingle_sets(batch.column("text"), width), strict=True):
+                    k = keys(s, plan, known)
+                    if len(k):
+                        ks.append(k)
+                        ds.append(d)
+                        size += len(k)
+                    if size >= HELD:
+                        yield from flush()
+                        ks, ds, size = [], [], 0
+        if ks:
+            yield from flush()
+        store.trim()
+
+    def met(batches):
+        place, ks, ds = None, [], []
+
+        def found(k, a, b):
+            for i in range(0, len(k), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[i : i + 200_000]).view(np.int64)) for x in (k, a, b)], names=["key", "a", "b"])
+
+        def flush():
+            k, d, head, hub = _others(np.concatenate(ks), np.concatenate(ds))
+            other = ~head & (d != hub)
+            yield from found(k[other], hub[other], d[other])
+
+        for batch in batches:
+            for p, k, a, b in zip(*(batch.column(c) for c in ("place", "key", "a", "b")), strict=True):
+                k, a = unpacked(k.as_py(), drop), unpacked(a.as_py()).view(np.int64)
+                if b.is_valid:
+                    yield from found(k, a, unpacked(b.as_py()).view(np.int64))
+                    continue
+                if p.as_py() != place:
+                    if ks:
+                        yield from flush()
+                    place, ks, ds = p.as_py(), [], []
+                ks.append(k)
+                ds.append(a)
+        if ks:
+            yield from flush()
+        store.trim()
+
+    sent = docs.select("doc_id", "text").mapInArrow(local, "place int, key binary, a binary, b binary")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return sent.repartition(parts, "place").sortWithinPartitions("place").mapInArrow(met, "key long, a long, b long")
 
 
 def possible(pairs: DataFrame, known: DataFrame, plan: Plan) -> DataFrame:
@@ -247,17 +302,31 @@ def possible(pairs: DataFrame, known: DataFrame, plan: Plan) -> DataFrame:
     return two.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def across(members: DataFrame, plan: Plan) -> DataFrame:
+def unmet(told: DataFrame) -> DataFrame:
+    """key, x, c (component): the members of buckets that can hold pairs across components that were not compared.
+
+    ``told`` has the compared pairs: key, a, b, ca, cb (components).  A bucket of one pair is done; one with a single smaller
+    member a has all its pairs with a behind it, so only the others are left.
+    """
+    left = told.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("cb").alias("c0"), F.max("cb").alias("c1"), F.count_if(F.col("ca") != F.col("cb")).alias("open"))
+    left = left.filter((F.col("n") > 1) & (F.col("open") > 0) & ((F.col("a0") != F.col("a1")) | (F.col("c0") != F.col("c1")))).select("key", (F.col("a0") != F.col("a1")).alias("several"))
+    rows = told.join(left, "key")
+    both = F.array(F.struct(F.col("b").alias("x"), F.col("cb").alias("c")), F.when(F.col("several"), F.struct(F.col("a").alias("x"), F.col("ca").alias("c"))))
+    return rows.select("key", F.explode(F.array_compact(both)).alias("m")).select("key", "m.*").distinct()
+
+
+def across(members: DataFrame, known: DataFrame, plan: Plan) -> DataFrame:
     """Pairs (a, b) of members of one bucket and of different components that sizes and sketches do not dismiss.
 
-    ``members`` has key, x, c (component), n, sketch.  A bucket's members are dealt into
-    blocks; a cell holds a pair of blocks.
+    ``members`` has key, x, c (component), ``known`` doc_id, n, sketch.  A bucket's members are dealt
+    into blocks; a cell holds a pair of blocks.  Sketches are sent once, to the cells.
     """
     size = members.groupBy("key").agg(F.count("*").alias("g")).filter(F.col("g") > BLOCK).select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(size, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("i", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))
-    dealt = dealt.select("key", "x", "c", "n", "sketch", "i", F.explode(cells).alias("cell")).select(F.xxhash64("key", "cell.lo", "cell.hi").alias("cell"), "key", (F.col("cell.lo") == F.col("cell.hi")).alias("own"), "i", "x", "c", "n", "sketch")
+    dealt = dealt.select("key", "x", "c", "i", F.explode(cells).alias("cell")).select(F.xxhash64("key", "cell.lo", "cell.hi").alias("cell"), "key", (F.col("cell.lo") == F.col("cell.hi")).alias("own"), "i", "x", "c")
+    dealt = dealt.join(known, F.col("x") == F.col("doc_id")).drop("doc_id")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     num, den = plan.num, plan.den
 
@@ -359,11 +428,16 @@ def verified(pairs: DataFrame, docs: DataFrame, plan: Plan, width: int = WIDTH)
 def links(docs: DataFrame, *, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     plan = Plan(num, den)
-    rows = store.table(signed(docs, plan, width), "op5-rows")
+    rows = store.table(signed(docs, width), "op5-rows")
     full = rows.filter("doc_id is not null and n > 0")
     # equal texts are one class; its least doc_id stands for it
-    met = store.table(stars(full.groupBy("f1", "f2").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("doc_id"))), "op5-stars")
     classes = store.table(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.min_by("n", "doc_id").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")), "op5-classes")
+    spare = store.table(full.select("doc_id").join(classes.select("doc_id"), "doc_id", "left_anti").distinct(), "op5-spare")
+    asked = docs.select("doc_id", "text").filter("doc_id is not null").join(spare, "doc_id", "left_anti")
+    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    met = store.table(stars(asked, plan, width, 1 << (max(4 * shuffled, 3 * total // PLACE) - 1).bit_length()), "op5-stars")  # at most about three keys a shingle
+    store.drop(spare)
     known = classes.select("doc_id", "n", "sketch")
     pairs = store.table(possible(met.select("a", "b").distinct(), known, plan), "op5-pairs")
     same = verified(pairs, docs, plan, width)
@@ -379,13 +453,10 @@ def links(docs: DataFrame, *, width: int = WIDTH, num: int = NUM, den: int = DEN
         c = comp.select(F.col("node").alias(f"__{name}"), F.col("component").alias(f"__c{name}"))
         return df.join(c, F.col(node) == F.col(f"__{name}"), "left").withColumn(name, F.coalesce(f"__c{name}", node)).drop(f"__{name}", f"__c{name}")
 
-    # buckets that still hold several components: all members across them are compared
+    # buckets that still hold several components: members across them that have not met are compared
     told = store.table(component(component(met, "a", "ca"), "b", "cb"), "op5-told")
     store.drop(met)
-    open_keys = told.filter("ca <> cb").select("key").distinct()
-    members = told.join(open_keys, "key", "left_semi")
-    members = members.select("key", F.col("a").alias("x"), F.col("ca").alias("c")).union(members.select("key", F.col("b").alias("x"), F.col("cb").alias("c"))).distinct()
-    pairs = store.table(across(members.join(known, F.col("x") == F.col("doc_id")).drop("doc_id"), plan), "op5-across")
+    pairs = store.table(across(unmet(told), known, plan), "op5-across")
     store.drop(told)
     late = verified(pairs, docs, plan, width)
     store.drop(pairs)

@@ -639,3 +639,34 @@ def test_html_odd_pages():
     assert get(f"<div class=content><p>first of all</p>{spans}<p>last of all</p></div>") == "first of all\n" + "x\n" * 40 + "last of all"
     side = "<main><div class='sidebar'>" + "side words " * 40 + "</div><article><p>short text</p></article></main>"
     assert get(side) == "short text"
+
+
+def test_jaccard_keys_are_packed(spark, monkeypatch):
+    x = np.array([0, 1, 255, 1 << 20, (1 << 63) + 7 << 16 & (1 << 64) - 1], np.uint64)
+    assert (op5_jaccard.unpacked(op5_jaccard.packed(x)) == x).all()
+    assert (op5_jaccard.unpacked(op5_jaccard.packed(x, 2), 2) == x >> np.uint64(16) << np.uint64(16)).all()
+    assert op5_jaccard.unpacked(op5_jaccard.packed(x[:0], 2), 2).size == 0
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 60)))) for i in range(60)]
+    rows += [(100 + i, rows[i % 60][1] + " x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert "keys" not in op5_jaccard.signed(docs).columns  # keys are never a table
+    plan, buckets = op5_jaccard.Plan(), {}
+    with np.errstate(over="ignore"):
+        for (i, _), s in zip(rows, shingles.shingle_sets(pa.array([t for _, t in rows]), 3), strict=True):
+            for k in op5_jaccard.keys(s, plan, {}).tolist():
+                buckets.setdefault(k >> 16, set()).add(i)
+    for held in (op5_jaccard.HELD, 300):
+        monkeypatch.setattr(op5_jaccard, "HELD", held)
+        got = {}
+        for k, a, b in op5_jaccard.stars(docs, plan, 3, 8).collect():
+            assert a < b
+            got.setdefault(k % (1 << 64) >> 16, []).append((a, b))
+        assert {k: {x for p in v for x in p} for k, v in got.items()} == {k: v for k, v in buckets.items() if len(v) > 1}
+        assert all(min(x for x, _ in v) in {x for x, _ in v} and len({b for _, b in v}) == len(buckets[k]) - 1 for k, v in got.items())
+
+
+def test_jaccard_only_unmet_members_meet(spark):
+    told = [(1, 0, 5, 0, 5), (2, 0, 6, 0, 6), (2, 0, 7, 0, 7), (3, 0, 6, 0, 6), (3, 6, 8, 6, 8), (4, 0, 1, 0, 0), (4, 0, 2, 0, 0), (5, 0, 6, 0, 6), (5, 0, 9, 0, 6)]
+    got = sorted(map(tuple, op5_jaccard.unmet(spark.createDataFrame(told, "key long, a long, b long, ca long, cb long")).collect()))
+    assert got == [(2, 6, 6), (2, 7, 7), (3, 0, 0), (3, 6, 6), (3, 8, 8)]
