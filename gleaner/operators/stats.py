@@ -30,17 +30,16 @@ def transitions(pairs: DataFrame, a: str = "a", b: str = "b", by: list[str] | No
 def mcnemar(b: Column, c: Column) -> Column:
     """Exact two-sided p of the discordant counts, null where there are none.
 
-    The binomial tail is summed by the ratio of its terms from the log of the first, so no factorial overflows.
+    The binomial tail is summed in units of its last term, which is its largest and whose log is kept, so nothing overflows.
     """
     n, k = b + c, F.least(b, c)
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
     tail = F.aggregate(
         F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k.cast("bigint"))).otherwise(F.array().cast("array<bigint>")),
-        start,
-        lambda s, i: F.struct((s["term"] * (n - i + 1) / i).alias("term"), (s["sum"] + s["term"] * (n - i + 1) / i).alias("sum")),
-        lambda s: s["sum"],
+        F.struct(F.lit(0.0).alias("log"), F.lit(1.0).alias("sum")),
+        lambda s, i: F.struct((s["log"] + F.log((n - i + 1) / i)).alias("log"), (1.0 + s["sum"] * i / (n - i + 1)).alias("sum")),
+        lambda s: s["log"] + F.log(s["sum"]),
     )
-    return F.when(n > 0, F.least(F.lit(1.0), 2 * F.exp(F.log(tail) - n * F.log(F.lit(2.0)))))
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * F.exp(tail - n * F.log(F.lit(2.0)))))
 
 
 def resampled_means(values: DataFrame, value: str, *, reps: int = REPS, seed: int = 42) -> DataFrame:

@@ -195,3 +195,13 @@ def test_queries_against_duckdb(spark, name):
     names = [x[0] for x in r.description]
     norm = lambda row: tuple(round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in row)
     assert sorted(map(repr, (norm(x[c] for c in names) for x in df.collect()))) == sorted(repr(norm(x)) for x in r.fetchall())
+
+
+def test_mcnemar_of_large_counts(spark):
+    from math import comb
+
+    for b, c in ((700, 650), (5000, 5200), (3, 4000), (0, 1), (2000, 2000)):
+        n, k = b + c, min(b, c)
+        tail = sum(comb(n, i) for i in range(k + 1))
+        exact = min(1.0, 2 * (tail * 10**30 // 2**n) / 10**30)
+        assert one(spark, stats.mcnemar(F.lit(b), F.lit(c))) == pytest.approx(exact, abs=1e-9)
