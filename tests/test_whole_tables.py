@@ -150,3 +150,20 @@ def test_lsa_equals_a_full_decomposition(spark, rank, rounds):
     assert len(got) == want.size
     assert max(abs(got[i, j] - want[i, j]) for i, j in got) < 1e-4
     assert max(range(40), key=lambda j: got[0, j]) == 7 or rank == 5
+
+
+def test_kernels_run_once_for_queries_of_the_same_kinds():
+    ran = []
+
+    @G.remembered
+    def kernel(scores):
+        ran.append(scores)
+        return {0: 0}
+
+    slots = [{"slot_name": "TotalBudget", "slot_type": "currency", "words": ["total", "budget"]}]
+    for value in range(50):
+        first = kernel(G.type_scores(slots, [{"raw": str(value), "value": float(value), "kind": "currency"}]))
+        assert first == {0: 0}
+        first[0] = 9  # a caller's change stays its own
+    kernel(G.type_scores(slots, [{"raw": "7", "value": 7.0, "kind": "int"}, {"raw": "8", "value": 8.0, "kind": "percent"}]))
+    assert len(ran) == 2
