@@ -9,11 +9,13 @@ for its upper end.  Shingles are hashed into m = H + 1 segments, so two linked s
 agree in one segment at least.  A document is indexed under its segments in its own
 band, and in the next bands that a set similar to it can belong to.  A segment with
 fewer than ``LEAST`` shingles is costly as a key: many unrelated documents share
-it.  It is left out, and for z such segments left out the first 2 z segments are also
-indexed with their one-deletion neighbourhoods.  If two linked sets agree in left-out
-segments only, z of them, then the other m - z differ in H = m - 1 shingles
-together, so at least m - 2 z + 1 of them differ in exactly one, and at least one of
-those is among the first 2 z.  With z > m / 2 nothing is left out.
+it.  It is left out, and for z such segments left out the one-deletion neighbourhoods of
+z segments with more than ``LEAST`` shingles are indexed too, of the first ones, so no key stands for fewer than
+``LEAST``.  No linked pair is lost: take that of its two sets whose neighbourhoods end
+first, and let z be its number.  Were the pair to share no key, its z left-out segments might agree, its
+others would differ in one shingle at least, and those z with neighbourhoods in two, which makes
+(m - z) + z = m > H.  A set without so many large segments leaves nothing out and has all
+neighbourhoods.
 
 Verification.  Texts with equal sequences of words, told by 128-bit BLAKE2 digests, are one
 class and take part once; every other link is compared on the texts themselves, where
@@ -113,10 +115,13 @@ def keys(s: np.ndarray, plan: Plan, known: dict) -> np.ndarray:
         if not z or m == 1:  # with one segment only equal sets link
             out.append(full)
             continue
-        out.append(full if 2 * z > m else full[~costly])
-        first = min(m, 2 * z)
-        out.append(shingles.mix(total[:first] + name[:first] + U(1)))
-        inside = g < first
+        ample = np.cumsum(count > plan.least)
+        few = ample[-1] < z
+        out.append(full if few else full[~costly])
+        first = m if few else int(np.searchsorted(ample, z)) + 1
+        head = np.flatnonzero(~costly[:first])
+        out.append(shingles.mix(total[head] + name[head] + U(1)))
+        inside = (g < first) & (count[g] > plan.least)
         out.append(shingles.mix(total[g[inside]] - y[inside] + name[g[inside]] + U(1)))
     return np.concatenate(out) if out else np.empty(0, U)
 
@@ -315,11 +320,12 @@ def unmet(told: DataFrame) -> DataFrame:
     return rows.select("key", F.explode(F.array_compact(both)).alias("m")).select("key", "m.*").distinct()
 
 
-def across(members: DataFrame, known: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b) of members of one bucket and of different components that sizes and sketches do not dismiss.
+def doubtful(members: DataFrame, known: DataFrame, plan: Plan) -> DataFrame:
+    """cell, key, x: members of a cell that a pair of one bucket and of different components holds which sizes and sketches do not dismiss.
 
     ``members`` has key, x, c (component), ``known`` doc_id, n, sketch.  A bucket's members are dealt
-    into blocks; a cell holds a pair of blocks.  Sketches are sent once, to the cells.
+    into blocks; a cell holds a pair of blocks.  Sketches are sent once, to the cells.  A cell gives on
+    each member once at most, however many pairs it has.
     """
     size = members.groupBy("key").agg(F.count("*").alias("g")).filter(F.col("g") > BLOCK).select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(size, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -330,11 +336,12 @@ def across(members: DataFrame, known: DataFrame, plan: Plan) -> DataFrame:
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     num, den = plan.num, plan.den
 
-    def pairs(rows):
-        """Arrays (a, b) of the pairs of one cell's rows [own, i, x, c, n, sketch], row by row."""
+    def left(rows):
+        """Members of one cell's rows [own, i, x, c, n, sketch] that are in a pair."""
         words = min(len(r[5]) for r in rows)
         sk = np.stack([fold(r[5], words) for r in rows])
         own, blk, x, c, n = rows[0][0], *(np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
+        kept = np.zeros(len(rows), bool)
         for i in range(len(rows) - 1):
             m = n[i + 1 :]
             ok = (c[i + 1 :] != c[i]) & (np.minimum(m, n[i]) * den >= np.maximum(m, n[i]) * num)
@@ -343,10 +350,12 @@ def across(members: DataFrame, known: DataFrame, plan: Plan) -> DataFrame:
             at = np.flatnonzero(ok) + i + 1
             if len(at):
                 near = at[np.bitwise_count(sk[at] ^ sk[i]).sum(axis=1) <= (n[at] + n[i]) * (den - num) // (den + num)]
-                yield np.minimum(x[near], x[i]), np.maximum(x[near], x[i])
+                kept[near] = True
+                kept[i] |= len(near) > 0
+        return x[kept]
 
     def cells_of(batches):
-        """Rows of one cell after another."""
+        """(cell, key), rows of one cell after another."""
         cell, rows = None, []
         for batch in batches:
             col = batch.column("sketch")
@@ -356,29 +365,124 @@ def across(members: DataFrame, known: DataFrame, plan: Plan) -> DataFrame:
             for at, (h, k, *rest) in enumerate(zip(*columns, strict=True)):
                 if (h, k) != cell:
                     if len(rows) > 1:
-                        yield rows
+                        yield cell, rows
                     cell, rows = (h, k), []
                 rows.append((*rest, flat[ends[at] : ends[at + 1]]))
         if len(rows) > 1:
-            yield rows
+            yield cell, rows
 
     def run(batches):
         held, size = [], 0
 
         def flush():
-            a, b = (np.concatenate([p[k] for p in held] or [np.empty(0, np.int64)]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for rows in cells_of(batches):
-            for both in pairs(rows):
-                held.append(both)
-                size += len(both[0])
-                if size > FLUSH:
+            cell, key, x = (np.concatenate([p[k] for p in held] or [np.empty(0, np.int64)]) for k in range(3))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (cell, key, x)], names=["cell", "key", "x"])
+
+        for (cell, key), rows in cells_of(batches):
+            x = left(rows)
+            held.append((np.full(len(x), cell), np.full(len(x), key), x))
+            size += len(x)
+            if size > FLUSH:
+                yield flush()
+                held, size = [], 0
+        yield flush()
+
+    return dealt.repartition(parts, "cell").sortWithinPartitions("cell", "key").mapInArrow(run, "cell long, key long, x long")
+
+
+#: Bytes of texts on one side of a comparison of a cell's members, and shingles of a product, about.
+SIDE, COLUMNS = 4 << 20, 4096
+
+
+def linked(texts: pa.Array, plan: Plan, width: int) -> np.ndarray:
+    """Matrix of which of some texts link, by exact counts of common shingles: products of the table of texts and shared shingles."""
+    sets = shingles.exact_sets(texts, width)
+    if sets and isinstance(sets[0], frozenset):
+        code: dict = {}
+        sets = [np.array([code.setdefault(s, len(code)) for s in t], U) for t in sets]
+    n = np.array([len(s) for s in sets], np.int64)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    column = (np.cumsum(times > 1) - 1)[at[shared]]
+    row = np.repeat(np.arange(len(sets)), n)[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, (start, start + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS))
+        part[row[i:j], column[i:j] - start] = 1
+        both += part @ part.T
+    return (both > 0) & (both * plan.den >= plan.num * (n[:, None] + n[None, :] - both))
+
+
+def forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i < j) that join the same rows as all of ``links`` do, one for each time two groups of rows meet."""
+    root, out = np.arange(len(links)), []
+    for j in range(1, len(links)):
+        near = np.flatnonzero(links[j, :j])
+        if len(near):
+            roots, at = np.unique(root[near], return_index=True)
+            out += [(i, j) for i in near[at].tolist()]
+            root[j] = roots[0]
+            root[np.isin(root, roots)] = roots[0]
+    return out
+
+
+def across(members: DataFrame, known: DataFrame, docs: DataFrame, plan: Plan, width: int = WIDTH) -> DataFrame:
+    """Links (a, b) that join all members of one bucket and of different components that link.
+
+    Members that sketches leave in doubt are compared on their texts in their cell, so a pair is never a row:
+    of a cell's links those of a forest leave the task, fewer than its members.  Cells of the same members are one.
+    """
+    hot = doubtful(members, known, plan)
+    same = hot.groupBy("cell", "key").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("xs").distinct()
+    cells = store.table(same.withColumn("cell", F.monotonically_increasing_id()), "op5-cells")
+    placed = cells.select("cell", F.explode("xs").alias("doc_id"))
+    texts = store.table(docs.select("doc_id", "text").filter("doc_id is not null").join(placed.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "op5-texts")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+    def compared(ids: pa.Array, texts: pa.Array):
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        side = (np.cumsum(size) - size) // SIDE
+        ends = [*np.flatnonzero(np.diff(side, prepend=-1)).tolist(), len(side)]
+        blocks = list(zip(ends, ends[1:], strict=False))
+        for p, (i, j) in enumerate(blocks):
+            for k, m in blocks[p + 1 :] or ([(j, j)] if p == 0 else []):
+                one = pa.concat_arrays([texts.slice(i, j - i), texts.slice(k, m - k)])
+                x = pa.concat_arrays([ids.slice(i, j - i), ids.slice(k, m - k)]).to_numpy()
+                with np.errstate(over="ignore"):
+                    found = forest(linked(one, plan, width))
+                for a, b in found:
+                    if x[a] != x[b]:
+                        yield min(x[a], x[b]), max(x[a], x[b])
+
+    def run(batches):
+        cell, ids, texts = None, [], []
+
+        def flush():
+            found = list(compared(pa.concat_arrays(ids), pc.fill_null(pa.concat_arrays(texts), ""))) if ids else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            at = batch.column("cell").to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for i, j in zip(starts, starts[1:], strict=False):
+                if i == j:
+                    continue
+                if at[i] != cell:
                     yield flush()
-                    held, size = [], 0
+                    cell, ids, texts = at[i], [], []
+                ids.append(batch.column("doc_id").slice(i, j - i))
+                texts.append(batch.column("text").slice(i, j - i))
         yield flush()
+        store.trim()
 
-    return dealt.repartition(parts, "cell").sortWithinPartitions("cell", "key").mapInArrow(run, "a long, b long").distinct()
+    sent = placed.join(texts, "doc_id").repartition(parts, "cell").sortWithinPartitions("cell").select("cell", "doc_id", "text")
+    out = store.table(sent.mapInArrow(run, "a long, b long").distinct(), "op5-links")
+    store.drop(cells)
+    store.drop(texts)
+    return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame, plan: Plan, width: int = WIDTH) -> DataFrame:
@@ -456,10 +560,8 @@ def links(docs: DataFrame, *, width: int = WIDTH, num: int = NUM, den: int = DEN
     # buckets that still hold several components: members across them that have not met are compared
     told = store.table(component(component(met, "a", "ca"), "b", "cb"), "op5-told")
     store.drop(met)
-    pairs = store.table(across(unmet(told), known, plan), "op5-across")
+    late = across(unmet(told), known, docs, plan, width)
     store.drop(told)
-    late = verified(pairs, docs, plan, width)
-    store.drop(pairs)
     if not late.isEmpty():
         before, comp = comp, store.table(components(same.unionByName(late)), "op5-components")
         store.drop(before)

@@ -670,3 +670,51 @@ def test_jaccard_only_unmet_members_meet(spark):
     told = [(1, 0, 5, 0, 5), (2, 0, 6, 0, 6), (2, 0, 7, 0, 7), (3, 0, 6, 0, 6), (3, 6, 8, 6, 8), (4, 0, 1, 0, 0), (4, 0, 2, 0, 0), (5, 0, 6, 0, 6), (5, 0, 9, 0, 6)]
     got = sorted(map(tuple, op5_jaccard.unmet(spark.createDataFrame(told, "key long, a long, b long, ca long, cb long")).collect()))
     assert got == [(2, 6, 6), (2, 7, 7), (3, 0, 0), (3, 6, 6), (3, 8, 8)]
+
+
+def test_join_group_across_components_gives_no_row_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(op5_jaccard, "SIDE", 3000)
+    monkeypatch.setattr(op5_jaccard, "COLUMNS", 7)
+    random.seed(11)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(60):  # nearly all members differ from each other too much, and sketches do not tell
+        t = list(base)
+        for k in range(random.choice((1, 2, 2))):
+            t[random.randrange(60)] = f"e{i % 50}{k}"
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan, want = op5_jaccard.Plan(), op5_jaccard.brute_force(rows)
+    known = op5_jaccard.signed(docs)
+    members = docs.selectExpr("7L as key", "doc_id as x", "doc_id as c")
+    assert op5_jaccard.doubtful(members, known, plan).count() <= len(rows)
+    got = [tuple(r) for r in op5_jaccard.across(members, known, docs, plan).collect()]
+    sets = {d: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for d, w in ((d, t.split()) for d, t in rows)}
+    assert all(10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b]) for a, b in got)
+    by = {d: d for d, _ in rows}
+    for _ in rows:
+        for a, b in got:
+            by[a] = by[b] = min(by[a], by[b])
+    assert by == {d: c for d, _, c in want} and len(set(by.values())) < len(rows)
+
+
+@pytest.mark.parametrize("num,den,width", [(4, 5, 5), (9, 10, 3)])
+def test_join_keys_hold_no_few_shingles_and_lose_no_link(num, den, width):
+    plan = op5_jaccard.Plan(num, den)
+    random.seed(7)
+    with np.errstate(over="ignore"):
+        for n in (1, 4, 5, 9, 12, 20, 33, 47, 60, 100, 230):
+            for _ in range(120):
+                s = {random.getrandbits(64) for _ in range(n)}
+                t = set(s)
+                while True:
+                    u = set(t)
+                    u.discard(random.choice(sorted(u))) if random.random() < 0.5 else u.add(random.getrandbits(64))
+                    if not u or len(s & u) * den < num * len(s | u):
+                        break
+                    t = u
+                a, b = (set(op5_jaccard.keys(np.array(sorted(x), np.uint64), plan, {}).tolist()) for x in (s, t))
+                assert a & b
+        # documents of 400 shingles with nothing in common share no key
+        x, y = (op5_jaccard.keys(np.array(sorted(random.getrandbits(64) for _ in range(400)), np.uint64), plan, {}).tolist() for _ in range(2))
+        assert not set(x) & set(y)
