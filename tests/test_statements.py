@@ -391,3 +391,20 @@ def test_simple_assignments_as_rows_equal_their_kernels(spark):
     plain = lambda x: sorted((tuple(r) for r in x.collect()), key=repr)
     nan = lambda rows: [(a, b, None if c is not None and c != c else c) for a, b, c in rows]
     assert nan(plain(G.by_rank(df))) == nan(want["untyped"]) and nan(plain(G.by_type(df, 4))) == nan(want["typed"])
+
+
+def test_cues_are_looked_for_once_for_texts_that_differ_in_digits(spark, monkeypatch):
+    from gleaner.functions import roles
+
+    made, whole = [], roles.saved
+    monkeypatch.setattr(roles, "saved", lambda df, name: made.append(whole(df, name)) or made[-1])
+    texts = [(1, "At least 12 units of 5% at $3.50, and each needs 1,200 hours."), (2, "At least 7 units of 90% at $11.25, and each needs 3,4 hours."), (3, "no mention here"), (4, None), (5, "HALF of them; twenty-one more")]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    got = {(r.id, r.mention_id): r for r in roles.role_mentions(rows, "text", ["id"], counts=False).collect()}
+    assert len(made) == 1 and made[0].select("__shape").distinct().count() == 2
+    assert [got[1, k].value for k in range(4)] == [12.0, 0.05, 3.5, 1200.0] and [got[2, k].value for k in range(4)] == [7.0, 0.9, 11.25, 34.0]
+    assert not {i for i, _ in got} & {3, 4} and got[5, 0].value == 0.5 and got[5, 1].value == 21.0
+    # a text on its own, where its shape is itself, has the same mentions
+    for r in roles.role_mentions(rows.filter("id <= 2"), "text", ["id"], counts=True).collect():
+        if r.position is not None:
+            assert r == got[r.id, r.mention_id]
