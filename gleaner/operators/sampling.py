@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,21 +73,28 @@ def rule_score(cue: str | None = None):
     return 2.0 * F.col("feat_type_match") + 1.5 * c + 0.5 * F.col("feat_overlap") - F.when(c == -1, 3.0).otherwise(0.0)
 
 
-def best_per_slot(scored: DataFrame, by: list[str], mention: str) -> DataFrame:
-    """The best-scored mention of each slot, ties by mention."""
-    w = Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), mention)
-    return scored.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+def best_per_slot(groups: DataFrame, kinds: DataFrame, slot: str, mention: Callable[[Column], Column]) -> DataFrame:
+    """``groups`` and, for every slot, the columns of its best-scored kind and mention_id, ties by mention_id.
+
+    ``kinds``: slot, score and more for every slot with every kind of mention, a small table.  Mentions of one kind score
+    alike, so the one of the least id stands for them: ``mention`` makes its id of the kind and the group's columns.  No
+    row moves, and pairs are never rows.
+    """
+    packed = kinds.groupBy(slot).agg(F.collect_list(F.struct(*kinds.columns)).alias("__k"))
+    best = F.array_min(F.transform("__k", lambda k: F.struct((-F.round(k["score"], 9)).alias("o"), mention(k).alias("mention_id"), k.alias("k"))))
+    x = groups.crossJoin(F.broadcast(packed)).select(*groups.columns, best.alias("__b"))  # a row a slot
+    return x.select(*groups.columns, "__b.mention_id", "__b.k.*")
 
 
-def pair_quality(rows: DataFrame, group: str, label: str) -> DataFrame:
-    """One row: rows, label balance, groups without a positive or with several, duplicate rows."""
-    g = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(label).alias("pos"), (F.count("*") - F.count_distinct("mention_id")).alias("dup"))
-    return g.agg(F.sum("n").alias("n_rows"), F.sum("pos").alias("n_positive"), F.count("*").alias("n_groups"), F.count_if(F.col("pos") == 0).alias("groups_without"), F.count_if(F.col("pos") > 1).alias("groups_with_several"), F.sum("dup").alias("n_duplicates"))
+def pair_quality(groups: DataFrame) -> DataFrame:
+    """One row: rows, label balance, groups without a positive or with several, duplicate rows; ``groups``: n, pos, dup of each."""
+    return groups.agg(F.sum("n").alias("n_rows"), F.sum("pos").alias("n_positive"), F.count("*").alias("n_groups"), F.count_if(F.col("pos") == 0).alias("groups_without"), F.count_if(F.col("pos") > 1).alias("groups_with_several"), F.sum("dup").alias("n_duplicates"))
 
 
-def feature_separation(rows: DataFrame, features: list[str], label: str) -> DataFrame:
-    """feature, mean over positives and negatives, and their difference."""
+def feature_separation(rows: DataFrame, features: list[str], label: str, n: str) -> DataFrame:
+    """feature, mean over positives and negatives, and their difference; ``n``: how many rows a row stands for."""
     packed = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])
-    x = rows.select(F.col(label).alias("y"), F.explode(packed).alias("x"))
-    g = x.groupBy("x.feature").agg(F.avg(F.when(F.col("y") == 1, F.col("x.v"))).alias("mean_pos"), F.avg(F.when(F.col("y") == 0, F.col("x.v"))).alias("mean_neg"))
+    x = rows.select(F.col(label).alias("y"), F.col(n).alias("n"), F.explode(packed).alias("x"))
+    mean = lambda y: F.sum(F.when(F.col("y") == y, F.col("x.v") * F.col("n"))) / F.sum(F.when((F.col("y") == y) & F.col("x.v").isNotNull(), F.col("n")))
+    g = x.groupBy("x.feature").agg(mean(1).alias("mean_pos"), mean(0).alias("mean_neg"))
     return g.withColumn("separation", F.col("mean_pos") - F.col("mean_neg"))

@@ -167,3 +167,23 @@ def test_kernels_run_once_for_queries_of_the_same_kinds():
         first[0] = 9  # a caller's change stays its own
     kernel(G.type_scores(slots, [{"raw": "7", "value": 7.0, "kind": "int"}, {"raw": "8", "value": 8.0, "kind": "percent"}]))
     assert len(ran) == 2
+
+
+@pytest.mark.parametrize("name", ["mention_slot_features", "rule_argmax", "ranker_eval", "pair_quality", "feature_separation"])
+def test_pairs_are_made_where_their_order_lies(spark, folder, name):
+    """Orders are never broadcast, and one exchange of two numbers a line is all that moves before rows are added up."""
+    x = plans.queries()[name](spark, folder)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Window" not in plan
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(o_orderkey" in line and "mention_id" in line]
+
+
+def test_best_line_is_least_as_text(spark, tmp_path):
+    """Ids tie as text, so p10 is before p2; a repeated order and a repeated line count as often as they stand."""
+    lines = [(1, 2, 1, 1.0, 1.0, 0.0), (1, 10, 1, 1.0, 1.0, 0.0), (1, 10, 1, 1.0, 1.0, 0.0), (2, 21, 1, 1.0, 1.0, 0.0), (3, 1, 1, 1.0, 1.0, 0.0)]
+    spark.createDataFrame(lines, LINE).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,), (2,), (2,), (4,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.slot_name, r.mention_id): (r.n, r.n_right) for r in run(spark, str(tmp_path), "rule_argmax")}
+    assert got == {(s, f"{m}{k}"): (1, right) for s, m in (("UnitPrice", "p"), ("TotalQuantity", "q"), ("DiscountRate", "d")) for k, right in ((10, 0), (21, 1))}
+    (r,) = run(spark, str(tmp_path), "pair_quality")
+    assert (r.n_rows, r.n_positive, r.n_groups, r.groups_without, r.groups_with_several, r.n_duplicates) == (45, 6, 6, 3, 3, 18)
