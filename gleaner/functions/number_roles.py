@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import parts, saved
 from . import mentions as M
 
 # Cues, in order, each looked for as a part of the window's text.
@@ -57,50 +58,71 @@ def ranged(text: Column) -> Column:
     return F.concat(*ends)
 
 
-def number_roles(queries: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` and one row per number: mention_id, surface, value, position and its cues.
+def _tokens(lowered: Column) -> Column:
+    return F.filter(F.split(lowered, r"\s+"), lambda x: x != "")
 
-    Columns: operator_cues, target_cues, constraint_cues, quantity_words (no stop words or numbers), nouns (distinct, within
-    four tokens), bound_role, direction, range_partner, direction_sensitive, relevance.  A null text has no numbers.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
-    tokens = F.filter(F.split(F.lower(t), r"\s+"), lambda x: x != "")
-    names = [f"`{k}`" for k in keep]
+
+def _cued(shapes: DataFrame) -> DataFrame:
+    """__key (digest of the shape), mention_id, position and all that does not depend on which digits the text has; ``near`` and ``close`` are positions of words."""
     written = M._table(WRITTEN)
 
     def found(tok):
         def at(words):
-            value = lambda w: F.when(w.rlike(NUMBER), F.regexp_replace(w, ",", "").cast("double")).otherwise(F.try_element_at(written, w))
-            around = lambda xs, i, n: F.slice(xs, F.greatest(i - n, F.lit(0)) + 1, F.least(i, F.lit(n)) + n + 1)
-            own = F.transform(words, lambda w, i: F.struct(value(w).alias("value"), w.alias("surface"), i.alias("position")))
-            left = lambda i: F.slice(words, F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH)))
-            return F.transform(
-                F.filter(own, lambda m: m["value"].isNotNull()),
-                lambda m: F.struct(
-                    m["surface"].alias("surface"), m["value"].alias("value"), m["position"].alias("position"), F.array_join(around(tok, m["position"], REACH), " ").alias("window"),
-                    F.concat(left(m["position"]), F.slice(words, m["position"] + 2, F.lit(REACH))).alias("near"), around(words, m["position"], NOUNS).alias("close"),
-                ),
-            )
+            value = lambda w, i: F.struct(w.rlike(NUMBER).alias("digits"), F.try_element_at(written, w).alias("written"), (~w.isin(*STOP)).alias("named"), i.alias("position"))
+
+            def mentions(own):
+                def spot(m, n, itself):
+                    i = m["position"]
+                    around = F.slice(own, F.greatest(i - n, F.lit(0)) + 1, F.least(i, F.lit(n)) + n + 1)
+                    return F.transform(F.filter(around, lambda y: y["named"] & ~y["digits"] & (F.lit(itself) | (y["position"] != i))), lambda y: y["position"])
+
+                return F.transform(
+                    F.filter(own, lambda m: m["digits"] | m["written"].isNotNull()),
+                    lambda m: F.struct(
+                        m["position"].alias("position"), m["digits"].alias("digits"), m["written"].alias("written"), spot(m, REACH, False).alias("near"), spot(m, NOUNS, True).alias("close"),
+                        F.array_join(F.slice(tok, F.greatest(m["position"] - REACH, F.lit(0)) + 1, F.least(m["position"], F.lit(REACH)) + REACH + 1), " ").alias("window"),
+                    ),
+                )
+
+            return M.let(F.transform(words, value), mentions)
 
         return M.let(F.transform(tok, trimmed), at)
 
-    x = queries.select(*names, ranged(t).alias("__r"), M.let(tokens, found).alias("__m")).select(*names, "__r", F.posexplode("__m").alias("mention_id", "m"))
-    x = x.select(*names, "mention_id", "m.*", F.array_contains("__r", F.col("m.value")).alias("range_partner"))
+    x = shapes.select("__shape", F.posexplode(M.let(_tokens(F.col("__shape")), found)).alias("mention_id", "m")).select("__shape", "mention_id", "m.*")
     w = F.col("window")
     x = x.select("*", *[_cues(w, c).alias(f"__{k}") for k, c in CUES.items()], _cues(w, TARGET).alias("target_cues"), _cues(w, CONSTRAINT).alias("constraint_cues"))
     any_of = lambda parts: F.size(_cues(w, parts)) > 0
     has = lambda c: F.size(c) > 0
-    word = lambda n: lambda y: ~y.isin(*STOP) & ~y.rlike(NUMBER) & (F.length(y) >= n)
     x = x.withColumn("bound_role", F.when(any_of(LOWER), "lower").when(any_of(UPPER), "upper").otherwise("none"))
     towards = lambda words: F.arrays_overlap("target_cues", F.array(*[F.lit(c) for c in words]))
     direction = F.when(has("target_cues"), F.when(towards(UPWARD), "max_like").when(towards(DOWNWARD), "min_like").otherwise("none")).when(has("__rate"), "rate_like").otherwise("none")
-    v = F.col("value")
-    relevance = (
-        F.when(has("target_cues") | has("constraint_cues") | has("__rate"), "role_required").when(v.between(*YEARS) | (v >= HUGE), "role_irrelevant")
-        .when(has("__addition") | has("__subtraction"), "role_optional").otherwise("role_unknown")
+    return x.select(
+        F.md5("__shape").alias("__key"), "mention_id", "position", "digits", "written", "near", "close", F.concat(*[f"__{k}" for k in CUES]).alias("operator_cues"), "target_cues", "constraint_cues", "bound_role",
+        direction.alias("direction"), ((F.col("bound_role") != "none") & has("target_cues")).alias("direction_sensitive"),
+        (has("target_cues") | has("constraint_cues") | has("__rate")).alias("required"), (has("__addition") | has("__subtraction")).alias("optional"),
     )
+
+
+def number_roles(queries: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` and one row per number: mention_id, surface, value, position and its cues.
+
+    Columns: operator_cues, target_cues, constraint_cues, quantity_words (no stop words or numbers), nouns (distinct, within
+    four tokens), bound_role, direction, range_partner, direction_sensitive, relevance.  A null text has no numbers.
+
+    No cue or stop word has a digit, so cues are looked for once in each shape, a text with its runs of digits masked; the
+    shapes' cues are written as a table under 128-bit digests, and only values and words are read in every row.
+    """
+    names = [f"`{k}`" for k in keep]
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    rows = queries.select(*names, lowered.alias("__t"), F.regexp_replace(lowered, "[0-9]+", "0").alias("__shape"))
+    cued = saved(_cued(rows.select("__shape").distinct().repartition(parts(queries.sparkSession), F.xxhash64("__shape"))), "number-cues")
+    x = rows.select(*names, F.md5("__shape").alias("__key"), ranged(F.col("__t")).alias("__r"), F.transform(_tokens(F.col("__t")), trimmed).alias("__w")).join(cued, "__key")
+    own = F.get("__w", F.col("position"))
+    x = x.withColumn("surface", own).withColumn("value", F.when(F.col("digits"), F.regexp_replace(own, ",", "").cast("double")).otherwise(F.col("written")))
+    read = lambda c, n: F.filter(F.transform(c, lambda p: F.get("__w", p)), lambda y: F.length(y) >= n)
+    v = F.col("value")
+    relevance = F.when(F.col("required"), "role_required").when(v.between(*YEARS) | (v >= HUGE), "role_irrelevant").when(F.col("optional"), "role_optional").otherwise("role_unknown")
     return x.select(
-        *names, "mention_id", "surface", "value", "position", F.concat(*[f"__{k}" for k in CUES]).alias("operator_cues"), "target_cues", "constraint_cues",
-        F.filter("near", word(2)).alias("quantity_words"), F.array_sort(F.array_distinct(F.filter("close", word(3)))).alias("nouns"),
-        "bound_role", direction.alias("direction"), "range_partner", ((F.col("bound_role") != "none") & has("target_cues")).alias("direction_sensitive"), relevance.alias("relevance"),
+        *names, "mention_id", "surface", "value", "position", "operator_cues", "target_cues", "constraint_cues", read("near", 2).alias("quantity_words"), F.sort_array(F.array_distinct(read("close", 3))).alias("nouns"),
+        "bound_role", "direction", F.array_contains("__r", v).alias("range_partner"), "direction_sensitive", relevance.alias("relevance"),
     )

@@ -44,13 +44,22 @@ def family_ids(positions: list[int], bounds: list[str], nouns: list[set], words:
 def quantity_families(numbers: DataFrame, by: str) -> DataFrame:
     """by, mention_id, family of every number; ``numbers`` has by, mention_id, position, bound_role, nouns, quantity_words.
 
-    A task holds the numbers of one text at a time.
+    The numbers of one text are one row; a task takes such rows by batches.
     """
     schema = numbers.select(by, "mention_id").schema.add("family", "integer")
+    own = F.struct("position", "mention_id", "bound_role", "nouns", "quantity_words")
+    texts = numbers.groupBy(by).agg(F.sort_array(F.collect_list(own)).alias("x"))
 
-    def run(group: pa.Table) -> pa.Table:
-        g = group.sort_by("position")
-        ids = family_ids(g["position"].to_pylist(), g["bound_role"].to_pylist(), [set(x) for x in g["nouns"].to_pylist()], [set(x) for x in g["quantity_words"].to_pylist()])
-        return pa.table([g[by], g["mention_id"], pa.array(ids, pa.int32())], names=schema.names)
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("x")
+            ends, flat = lists.offsets.to_pylist(), lists.values
+            at, mention, bound, nouns, words = (flat.field(k).to_pylist() for k in ("position", "mention_id", "bound_role", "nouns", "quantity_words"))
+            nouns, words, ids, found = [set(n) for n in nouns], [set(w) for w in words], [], []
+            for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+                ids += family_ids(at[a:b], bound[a:b], nouns[a:b], words[a:b])
+                found += [i] * (b - a)
+            some = slice(ends[0], ends[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(by).take(pa.array(found, pa.int32())), pa.array(mention[some], pa.int32()), pa.array(ids, pa.int32())], names=schema.names)
 
-    return numbers.select(by, "mention_id", "position", "bound_role", "nouns", "quantity_words").groupBy(by).applyInArrow(run, schema)
+    return texts.mapInArrow(run, schema)

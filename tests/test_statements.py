@@ -408,3 +408,28 @@ def test_cues_are_looked_for_once_for_texts_that_differ_in_digits(spark, monkeyp
     for r in roles.role_mentions(rows.filter("id <= 2"), "text", ["id"], counts=True).collect():
         if r.position is not None:
             assert r == got[r.id, r.mention_id]
+
+
+def test_numbers_share_cues_where_only_digits_differ(spark, monkeypatch):
+    """Cues are looked for once in each shape; lengths of words, values, years and ranges are each text's own."""
+    kept, save = [], NR.saved
+    monkeypatch.setattr(NR, "saved", lambda df, name: kept.append(save(df, name)) or kept[-1])
+    texts = ["Pay $5 between 5 and 9 cost x1", "Pay $45 between 50 and 1990 cost x22", "PAY $45 between 50 and 90 cost x22", ""]
+    rows = NR.number_roles(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "text", ["id"]).collect()
+    got = {(r.id, r.mention_id): (r.surface, r.value, r.position, r.range_partner, r.quantity_words, r.nouns, r.relevance) for r in rows}
+    assert kept[0].select("__key").distinct().count() == 1  # the empty text has no number
+    assert got[0, 0] == ("5", 5.0, 3, True, ["pay", "$5", "between", "cost", "x1"], ["between", "cost", "pay"], "role_required")
+    assert got[1, 1] == ("1990", 1990.0, 5, True, ["pay", "$45", "between", "cost", "x22"], ["$45", "between", "cost", "x22"], "role_required")
+    assert got[2, 1][:2] == ("90", 90.0) and len(got) == 6
+
+
+def test_families_take_texts_by_batches(spark):
+    """No task is called once for each text; texts of one batch keep apart, a null id is a text too."""
+    df = NR.number_roles(spark.createDataFrame([(k, "at least 3 red cars, at most 9 red cars and 4 blue boats") for k in [*range(40), None]], "id long, text string"), "text", ["id"])
+    x = FA.quantity_families(df, "id")
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+    by = {}
+    for r in x.collect():
+        by.setdefault(r.id, {})[r.mention_id] = r.family
+    assert len(by) == 41 and len({tuple(sorted(v.items())) for v in by.values()}) == 1 and by[None][0] == by[None][1] == 0
