@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -200,3 +201,20 @@ def test_typed_greedy_is_a_fold_in_the_row(spark, folder):
     df = spark.createDataFrame(rows, "query_id long, slots array<struct<slot_name:string,slot_type:string>>, mentions array<struct<raw:string,value:double,kind:string>>")
     want = [(k, s[i]["slot_name"], m[j]["value"]) for k, s, m in rows for i, j in G.typed_greedy(s, m).items()]
     assert sorted((tuple(r) for r in G.by_type(df).collect()), key=str) == sorted(want, key=str)
+
+
+def test_rows_of_the_subspace_move_as_bytes(spark, monkeypatch):
+    """Every iteration moves the subspace; numbers of arrays are turned over one by one, bytes are copied."""
+    kinds, plain = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema, *a, **b: kinds.append(schema) or plain(self, f, schema, *a, **b))
+    texts = spark.createDataFrame([(i, f"red fox number{i} ran home") for i in range(6)], "doc_id long, text string")
+    got = retrieval.lsa(texts, texts.limit(2).toDF("query_id", "query"), k=1, rank=3, blocks=50, rounds=1).collect()
+    assert sorted(r.query_id for r in got) == [0, 1] and all(r.score > 0 for r in got)
+    assert sum("q binary" in k or "y binary" in k for k in kinds) > 3 and not any("q array" in k or "y array" in k for k in kinds)
+
+
+def test_norms_are_worked_out_once_a_vector(spark):
+    """A norm inside the lambda over components would be work with the square of the length."""
+    v = spark.createDataFrame([(i, [1.0, float(i), 2.0]) for i in range(5)], "vec_id long, embedding array<double>")
+    plan = retrieval.dense(v, v.toDF("query_id", "embedding"), k=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and not re.search(r"/ SQRT\(", plan, re.IGNORECASE)
