@@ -150,3 +150,15 @@ def test_block_products_equal_all_pairs(spark):
     for block in (1000, 13):
         assert sorted((r["query_id"], r["doc_id"], r["rank"]) for r in R.dense(v, q, k=4, block=block).collect()) == sorted(want)
     assert R.dense(v.limit(0), q, k=4).collect() == [] == R.dense(v, q, k=0).collect()
+
+
+def test_small_problems_stay_in_their_rows(problems, tables, monkeypatch):
+    """Keywords, ties, labels, pairs and clusters are written for problems of more than ``most`` rows only, and give the same."""
+    names, keep = [], P.saved
+    monkeypatch.setattr(P, "saved", lambda df, name: names.append(name) or keep(df, name))
+    row = lambda df: {tuple(r) for r in df.collect()}
+    sets, tree = row(P.independent_sets(*tables, "id")), row(P.tree(*tables, "id"))
+    assert set(names) == {"large", "nodes"}
+    assert row(P.independent_sets(*tables, "id", most=4)) == sets and "labels" in names
+    assert row(P.tree(*tables, "id", most=4)) == tree and "linkage" in names
+    assert {len(x) > 4 for x, _ in problems.values()} == {True, False}
