@@ -179,6 +179,24 @@ def test_pairs_are_made_where_their_order_lies(spark, folder, name):
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(o_orderkey" in line and "mention_id" in line]
 
 
+@pytest.fixture(scope="module")
+def parallel(spark, tmp_path_factory):
+    """Lines with a supplier, as the statements read them."""
+    d = str(tmp_path_factory.mktemp("parallel"))
+    spark.createDataFrame([(*x, x[2] % 4) for x in LINES], f"{LINE}, l_suppkey long").write.parquet(f"{d}/lineitem.parquet")
+    return d
+
+
+def _sent(df):
+    return [line.strip() for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+
+
+@pytest.mark.parametrize("name", ["mention_clauses", "clause_alignment"])
+def test_words_of_clauses_are_not_sent_out(spark, parallel, name):
+    """Clauses, their words and the table of cues grow with the lines; their files are small beside their rows."""
+    assert _sent(plans.queries()[name](spark, parallel)) == []
+
+
 def test_best_line_is_least_as_text(spark, tmp_path):
     """Ids tie as text, so p10 is before p2; a repeated order and a repeated line count as often as they stand."""
     lines = [(1, 2, 1, 1.0, 1.0, 0.0), (1, 10, 1, 1.0, 1.0, 0.0), (1, 10, 1, 1.0, 1.0, 0.0), (2, 21, 1, 1.0, 1.0, 0.0), (3, 1, 1, 1.0, 1.0, 0.0)]
