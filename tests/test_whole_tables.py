@@ -10,8 +10,10 @@ import numpy as np
 import pytest
 
 from gleaner import plans
+from gleaner.functions import roles as R
 from gleaner.operators import assign as G
 from gleaner.operators import retrieval
+from gleaner.plans import roles, searches
 
 #: Order 1 has more than two lines, order 2 none of the first two, order 3 a repeated line number.
 LINES = [(1, n, 10 * n, 100.0 * n + 1, float(7 * n), n / 100) for n in range(1, 8)] + [(2, 4, 5, 50.0, 8.0, 0.04), (2, 6, 6, 60.0, 3.0, 0.06)] + [(3, 1, 1, 20.0, 2.0, 0.02), (3, 1, 2, 30.0, 60.0, 0.03)]
@@ -197,6 +199,21 @@ def test_words_of_clauses_are_not_sent_out(spark, parallel, name):
     assert _sent(plans.queries()[name](spark, parallel)) == []
 
 
+@pytest.mark.parametrize("part", [roles, searches])
+def test_slots_are_constants_beside_mentions(spark, parallel, part):
+    """No statement's id and slots are made as rows and sent out: the few slots are, and all mentions meet all of them."""
+    x = part._scored(spark, parallel)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert _sent(x) == [] and plan.count("BroadcastExchange") == 1
+    mentions = len(R.role_mentions(roles.statements(spark, parallel), "text", ["id"], counts=False).select("id", "mention_id").collect())
+    rows = [(r.id, r.mention_id, r.slot_name) for r in x.select("id", "mention_id", "slot_name").collect()]
+    assert len(rows) == len(set(rows)) == mentions * len(part.COMPATIBLE_SLOTS if part is roles else part.SLOTS)
+
+
+def test_states_of_the_beam_are_not_sent_out(spark, parallel):
+    assert _sent(plans.queries()["pairwise_beam"](spark, parallel)) == []
+
+
 def test_best_line_is_least_as_text(spark, tmp_path):
     """Ids tie as text, so p10 is before p2; a repeated order and a repeated line count as often as they stand."""
     lines = [(1, 2, 1, 1.0, 1.0, 0.0), (1, 10, 1, 1.0, 1.0, 0.0), (1, 10, 1, 1.0, 1.0, 0.0), (2, 21, 1, 1.0, 1.0, 0.0), (3, 1, 1, 1.0, 1.0, 0.0)]
