@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import parts, saved
+from ..session import parts, saved, unsent
 from . import mentions as M
 
 # Cues, in order, each looked for as a part of the window's text.
@@ -103,7 +103,7 @@ def _cued(shapes: DataFrame) -> DataFrame:
     )
 
 
-def number_roles(queries: DataFrame, text: str, keep: list[str]) -> DataFrame:
+def number_roles(queries: DataFrame, text: str, keep: list[str], shape: str | None = None) -> DataFrame:
     """``keep`` and one row per number: mention_id, surface, value, position and its cues.
 
     Columns: operator_cues, target_cues, constraint_cues, quantity_words (no stop words or numbers), nouns (distinct, within
@@ -111,12 +111,15 @@ def number_roles(queries: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
     No cue or stop word has a digit, so cues are looked for once in each shape, a text with its runs of digits masked; the
     shapes' cues are written as a table under 128-bit digests, and only values and words are read in every row.
+    ``shape``: the name of one more column, that digest, by which the rows are dealt.
     """
     names = [f"`{k}`" for k in keep]
     lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
     rows = queries.select(*names, lowered.alias("__t"), F.regexp_replace(lowered, "[0-9]+", "0").alias("__shape"))
     cued = saved(_cued(rows.select("__shape").distinct().repartition(parts(queries.sparkSession), F.xxhash64("__shape"))), "number-cues")
-    x = rows.select(*names, F.md5("__shape").alias("__key"), ranged(F.col("__t")).alias("__r"), F.transform(_tokens(F.col("__t")), trimmed).alias("__w")).join(cued, "__key")
+    # a text moves as it is, and is cut where it lies then
+    x = rows.select(*names, F.md5("__shape").alias("__key"), "__t").repartition(parts(queries.sparkSession), "__key")
+    x = x.select(*names, "__key", ranged(F.col("__t")).alias("__r"), F.transform(_tokens(F.col("__t")), trimmed).alias("__w")).join(unsent(cued), "__key")
     own = F.get("__w", F.col("position"))
     x = x.withColumn("surface", own).withColumn("value", F.when(F.col("digits"), F.regexp_replace(own, ",", "").cast("double")).otherwise(F.col("written")))
     read = lambda c, n: F.filter(F.transform(c, lambda p: F.get("__w", p)), lambda y: F.length(y) >= n)
@@ -124,5 +127,5 @@ def number_roles(queries: DataFrame, text: str, keep: list[str]) -> DataFrame:
     relevance = F.when(F.col("required"), "role_required").when(v.between(*YEARS) | (v >= HUGE), "role_irrelevant").when(F.col("optional"), "role_optional").otherwise("role_unknown")
     return x.select(
         *names, "mention_id", "surface", "value", "position", "operator_cues", "target_cues", "constraint_cues", read("near", 2).alias("quantity_words"), F.sort_array(F.array_distinct(read("close", 3))).alias("nouns"),
-        "bound_role", "direction", F.array_contains("__r", v).alias("range_partner"), "direction_sensitive", relevance.alias("relevance"),
+        "bound_role", "direction", F.array_contains("__r", v).alias("range_partner"), "direction_sensitive", relevance.alias("relevance"), *([F.col("__key").alias(shape)] if shape else []),
     )

@@ -41,14 +41,15 @@ def family_ids(positions: list[int], bounds: list[str], nouns: list[set], words:
     return [of.get(k) for k in range(len(positions))]
 
 
-def quantity_families(numbers: DataFrame, by: str) -> DataFrame:
+def quantity_families(numbers: DataFrame, by: str, shape: str | None = None) -> DataFrame:
     """by, mention_id, family of every number; ``numbers`` has by, mention_id, position, bound_role, nouns, quantity_words.
 
-    The numbers of one text are one row; a task takes such rows by batches.
+    The numbers of one text are one row; a task takes such rows by batches.  ``shape``: a column that is the same in all
+    numbers of a text, by which they are dealt already, so that they do not move again.
     """
     schema = numbers.select(by, "mention_id").schema.add("family", "integer")
     own = F.struct("position", "mention_id", "bound_role", "nouns", "quantity_words")
-    texts = numbers.groupBy(by).agg(F.sort_array(F.collect_list(own)).alias("x"))
+    texts = numbers.groupBy(by, *([shape] if shape else [])).agg(F.sort_array(F.collect_list(own)).alias("x"))
 
     def run(batches):
         for batch in batches:

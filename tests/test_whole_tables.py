@@ -214,6 +214,12 @@ def test_states_of_the_beam_are_not_sent_out(spark, parallel):
     assert _sent(plans.queries()["pairwise_beam"](spark, parallel)) == []
 
 
+def test_numbers_of_a_text_do_not_move_again(spark, parallel):
+    """Only lines, texts and the table of cues move: no exchange has a number's words, and a text is cut behind its own."""
+    plan = plans.queries()["quantity_families"](spark, parallel)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 3 and "BroadcastExchange" not in plan
+
+
 def test_best_line_is_least_as_text(spark, tmp_path):
     """Ids tie as text, so p10 is before p2; a repeated order and a repeated line count as often as they stand."""
     lines = [(1, 2, 1, 1.0, 1.0, 0.0), (1, 10, 1, 1.0, 1.0, 0.0), (1, 10, 1, 1.0, 1.0, 0.0), (2, 21, 1, 1.0, 1.0, 0.0), (3, 1, 1, 1.0, 1.0, 0.0)]
